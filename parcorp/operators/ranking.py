@@ -18,9 +18,14 @@ BUCKET_DIGITS = 3  # 4096 buckets per group: the size bound of the offsets table
 
 def running_total(
     df: DataFrame, value: Column, key: str, out: str, group: Sequence[str] = (),
-    tie: Sequence[str] = ("id",), digits: int = BUCKET_DIGITS,
+    tie: Sequence[str] = ("id",), group_info: DataFrame | None = None,
+    digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """Add `out`: the total of `value` up to and including the row, in order of `key`."""
+    """Add `out`: the total of `value` up to and including the row, in order of `key`.
+
+    `group_info` (one row per group) rides along on the small table of bucket offsets,
+    so its columns reach the rows by bucket and no group, however large, is joined whole.
+    """
     df = df.withColumn("_b", F.substring(key, 1, digits)).withColumn("_v", value)
     by_bucket = W.partitionBy(*group, "_b").orderBy(key, *tie)
     inner = F.sum("_v").over(by_bucket.rowsBetween(W.unboundedPreceding, 0))
@@ -29,6 +34,10 @@ def running_total(
         df.groupBy(*group, "_b").agg(F.sum("_v").alias("_t"))
         .withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
     )
+    info: list[str] = []
+    if group_info is not None:
+        info = [c for c in group_info.columns if c not in group]
+        offsets = offsets.join(group_info, list(group), "left")
     rows = df.withColumn("_in", inner).alias("r")
     offsets = offsets.alias("o")
     same = F.col("r._b") == F.col("o._b")
@@ -36,10 +45,10 @@ def running_total(
         same = same & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
     total = (F.col("r._in") + F.col("o._off")).alias(out)
     keep = [F.col(f"r.{c}") for c in df.columns if c not in ("_b", "_v")]
-    return rows.join(offsets, same).select(*keep, total)
+    return rows.join(offsets, same).select(*keep, total, *[F.col(f"o.{c}") for c in info])
 
 
 def positions(df: DataFrame, key: str, out: str = "position", group: Sequence[str] = (),
-              tie: Sequence[str] = ("id",)) -> DataFrame:
+              tie: Sequence[str] = ("id",), group_info: DataFrame | None = None) -> DataFrame:
     """Add the 1-based position of each row in order of `key` (within `group`)."""
-    return running_total(df, F.lit(1).cast("bigint"), key, out, group, tie)
+    return running_total(df, F.lit(1).cast("bigint"), key, out, group, tie, group_info)

@@ -73,11 +73,10 @@ def stratified_split(
     )
     strata = keyed.where("_s IS NOT NULL").groupBy("_s").agg(F.count("*").alias("n"))
     quotas = split_quotas(strata)
-    ranked = positions(keyed, "_key", "_rank", group=["_s"], tie=[row_id])
+    ranked = positions(keyed, "_key", "_rank", group=["_s"], tie=[row_id], group_info=quotas)
     split = (
         F.when(F.col("_rank") <= F.col("n_test"), "test")
         .when(F.col("_rank") <= F.col("n_test") + F.col("n_validation"), "validation")
         .otherwise("train")
     )
-    # one row per stratum: the planner broadcasts it while it is below its threshold
-    return ranked.join(quotas, "_s", "left").withColumn("split", split).select(*df.columns, "split")
+    return ranked.withColumn("split", split).select(*df.columns, "split")
