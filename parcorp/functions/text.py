@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,12 +46,17 @@ def rewrite_matches(
     return F.aggregate(found, text, lambda acc, m: F.replace(acc, find(m), rewrite(m)))
 
 
+# The characters that count as white space at the ends of a text
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Cut all Unicode white space (and U+001C-1F) at both ends."""
-    return F.regexp_replace(
-        F.regexp_replace(text, r"(?dU)^[\s\x1c-\x1f]++", ""),
-        r"(?dU)(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++\z", "",
-    )
+    """Cut white space at both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_upper(text: Column) -> Column:
@@ -61,7 +66,7 @@ def is_upper(text: Column) -> Column:
 
 def chars(text: Column) -> Column:
     """Code points as an array."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_remove(F.split(text, ""), "")
 
 
 def seeded_md5(seed: int, *keys: Column) -> Column:
@@ -72,3 +77,18 @@ def seeded_md5(seed: int, *keys: Column) -> Column:
 def hex_fraction(digest: Column, start: int) -> Column:
     """Eight hex digits of a digest (1-based start) as a number in [0, 1)."""
     return F.conv(F.substring(digest, start, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def exploded(df: DataFrame, keep: Sequence[str], array: Column, *names: str, pos: str = "") -> DataFrame:
+    """One row per element of an array expression, next to the `keep` columns.
+
+    The array becomes a column first: inside the generator it would be interpreted, not
+    compiled. The outer form keeps the optimizer from adding a not-empty filter, which
+    it would push below that column and so evaluate the expression twice.
+    """
+    df = df.select(*keep, array.alias("_a"))
+    if pos:
+        df = df.select(*keep, F.posexplode_outer("_a").alias(pos, *names))
+    else:
+        df = df.select(*keep, F.explode_outer("_a").alias(*names))
+    return df.where(F.col(names[0]).isNotNull())

@@ -13,7 +13,10 @@ def wordforms(text: Column) -> Column:
     padded = F.replace(
         F.replace(text, F.lit("\n"), F.lit(" \n ")), F.lit("..."), F.lit(" ... ")
     )
-    return F.filter(F.split(padded, " "), lambda w: ~w.isin("", "|", ".|"))
+    words = F.split(padded, " ")
+    for skipped in ("", "|", ".|"):
+        words = F.array_remove(words, skipped)
+    return words
 
 
 def expanded_number(wf: Column) -> Column:
@@ -22,9 +25,7 @@ def expanded_number(wf: Column) -> Column:
     head = F.substring_index(wf, "-", 1)
     reading = F.try_element_at(units, head)
     rest = F.substr(wf, F.length(head) + 1)
-    return F.when(
-        F.ascii(wf).between(48, 57), F.coalesce(F.concat(reading, rest), wf)
-    ).otherwise(wf)
+    return F.coalesce(F.concat(reading, rest), wf)
 
 
 # a {determinative}, or what lies between two of them (an unclosed brace is plain text)
@@ -34,19 +35,31 @@ MORPHEME_BREAK = r"-(?![^(]*\))"
 
 
 def morphemes(wf: Column) -> Column:
-    """Pieces split at blanks, then at hyphens; special tokens stay whole."""
-    pieces = F.regexp_extract_all(expanded_number(wf), F.lit(PIECE), F.lit(0))
+    """Pieces split at blanks, then at hyphens; special tokens stay whole.
+
+    Only forms with a hyphen or brace, or starting with a digit, go through the splits.
+    """
+    starts_with_digit = F.ascii(wf).between(48, 57)
+    number = F.when(starts_with_digit, expanded_number(wf)).otherwise(wf)
+    pieces = F.regexp_extract_all(number, F.lit(PIECE), F.lit(0))
     words = F.flatten(F.transform(pieces, lambda p: F.split(p, " ")))
     split = F.flatten(F.transform(words, lambda w: F.split(w, MORPHEME_BREAK)))
-    return F.when(wf.isin(K.PASS_THROUGH), F.array(wf)).otherwise(
-        F.filter(split, lambda m: m != "")
+    plain = ~(starts_with_digit | F.contains(wf, F.lit("-")) | F.contains(wf, F.lit("{")))
+    return F.when(plain | wf.isin(K.PASS_THROUGH), F.array(wf)).otherwise(
+        F.array_remove(split, "")
     )
 
 
 def tokens(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(*keep, wpos, mpos, special, morpheme); a text without any keeps one null row."""
-    words = df.select(*keep, F.posexplode_outer(wordforms(F.col(text))).alias("wpos", "wf"))
-    return words.select(
+    """(*keep, wpos, mpos, special, morpheme); a text without any keeps one null row.
+
+    The arrays are columns before they are exploded: an expression inside the generator
+    itself would be interpreted row by row instead of compiled.
+    """
+    words = df.select(*keep, wordforms(F.col(text)).alias("_ws"))
+    words = words.select(*keep, F.posexplode_outer("_ws").alias("wpos", "wf"))
+    words = words.select(
         *keep, "wpos", F.col("wf").isin(K.PASS_THROUGH).alias("special"),
-        F.posexplode_outer(morphemes(F.col("wf"))).alias("mpos", "morpheme"),
+        morphemes(F.col("wf")).alias("_ms"),
     )
+    return words.select(*keep, "wpos", "special", F.posexplode_outer("_ms").alias("mpos", "morpheme"))

@@ -107,8 +107,17 @@ class SignLookups:
         `only` holds at most one row per name in `readings`, so it is counted as well.
         """
         only = only_readings(readings)
-        small = fits_broadcast(readings) and fits_broadcast(glyphs) and fits_broadcast(only)
+        small = all(fits_broadcast(df) for df in (readings, glyphs, only))
         return cls(readings, glyphs, only, small)
 
     def side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
+
+    def morphemes(self) -> DataFrame:
+        """(morpheme): what the lookups themselves name: readings, bare and as
+        determinatives, and sign names."""
+        braced = F.concat(F.lit("{"), "reading", F.lit("}"))
+        return (
+            self.readings.select(F.explode(F.array("reading", braced)).alias("morpheme"))
+            .union(self.glyphs.select("name")).distinct()
+        )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcorp import constants as K
 from parcorp.functions.sequences import ngrams
-from parcorp.functions.text import strip
+from parcorp.functions.text import exploded, strip
 
 ORDER = 4
 
@@ -36,8 +36,9 @@ def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> D
     """
 
     def grams(column: str, side: int) -> DataFrame:
-        tokens = F.filter(F.split(strip(F.col(column)), r"(?U)\s+"), lambda t: t != "")
-        return df.select(F.col(row_id), F.inline(ngrams(tokens, ORDER))).withColumn("_side", F.lit(side))
+        tokens = F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
+        grams = exploded(df.withColumn("_t", tokens), [row_id], ngrams(F.col("_t"), ORDER), "_g")
+        return grams.select(row_id, "_g.*", F.lit(side).alias("_side"))
 
     both = grams(pred, 0).unionByName(grams(label, 1))
     per_row = both.groupBy(row_id, "n", "gram").agg(

@@ -11,6 +11,7 @@ from parcorp import constants as K
 from parcorp.functions.text import is_upper, replace_in_order, strip
 from parcorp.functions.tokens import tokens
 from parcorp.operators.lookups import SignLookups
+from parcorp.session import materialised
 
 NUMERIC = r"(?dU)^\d+(/\d+)?(\.\d+)?(\s*\([^)]+\))?$"
 UNK = K.UNK
@@ -31,17 +32,21 @@ def _first_hit(rules: Sequence[tuple[Column, Column]], otherwise: Column) -> Col
 def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
     """Add (value, names, reason) to a table with a `morpheme` column.
 
-    Every lookup is a left join on a never-null key: where a rule does not apply its key
-    is the morpheme itself, which keeps the rows spread.
+    Every lookup is a left join whose key is the morpheme itself where its rule does not
+    apply, which keeps the rows spread.
     """
     m = F.when(F.col("morpheme") == "geš₂", "ŋeš₂").otherwise(F.col("morpheme"))
     df = df.withColumn("_m", m)
     m = F.col("_m")
-    paren = F.contains(m, F.lit("(")) & F.contains(m, F.lit(")"))
     parts = F.split(m, r"\(")
+    # tests used by several rules are columns, so that they run once per row
+    df = df.withColumns({
+        "_paren": F.contains(m, F.lit("(")) & F.contains(m, F.lit(")")),
+        "_numeric": m.rlike(NUMERIC), "_upper": is_upper(m),
+        "_plain": F.translate(m, "{}", ""), "_lower": F.lower(m),
+    })
+    paren, numeric, upper = F.col("_paren"), F.col("_numeric"), F.col("_upper")
     df = df.withColumns({
-        "_plain": F.translate(m, "{}", ""),
-        "_lower": F.lower(m),
         "_base": F.when(paren, F.get(parts, F.lit(0))).otherwise(m),
         "_name": F.when(paren, F.replace(F.get(parts, F.lit(1)), F.lit(")"), F.lit(""))).otherwise(m),
     })
@@ -53,7 +58,6 @@ def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
     own = lookups.glyphs.select(F.col("name").alias("_m"), F.lit(True).alias("_is_name"))
     df = df.join(lookups.side(own), "_m", "left")
 
-    numeric = m.rlike(NUMERIC)
     plain, lower, base = (F.col(f"{k}_names") for k in ("_plain", "_lower", "_base"))
     is_name = F.col("_is_name").isNotNull()
 
@@ -73,13 +77,13 @@ def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
         (numeric, hit(m, _no_names(), "number")),
         (is_name, hit(unk, F.array(m))),
         (plain.isNotNull(), hit(m, plain)),
-        (is_upper(m) & lower.isNotNull(), hit(unk, lower)),
-        (is_upper(m), hit(unk, _no_names(), "sign_name")),
+        (upper & lower.isNotNull(), hit(unk, lower)),
+        (upper, hit(unk, _no_names(), "sign_name")),
         (paren & (F.size(base) == 1), hit(F.col("_base"), base)),
         (paren & F.array_contains(base, name), hit(F.col("_base"), F.array(name))),
         (paren & F.col("_only").isNotNull(), hit(F.col("_only"), F.array(name))),
     ], hit(m, _no_names(), "other"))
-    helpers = ["_m", "_plain", "_lower", "_base", "_name", "_plain_names", "_lower_names",
+    helpers = ["_m", "_paren", "_numeric", "_upper", "_plain", "_lower", "_base", "_name", "_plain_names", "_lower_names",
                "_base_names", "_only", "_is_name", "_found"]
     return (
         df.withColumn("_found", found)
@@ -142,6 +146,26 @@ def resolve(df: DataFrame, lookups: SignLookups) -> DataFrame:
     return add_glyph(sign_names(df, lookups), lookups)
 
 
+def known_morphemes(lookups: SignLookups) -> DataFrame:
+    """The results for all morphemes that stand in the lookups themselves."""
+    return materialised(resolve(lookups.morphemes(), lookups).select("morpheme", *RESULT))
+
+
+def resolve_small(df: DataFrame, lookups: SignLookups, known: DataFrame) -> DataFrame:
+    """Resolve with broadcast lookups: nearly all rows by one join with `known`.
+
+    The rules run for the others only. Rows already resolved carry a null into the rule
+    lookups, which a broadcast join skips.
+    """
+    side = known.select(F.col("morpheme").alias("_key"), F.struct(*RESULT).alias("_known"))
+    df = df.withColumnRenamed("morpheme", "_key").join(F.broadcast(side), "_key", "left")
+    df = df.withColumn("morpheme", F.when(F.col("_known").isNull(), F.col("_key")))
+    df = resolve(df, lookups)
+    hit = F.col("_known").isNotNull()
+    merged = {c: F.when(hit, F.col(f"_known.{c}")).otherwise(F.col(c)) for c in RESULT}
+    return df.withColumns({**merged, "morpheme": F.col("_key")}).drop("_key", "_known")
+
+
 def join_by_frequency(left: DataFrame, right: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
     """Left join with a table unique on `key` that counts the key's rows in `n`.
 
@@ -185,7 +209,7 @@ def resolved_tokens(
     """
     if lookups.small:
         toks = tokens(docs.repartition(row_id), text, list(keep))
-        out = resolve(toks, lookups)
+        out = resolve_small(toks, lookups, known_morphemes(lookups))
     else:
         toks = tokens(docs, text, list(keep))
         distinct = toks.where("morpheme IS NOT NULL AND NOT special")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from parcorp import constants as K
 from parcorp.functions import sequences as S
-from parcorp.functions.text import seeded_md5
+from parcorp.functions.text import exploded, seeded_md5
 from parcorp.operators.ranking import positions
 from parcorp.operators.stats import alphabet
 
@@ -57,7 +57,8 @@ def encode(
     Each text sends its distinct tokens through the vocabulary join, not every
     character, and gets them back as a small map; the characters never leave the row.
     """
-    toks = df.select(F.col(row_id).alias("_id"), F.explode(F.array_distinct(S.split_tokens(F.col(text)))).alias("token"))
+    found = F.array_distinct(S.split_tokens(F.col(text)))
+    toks = exploded(df, [row_id], found, "token").withColumnRenamed(row_id, "_id")
     ids = F.coalesce(F.col("token_id").cast("int"), F.lit(K.UNK_ID))
     maps = (
         toks.join(F.broadcast(vocab), "token", "left").groupBy("_id")
@@ -77,7 +78,7 @@ def decode(
     seq = S.restored(F.col(ids))
     if skip_special:
         seq = F.filter(seq, lambda i: i >= len(K.VOCAB_SPECIALS))
-    toks = df.select(F.col(row_id).alias("_id"), F.explode(F.array_distinct(seq)).alias("token_id"))
+    toks = exploded(df, [row_id], F.array_distinct(seq), "token_id").withColumnRenamed(row_id, "_id")
     known = vocab.select(F.col("token_id").cast("int").alias("token_id"), "token")
     maps = (
         toks.join(F.broadcast(known), "token_id", "left").groupBy("_id")
@@ -92,7 +93,7 @@ def decode(
 def chunked(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per chunk (`chunk` counts from 0), all columns cut in the same places."""
     parts = F.arrays_zip(*[S.chunks(F.col(c)).alias(c) for c in columns])
-    df = df.select(*keep, F.posexplode(parts).alias("chunk", "_c"))
+    df = exploded(df, keep, parts, "_c", pos="chunk")
     return df.select(*keep, "chunk", *[F.col(f"_c.{c}").alias(c) for c in columns])
 
 
@@ -143,7 +144,7 @@ def split_long_pairs(
         F.zip_with("_l", "_r", lambda l, r: F.struct(l.alias("l"), r.alias("r")))
     )
     first = F.when(F.col("_ok"), "ok").when(~even, "rejected")
-    df = df.select(*keep, first.alias("_s"), F.posexplode(pieces).alias("pos", "_p"))
+    df = exploded(df.withColumn("_s", first), [*keep, "_s"], pieces, "_p", pos="pos")
     df = df.select(*keep, "_s", "pos", F.col("_p.l").alias(left), F.col("_p.r").alias(right))
     again = fits(S.encoded_length(F.col(left)), S.encoded_length(F.col(right)), limit=limit)
     status = F.coalesce("_s", F.when(again, "fixed").otherwise("too_long"))

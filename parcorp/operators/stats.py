@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcorp import constants as K
-from parcorp.functions.text import chars, remove_all
+from parcorp.functions.text import chars, exploded, remove_all
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,7 +42,7 @@ def alphabet(df: DataFrame, text: str) -> DataFrame:
     Characters are made distinct within each text before anything leaves the row.
     """
     plain = remove_all(F.col(text), K.VOCAB_SPECIALS)
-    found = df.select(F.explode(F.array_distinct(chars(plain))).alias("char"))
+    found = exploded(df, [], F.array_distinct(chars(plain)), "char")
     return found.groupBy("char").agg(F.count("*").alias("n_texts"))
 
 
@@ -59,13 +59,13 @@ def _tokens(text: str, unit: str) -> Column:
     if unit == "glyph":
         return chars(glyph_text(F.col(text)))
     plain = F.regexp_replace(remove_all(F.col(text), K.PASS_THROUGH), r"(?U)\s+", " ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def token_frequencies(df: DataFrame, text: str, unit: str = "word") -> DataFrame:
     """(token, n), tokens being white-space separated words or single glyphs."""
     return (
-        df.select(F.explode(_tokens(text, unit)).alias("token"))
+        exploded(df, [], _tokens(text, unit), "token")
         .groupBy("token").agg(F.count("*").alias("n"))
     )
 

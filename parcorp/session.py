@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # A set of lookup rows above this size is joined by shuffle, not broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 400_000
 
 
 def local_session(cpus: int = 8, app: str = "parcorp") -> SparkSession:
