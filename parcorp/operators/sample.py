@@ -31,11 +31,12 @@ def oversample(df: DataFrame, majority: Column, factor: int = K.OVERSAMPLING) ->
 def _quota(strata: DataFrame, n: str, draws: str, total: str, out: str) -> DataFrame:
     """Share `draws` over the strata by largest remainder, ties by stratum name."""
     product = F.col(n).cast("decimal(19,0)") * F.col(draws).cast("decimal(19,0)")
+    total_rows = F.greatest(F.col(total), F.lit(1))  # nothing may be left to draw from
     everything = W.partitionBy(F.lit(1))
     ranked = W.partitionBy(F.lit(1)).orderBy(F.desc("_rem"), "_s")
-    strata = strata.withColumn("_rem", product % F.col(total).cast("decimal(19,0)"))
+    strata = strata.withColumn("_rem", product % total_rows.cast("decimal(19,0)"))
     strata = strata.withColumn(
-        "_floor", ((product - F.col("_rem")) / F.col(total)).cast("bigint")
+        "_floor", ((product - F.col("_rem")) / total_rows).cast("bigint")
     )
     extra = F.row_number().over(ranked) <= F.col(draws) - F.sum("_floor").over(everything)
     return strata.withColumn(out, F.col("_floor") + extra.cast("bigint")).drop("_rem", "_floor")

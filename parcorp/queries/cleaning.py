@@ -193,7 +193,7 @@ FROM d LEFT JOIN o ON d.id = o.item_id
 def q_row_overrides(spark, sf_dir):
     overrides = table(spark, sf_dir, "benchmark").select(
         F.lit("illegible").alias("step"), F.col("item_id").alias("id"),
-        F.split("text", " ")[1].alias("find"), F.lit(M).alias("repl"),
+        F.get(F.split("text", " "), F.lit(1)).alias("find"), F.lit(M).alias("repl"),
     )
     docs = marked_documents(spark, sf_dir)
     return apply_overrides(docs, overrides, "illegible", "transliteration").select(
