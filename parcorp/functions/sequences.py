@@ -11,7 +11,8 @@ from parcorp import constants as K
 from parcorp.functions.text import hex_fraction, seeded_md5
 
 # a special token, or any one character
-TOKEN = "(?s)" + "|".join(re.escape(t) for t in K.VOCAB_SPECIALS) + "|."
+# (the first alternative takes every character that cannot start a special token)
+TOKEN = r"(?s)[^<.\n]|" + "|".join(re.escape(t) for t in K.VOCAB_SPECIALS) + "|."
 
 
 def split_tokens(text: Column) -> Column:
@@ -64,17 +65,24 @@ def masked(ids: Column, row_id: Column, vocab_size: Column, prob: float, seed: i
     """
 
     def draw(i: Column, pos: Column) -> Column:
-        digest = seeded_md5(seed, row_id, pos)
-        chosen = (i >= len(K.VOCAB_SPECIALS)) & (hex_fraction(digest, 1) < prob)
-        kind = hex_fraction(digest, 9)
-        random_id = F.floor(hex_fraction(digest, 17) * vocab_size).cast("int")
-        new = F.when(kind < 0.8, K.MASK_ID).when(kind < 0.9, random_id).otherwise(i)
-        return F.struct(
-            F.when(chosen, new).otherwise(i).alias("id"),
-            F.when(chosen, i).otherwise(K.IGNORE_LABEL).alias("label"),
-        )
-
-    return F.transform(ids, draw)
+        digest = F.when(i >= len(K.VOCAB_SPECIALS), seeded_md5(seed, row_id, pos))
+        return F.struct(i.alias("i"), digest.alias("digest"))
+
+    def choose(x: Column) -> Column:
+        chosen = F.coalesce(hex_fraction(x["digest"], 1) < prob, F.lit(False))
+        return F.struct(x["i"].alias("i"), F.when(chosen, x["digest"]).alias("digest"))
+
+    def replace(x: Column) -> Column:
+        kind = hex_fraction(x["digest"], 9)
+        random_id = F.floor(hex_fraction(x["digest"], 17) * vocab_size).cast("int")
+        new = F.when(kind < 0.8, K.MASK_ID).when(kind < 0.9, random_id).otherwise(x["i"])
+        return F.when(
+            x["digest"].isNull(),
+            F.struct(x["i"].alias("id"), F.lit(K.IGNORE_LABEL).alias("label")),
+        ).otherwise(F.struct(new.alias("id"), x["i"].alias("label")))
+
+    # one digest per position: each step hands it on instead of computing it again
+    return F.transform(F.transform(F.transform(ids, draw), choose), replace)
 
 
 def argmax(scores: Column) -> Column:

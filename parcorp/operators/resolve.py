@@ -212,9 +212,7 @@ def resolved_tokens(
         out = resolve_small(toks, lookups, known_morphemes(lookups))
     else:
         toks = tokens(docs, text, list(keep))
-        distinct = toks.where("morpheme IS NOT NULL AND NOT special")
-        distinct = distinct.groupBy("morpheme").agg(F.count("*").alias("n"))
-        resolved = resolve(distinct, lookups)
+        resolved = resolved_counts(docs, lookups, text)
         out = join_by_frequency(toks, resolved, "morpheme", [row_id, "wpos", "mpos"])
     return pass_special(out)
 
@@ -270,13 +268,27 @@ def standard_signs(df: DataFrame, text: str) -> DataFrame:
 
 
 # ---- reports ---------------------------------------------------------------------------------
-def conversion_stats(toks: DataFrame) -> DataFrame:
+def morpheme_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(morpheme, n): the distinct morphemes of all texts, special wordforms left out."""
+    toks = tokens(docs, text, []).where("morpheme IS NOT NULL AND NOT special")
+    return toks.groupBy("morpheme").agg(F.count("*").alias("n"))
+
+
+def resolved_counts(docs: DataFrame, lookups: SignLookups, text: str) -> DataFrame:
+    """Every distinct morpheme with its count and result: what all reports are made from."""
+    return resolve(morpheme_counts(docs, text), lookups)
+
+
+def conversion_stats(counts: DataFrame) -> DataFrame:
     """(step, outcome, n, percent): how many morphemes and names were converted."""
-    toks = toks.where("morpheme IS NOT NULL AND NOT special")
-    row = toks.agg(
-        F.count_if(F.col("converted")).alias("m1"), F.count_if(~F.col("converted")).alias("m0"),
-        F.count_if(F.col("name_status") == "found").alias("n1"),
-        F.count_if(F.col("name_status").isin("not_in_map", "no_unicode")).alias("n0"),
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    row = counts.agg(
+        total(F.col("converted")).alias("m1"), total(~F.col("converted")).alias("m0"),
+        total(F.col("name_status") == "found").alias("n1"),
+        total(F.col("name_status").isin("not_in_map", "no_unicode")).alias("n0"),
     )
     outcomes = [("morpheme", "converted", "m1", "m0"), ("morpheme", "not_converted", "m0", "m1"),
                 ("name", "converted", "n1", "n0"), ("name", "not_converted", "n0", "n1")]
@@ -291,18 +303,14 @@ def conversion_stats(toks: DataFrame) -> DataFrame:
     return out.select("step", "outcome", "n", F.bround("_pct", 2).alias("percent"))
 
 
-def failure_counts(toks: DataFrame) -> DataFrame:
+def failure_counts(counts: DataFrame) -> DataFrame:
     """(reason, morpheme, n) of what could not be converted, by cause."""
-    failed = toks.withColumn(
-        "reason", F.coalesce("reason", F.when(
-            F.col("name_status").isin("not_in_map", "no_unicode"), F.col("name_status")))
-    ).where("reason IS NOT NULL")
-    return failed.groupBy("reason", "morpheme").agg(F.count("*").alias("n"))
+    failed_name = F.col("name_status").isin("not_in_map", "no_unicode")
+    reason = F.coalesce("reason", F.when(failed_name, F.col("name_status")))
+    return counts.select(reason.alias("reason"), "morpheme", "n").where("reason IS NOT NULL")
 
 
-def observed_readings(toks: DataFrame) -> DataFrame:
+def observed_readings(counts: DataFrame) -> DataFrame:
     """(glyph, reading, n): how often a glyph stands for a reading."""
-    seen = toks.where(
-        F.col("morpheme").isNotNull() & ~F.col("dropped") & ~F.col("reading").isin(K.PASS_THROUGH)
-    )
-    return seen.groupBy("glyph", "reading").agg(F.count("*").alias("n"))
+    seen = counts.where(~F.col("dropped") & ~F.col("reading").isin(K.PASS_THROUGH))
+    return seen.groupBy("glyph", "reading").agg(F.sum("n").alias("n"))

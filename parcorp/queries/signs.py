@@ -286,10 +286,7 @@ def q_only_readings(spark, sf_dir):
 
 
 def resolved_morphemes(spark, sf_dir):
-    toks = tokens(noted(spark, sf_dir), "text", ["id"])
-    distinct = toks.where("morpheme IS NOT NULL AND NOT special")
-    distinct = distinct.groupBy("morpheme").agg(F.count("*").alias("n"))
-    return R.resolve(distinct, sign_lookups(spark, sf_dir))
+    return R.resolved_counts(noted(spark, sf_dir), sign_lookups(spark, sf_dir), "text")
 
 
 @query("q_resolve", f"""
@@ -350,7 +347,7 @@ UNION ALL SELECT 'name', 'converted', n1, round_even(100.0 * n1 / (n1 + n0), 2)
 UNION ALL SELECT 'name', 'not_converted', n0, round_even(100.0 * n0 / (n1 + n0), 2) FROM c
 """)
 def q_conversion_stats(spark, sf_dir):
-    return R.conversion_stats(sign_tokens(spark, sf_dir))
+    return R.conversion_stats(resolved_morphemes(spark, sf_dir))
 
 
 @query("q_failure_counts", f"""
@@ -359,7 +356,7 @@ SELECT coalesce(reason, name_status) AS reason, morpheme, count(*) AS n FROM rto
 WHERE NOT special AND (reason IS NOT NULL OR name_status IN ('not_in_map', 'no_unicode')) GROUP BY ALL
 """)
 def q_failure_counts(spark, sf_dir):
-    return R.failure_counts(sign_tokens(spark, sf_dir))
+    return R.failure_counts(resolved_morphemes(spark, sf_dir))
 
 
 @query("q_observed_readings", f"""
@@ -368,7 +365,7 @@ SELECT glyph, reading, count(*) AS n FROM rtok
 WHERE NOT dropped AND NOT reading {IS_SPECIAL} GROUP BY glyph, reading
 """)
 def q_observed_readings(spark, sf_dir):
-    return R.observed_readings(sign_tokens(spark, sf_dir))
+    return R.observed_readings(resolved_morphemes(spark, sf_dir))
 
 
 @query("q_corpus_build", f"""

@@ -29,7 +29,8 @@ def partition_name(column: Column) -> Column:
 def by_genre(df: DataFrame, path: str, full_path: str) -> None:
     """One folder per genre, and the whole table."""
     table_parquet(df, full_path)
-    named = df.withColumn("genre_name", partition_name(F.col("genre")))
+    full = df.sparkSession.read.parquet(full_path)  # computed once
+    named = full.withColumn("genre_name", partition_name(F.col("genre")))
     _writer(named).partitionBy("genre_name").parquet(path)
 
 

@@ -135,6 +135,12 @@ def test_parallel_strings(spark, lookups, small):
     post = {r.id: r for r in R.postprocessed(R.rebuilt(toks, ["id"])).collect()}
     assert post[1].transliteration == "lugal-ki{ki}...\nlugal" and post[1].glyphs == "𒈗𒆠𒆠...\n𒈗"
     assert post[2].transliteration == "lugal <unk>"
+    toks.unpersist()
+
+
+def test_reports(spark, lookups):
+    docs = spark.createDataFrame(DOCS, "id int, text string, period string")
+    toks = R.resolved_counts(docs, lookups, "text").cache()
     stats = {(r.step, r.outcome): (r.n, r.percent) for r in R.conversion_stats(toks).collect()}
     # 112 morphemes besides special tokens; `gibberish` and `an` fail; x and nn have no glyph lookup
     total = sum(n for (step, _), (n, _) in stats.items() if step == "morpheme")
