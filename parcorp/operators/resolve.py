@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parcorp import constants as K
 from parcorp.functions.text import is_upper, replace_in_order, strip
@@ -310,6 +311,16 @@ def failure_counts(counts: DataFrame) -> DataFrame:
     return counts.select(reason.alias("reason"), "morpheme", "n").where("reason IS NOT NULL")
 
 
+def top_failures(counts: DataFrame, k: int = 20) -> DataFrame:
+    """The k most frequent failures of each cause (ties by morpheme), with their rank.
+
+    The optimizer prunes each task's rows to k per cause before they are shuffled.
+    """
+    by_cause = W.partitionBy("reason").orderBy(F.desc("n"), "morpheme")
+    ranked = failure_counts(counts).withColumn("rank", F.row_number().over(by_cause))
+    return ranked.where(F.col("rank") <= k)
+
+
 def observed_readings(counts: DataFrame) -> DataFrame:
     """(glyph, reading, n): how often a glyph stands for a reading."""
     seen = counts.where(~F.col("dropped") & ~F.col("reading").isin(K.PASS_THROUGH))

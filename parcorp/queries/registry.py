@@ -24,8 +24,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores when its few files would leave them idle."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table; texts are spread over the cores when their files would leave them idle."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 # ---- small helpers to write the SQL side ------------------------------------------------

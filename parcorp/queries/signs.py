@@ -359,6 +359,18 @@ def q_failure_counts(spark, sf_dir):
     return R.failure_counts(resolved_morphemes(spark, sf_dir))
 
 
+@query("q_top_failures", f"""
+WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL},
+f AS (SELECT coalesce(reason, name_status) AS reason, morpheme, n FROM res
+  WHERE reason IS NOT NULL OR name_status IN ('not_in_map', 'no_unicode')),
+r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY n DESC, morpheme) AS rank FROM f)
+SELECT reason, morpheme, n, rank FROM r WHERE rank <= 20
+""")
+def q_top_failures(spark, sf_dir):
+    out = R.top_failures(resolved_morphemes(spark, sf_dir))
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("q_observed_readings", f"""
 WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL}
 SELECT glyph, reading, count(*) AS n FROM rtok
