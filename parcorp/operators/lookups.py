@@ -48,9 +48,13 @@ def glyph_edges(entries: DataFrame) -> DataFrame:
 
 # ---- edges to lookups ----------------------------------------------------------------------
 def reading_names(edges: DataFrame) -> DataFrame:
-    """(reading, names): the sorted set of names; an empty name counts for nothing."""
-    names = F.array_remove(F.sort_array(F.collect_set("name")), "")
-    return edges.groupBy("reading").agg(names.alias("names"))
+    """(reading, names): the sorted set of names; an empty name counts for nothing.
+
+    Edges are made distinct first, by a plain hash aggregate: an edge that occurs very
+    often is reduced in the map tasks before any list is built.
+    """
+    names = F.array_remove(F.sort_array(F.collect_list("name")), "")
+    return edges.distinct().groupBy("reading").agg(names.alias("names"))
 
 
 def override(base: DataFrame, index: DataFrame) -> DataFrame:
@@ -63,8 +67,8 @@ def override(base: DataFrame, index: DataFrame) -> DataFrame:
 
 def name_glyphs(edges: DataFrame) -> DataFrame:
     """(name, glyphs): the sorted set of glyphs of each name, empty ones left out."""
-    glyphs = F.array_remove(F.sort_array(F.collect_set("glyph")), "")
-    return edges.groupBy("name").agg(glyphs.alias("glyphs"))
+    glyphs = F.array_remove(F.sort_array(F.collect_list("glyph")), "")
+    return edges.distinct().groupBy("name").agg(glyphs.alias("glyphs"))
 
 
 def ambiguous(glyphs: DataFrame) -> DataFrame:
@@ -99,16 +103,17 @@ class SignLookups:
     glyphs: DataFrame  # name, glyph
     only: DataFrame  # name, reading
     small: bool  # all three are known to fit a broadcast
+    keep_named: bool = False  # keep bare sign names as readings instead of <unk>
 
     @classmethod
-    def of(cls, readings: DataFrame, glyphs: DataFrame) -> SignLookups:
+    def of(cls, readings: DataFrame, glyphs: DataFrame, keep_named: bool = False) -> SignLookups:
         """Check the sizes. A sign list fits; a lookup that grew with a corpus may not.
 
         `only` holds at most one row per name in `readings`, so it is counted as well.
         """
         only = only_readings(readings)
         small = all(fits_broadcast(df) for df in (readings, glyphs, only))
-        return cls(readings, glyphs, only, small)
+        return cls(readings, glyphs, only, small, keep_named)
 
     def side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df

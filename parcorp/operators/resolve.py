@@ -68,7 +68,7 @@ def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
             F.lit(reason).cast("string").alias("reason"),
         )
 
-    unk, ellipsis = F.lit(UNK), F.lit(K.ELLIPSIS)
+    unk, ellipsis = m if lookups.keep_named else F.lit(UNK), F.lit(K.ELLIPSIS)
     name = F.col("_name")
     found = _first_hit([
         (m.isin("x", "n", "X", "N"), hit(ellipsis, F.array(ellipsis))),

@@ -52,8 +52,8 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table is small enough to broadcast; reads at most rows + 1 rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether the table is small enough to broadcast, by a distributed count."""
+    return df.count() <= rows
 
 
 def spread(df: DataFrame) -> DataFrame:

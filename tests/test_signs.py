@@ -138,6 +138,13 @@ def test_parallel_strings(spark, lookups, small):
     toks.unpersist()
 
 
+def test_bare_names_may_be_kept(spark, lookups):
+    sides = L.SignLookups.of(lookups.readings, lookups.glyphs, keep_named=True)
+    df = spark.createDataFrame([("LUGAL",), ("UŠ₂",), ("QQ",)], "morpheme string")
+    got = {r.morpheme: (r.reading, r.glyph) for r in R.resolve(df, sides).collect()}
+    assert got == {"LUGAL": ("LUGAL", "𒈗"), "UŠ₂": ("UŠ₂", "𒍗"), "QQ": ("<unk>", "<unk>")}
+
+
 def test_reports(spark, lookups):
     docs = spark.createDataFrame(DOCS, "id int, text string, period string")
     toks = R.resolved_counts(docs, lookups, "text").cache()
