@@ -41,9 +41,12 @@ def morphemes(wf: Column) -> Column:
     """
     starts_with_digit = F.ascii(wf).between(48, 57)
     number = F.when(starts_with_digit, expanded_number(wf)).otherwise(wf)
-    pieces = F.regexp_extract_all(number, F.lit(PIECE), F.lit(0))
+    pieces = F.when(
+        F.contains(wf, F.lit("}")), F.regexp_extract_all(number, F.lit(PIECE), F.lit(0))
+    ).otherwise(F.array(number))
     words = F.flatten(F.transform(pieces, lambda p: F.split(p, " ")))
-    split = F.flatten(F.transform(words, lambda w: F.split(w, MORPHEME_BREAK)))
+    split = F.flatten(F.transform(words, lambda w: F.when(
+        F.contains(w, F.lit(")")), F.split(w, MORPHEME_BREAK)).otherwise(F.split(w, "-"))))
     plain = ~(starts_with_digit | F.contains(wf, F.lit("-")) | F.contains(wf, F.lit("{")))
     return F.when(plain | wf.isin(K.PASS_THROUGH), F.array(wf)).otherwise(
         F.array_remove(split, "")

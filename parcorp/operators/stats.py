@@ -11,12 +11,13 @@ from parcorp import constants as K
 from parcorp.functions.text import chars, exploded, remove_all
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for several columns in one pass and one shuffle."""
+def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(*by, column, value, n) for several columns in one pass and one shuffle."""
     pairs = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])
-    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    rows = df.select(*by, F.inline(pairs))
+    return rows.groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
 
 
 def top_k(df: DataFrame, value: str, k: int) -> DataFrame:

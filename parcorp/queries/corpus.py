@@ -200,6 +200,15 @@ def q_split(spark, sf_dir):
     return split_texts(spark, sf_dir).select("id", "period", "genre", "split")
 
 
+@query("q_split_counts", f"""
+WITH {SPLIT_SQL}
+SELECT split, 'period' AS "column", period AS value, count(*) AS n FROM split GROUP BY split, period
+UNION ALL SELECT split, 'genre', genre, count(*) FROM split GROUP BY split, genre
+""")
+def q_split_counts(spark, sf_dir):
+    return stats.value_counts(split_texts(spark, sf_dir), ["period", "genre"], by=["split"])
+
+
 @query("q_oversample", """
 SELECT doc_id AS id, source AS genre, CAST(copy AS BIGINT) AS copy FROM (
   SELECT doc_id, source, unnest(range(1, CASE source WHEN 'src14' THEN 2 ELSE 11 END)) AS copy

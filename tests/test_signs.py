@@ -52,6 +52,12 @@ def test_morphemes(apply, form, parts):
     assert apply(morphemes, [form]) == [parts]
 
 
+def test_long_wordforms_need_no_stack(apply):
+    long = ["a-" * 100_000, "{" * 30_000 + "a-b", "{k}" * 20_000 + "b", "(" + "a-" * 2_000 + ")"]
+    got = apply(lambda t: F.size(morphemes(t)), long)
+    assert got == [100_000, 2, 20_001, 1]
+
+
 def test_wordforms(apply):
     assert apply(wordforms, ["a-b\nc...d  | .| e", ""]) == [["a-b", "\n", "c", "...", "d", "e"], []]
 
