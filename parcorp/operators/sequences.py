@@ -56,13 +56,19 @@ def encode(
 
     Each text sends its distinct tokens through the vocabulary join, not every
     character, and gets them back as a small map; the characters never leave the row.
+    The map is searched from its start, so tokens stand in it as they first appear in
+    the text: the frequent ones come early.
     """
     found = F.array_distinct(S.split_tokens(F.col(text)))
-    toks = exploded(df, [row_id], found, "token").withColumnRenamed(row_id, "_id")
+    toks = exploded(df, [row_id], found, "token", pos="_pos").withColumnRenamed(row_id, "_id")
     ids = F.coalesce(F.col("token_id").cast("int"), F.lit(K.UNK_ID))
+    placed = F.sort_array(F.collect_set(F.struct("_pos", "token", ids.alias("i"))))
+    entries = F.array_distinct(F.transform(
+        placed, lambda e: F.struct(e["token"].alias("token"), e["i"].alias("i"))
+    ))
     maps = (
         toks.join(F.broadcast(vocab), "token", "left").groupBy("_id")
-        .agg(F.map_from_entries(F.collect_set(F.struct("token", ids))).alias("_ids"))
+        .agg(F.map_from_entries(entries).alias("_ids"))
     )
     joined = df.join(maps, F.col(row_id) == F.col("_id"), "left")
     inner = F.transform(S.split_tokens(F.col(text)), lambda t: F.try_element_at(F.col("_ids"), t))

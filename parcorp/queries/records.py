@@ -8,7 +8,7 @@ from parcorp.functions.text import replace_in_order
 from parcorp.operators import atf, augment, joins
 from parcorp.queries.corpus import SPLIT_SQL, split_texts
 from parcorp.queries.registry import query, sql_regex, sql_replace, table
-from parcorp.schemas import CDLI_RECORDS
+from parcorp.schemas import ATF_RECORDS
 from parcorp.sources.readers import parsed_records
 
 
@@ -103,7 +103,7 @@ def q_nested_flatten(spark, sf_dir):
         F.concat(F.lit(', "period": {"period": "p'), u.cast("string"), F.lit('"}')))
     record = F.concat(F.lit('{"genres": ['), genres, F.lit("]"), period, F.lit("}"))
     events = table(spark, sf_dir, "events").select("event_id", record.alias("value"))
-    rows = parsed_records(events, CDLI_RECORDS, keep=["event_id"])
+    rows = parsed_records(events, ATF_RECORDS, keep=["event_id"])
     return rows.select("event_id", atf.genre_list(F.col("genres")).alias("genre"),
                        atf.period_name(F.col("period")).alias("period"))
 

@@ -3,7 +3,7 @@
 TEXTS = "id string, transliteration string, period string, genre string"
 ARTIFACTS = "artifact_id bigint, artifact_type string"
 ASSETS = "artifact_id bigint, asset_type string, path string, file_format string"
-CDLI_RECORDS = (
+ATF_RECORDS = (
     "id string, genres array<struct<genre: struct<genre: string>>>, "
     "period struct<period: string>, inscription struct<atf: string>"
 )

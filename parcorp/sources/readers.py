@@ -57,8 +57,8 @@ def sign_list(spark: SparkSession, path: str) -> DataFrame:
     return json_files(spark, [path], schemas.SIGN_LIST)
 
 
-def cdli_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return json_files(spark, paths, schemas.CDLI_RECORDS)
+def atf_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    return json_files(spark, paths, schemas.ATF_RECORDS)
 
 
 def index_json(spark: SparkSession, path: str) -> DataFrame:

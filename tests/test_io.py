@@ -48,8 +48,8 @@ def test_json_folders(spark, tmp_path):
     assert [r.id for r in got.collect()] == ["P0"]
     for name in ("c1", "c2"):
         (tmp_path / f"{name}.arr").write_text(json.dumps([{"id": name, "period": {"period": "x"}}, {"id": name}]))
-    cdli = readers.cdli_records(spark, [f"{tmp_path}/c1.arr", f"{tmp_path}/c2.arr"])
-    assert cdli.count() == 4
+    records = readers.atf_records(spark, [f"{tmp_path}/c1.arr", f"{tmp_path}/c2.arr"])
+    assert records.count() == 4
 
 
 def test_result_records_resume(spark, tmp_path):

@@ -156,8 +156,8 @@ def test_annotated_records(spark):
         ("r1", [(("Admin",),), (("Legal",),)], ("Ur III",), (atf_text,)),
         ("r2", [], None, (atf_text.replace("&", ""),)), ("r3", None, None, ("#atf: lang akk",)), ("r4", None, None, None),
     ]
-    from parcorp.schemas import CDLI_RECORDS
-    got = {r.id: r for r in atf.parsed(spark.createDataFrame(rows, CDLI_RECORDS)).collect()}
+    from parcorp.schemas import ATF_RECORDS
+    got = {r.id: r for r in atf.parsed(spark.createDataFrame(rows, ATF_RECORDS)).collect()}
     assert set(got) == {"r1", "r2"}
     assert (got["r1"].name, got["r1"].genre, got["r1"].period) == ("P1", "Admin, Legal", "Ur III")
     assert (got["r1"].translation, got["r1"].transliteration) == ("2 sheep", "\n1. 2(diš) udu\n")
