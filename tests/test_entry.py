@@ -12,7 +12,8 @@ SAMPLE = ["q_collate", "q_dedup_chain", "q_split", "q_clean_xon", "q_resolve", "
 
 def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) == set(queries) and len(queries) >= 75
+    own = {name for name in queries if name.startswith("q_")}
+    assert own <= set(oracles) <= set(queries) and len(own) >= 75
 
 
 def test_flagship(spark):
