@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup
+from parcorp.llm import exact_dedup, secrets
 from parcorp.llm.common import at_least, with_package
 
 QUERIES: dict = {}
@@ -43,3 +43,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"),
     )
+
+
+# ---- 3: secret scans ---------------------------------------------------------------------
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(docs))
+    base = list(secrets.PATTERNS)
+    out = secrets.find(docs, model)
+    return out.select(
+        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed([*base, "markov"]).alias("spans"),
+        F.size("markov").cast("bigint").alias("n_markov"),
+    )
