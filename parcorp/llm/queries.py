@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup, mixing, secrets
+from parcorp.llm import exact_dedup, mixing, secrets, warc
 from parcorp.llm.common import at_least, with_package
+from parcorp.session import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +110,25 @@ FROM placed
 """)
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+# ---- 1: WARC -------------------------------------------------------------------------------
+@query("op1_warc_salvage", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS keep FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keep IS NULL OR keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep <> page_id THEN keep END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)
+""")
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.planned(pages), path)
+    records = warc.read(spark, path, payload=False).where("status = 'record'")
+    return records.select(
+        warc.page_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.col("payload_digest"), F.col("type").alias("record_type"),
+        warc.page_of("refers_to").alias("refers_to"),
+    )
