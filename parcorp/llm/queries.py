@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup, mixing, secrets, warc
+from parcorp.llm import exact_dedup, mixing, secrets, simhash, warc
 from parcorp.llm.common import at_least, with_package
 from parcorp.session import shared_dir
 
@@ -132,3 +132,11 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("payload_digest"), F.col("type").alias("record_type"),
         warc.page_of("refers_to").alias("refers_to"),
     )
+
+
+# ---- 7: SimHash near-duplicates ------------------------------------------------------------
+@query("op7_simhash_dedup")
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_groups(docs)
+    return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
