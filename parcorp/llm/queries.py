@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup, mixing, secrets, simhash, warc
+from parcorp.llm import exact_dedup, langid, mixing, secrets, simhash, warc
 from parcorp.llm.common import at_least, with_package
 from parcorp.session import shared_dir
 
@@ -140,3 +140,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.near_groups(docs)
     return out.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ---- 5: language identification --------------------------------------------------------------
+@query("op5_language_spans")
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identified(docs)
+    runs = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["lang"]))
+    return out.select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+        F.size("spans").cast("bigint").alias("n_spans"), F.array_join(runs, ",").alias("spans"),
+    )
