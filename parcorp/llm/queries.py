@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup, langid, mixing, secrets, simhash, warc
+from parcorp.llm import exact_dedup, langid, mixing, pq_dedup, secrets, simhash, warc
 from parcorp.llm.common import at_least, with_package
 from parcorp.session import shared_dir
 
@@ -152,3 +152,24 @@ def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
         F.size("spans").cast("bigint").alias("n_spans"), F.array_join(runs, ",").alias("spans"),
     )
+
+
+# ---- 10: embedding near-duplicates -------------------------------------------------------------
+@query("op10_pq_near_dedup", """
+WITH RECURSIVE
+u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+cnt AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN cnt USING (vec_id)
+""")
+def op10_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
