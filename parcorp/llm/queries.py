@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import exact_dedup, langid, mixing, pq_dedup, secrets, simhash, warc
-from parcorp.llm.common import at_least, with_package
+from parcorp.llm import chat, exact_dedup, langid, mixing, pq_dedup, secrets, simhash, warc
+from parcorp.llm.common import at_least, with_package, written
 from parcorp.session import shared_dir
 
 QUERIES: dict = {}
@@ -173,3 +173,30 @@ FROM comp LEFT JOIN cnt USING (vec_id)
 """)
 def op10_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+# ---- 9: chat formatting ------------------------------------------------------------------------
+_LOOKS_LIKE = r"([<\[])(\\*)(/?s>|\|endoftext\|>|/?INST\]|/?SYS\]|/?ROLE\])"
+
+
+@query("op9_chat_format", r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(text, '%(p)s', '\1\\\2\3', 'g')) AS chars,
+             length(regexp_replace(role, '%(p)s', '\1\\\2\3', 'g')) AS role_chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(chars + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 4
+                            ELSE 17 + role_chars END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""" % {"p": _LOOKS_LIKE})
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(written(chat.formatted(turns.unionByName(odd)), "chat"))
