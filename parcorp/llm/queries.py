@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import chat, exact_dedup, langid, mixing, pq_dedup, secrets, simhash, warc
+from parcorp.llm import chat, exact_dedup, langid, mixing, pq_dedup, secrets, simhash, suffixes, warc
 from parcorp.llm.common import at_least, with_package, written
 from parcorp.session import shared_dir
 
@@ -200,3 +200,35 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
                                 "conv_id bigint, turn bigint, role string, text string")
     return chat.read_back(written(chat.formatted(turns.unionByName(odd)), "chat"))
+
+
+# ---- 8: repeated passages ------------------------------------------------------------------------
+@query("op8_suffix_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS pos FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS k FROM p),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) = 1 AS first,
+             count(*) OVER (PARTITION BY k) AS n FROM h QUALIFY n > 1),
+s AS (SELECT doc_id, pos, kind,
+             CASE WHEN pos - lag(pos) OVER o <= 50 THEN 0 ELSE 1 END AS new
+      FROM (SELECT doc_id, pos, 'every' AS kind FROM r UNION ALL SELECT doc_id, pos, 'later' FROM r WHERE NOT first)
+      WINDOW o AS (PARTITION BY kind, doc_id ORDER BY pos)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY kind, doc_id ORDER BY pos) AS span FROM s),
+j AS (SELECT kind, doc_id, min(pos) AS a, max(pos) + 50 AS b FROM g GROUP BY kind, doc_id, span),
+t AS (SELECT kind, doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans, CAST(sum(b - a) AS BIGINT) AS n,
+             count(*) AS c FROM j GROUP BY kind, doc_id)
+SELECT d.doc_id, coalesce(e.c, 0) AS n_spans, coalesce(e.spans, '') AS spans, coalesce(e.n, 0) AS repeated_words,
+       coalesce(l.spans, '') AS later_spans, coalesce(l.n, 0) AS later_words
+FROM d LEFT JOIN t e ON e.doc_id = d.doc_id AND e.kind = 'every'
+       LEFT JOIN t l ON l.doc_id = d.doc_id AND l.kind = 'later'
+""")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(name: str):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
+    return out.select(
+        "doc_id", F.size("spans").cast("bigint").alias("n_spans"), listed("spans").alias("spans"),
+        F.col("n_words").alias("repeated_words"), listed("later").alias("later_spans"),
+        F.col("n_later").alias("later_words"))
