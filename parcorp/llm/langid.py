@@ -195,6 +195,47 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: s
     return Model(langs, counts[:SLOTS], counts[SLOTS:])
 
 
+def _grouped(model: Model, switch: float):
+    """A function from texts to (language, score, spans) of each."""
+    names = model.langs
+
+    def group(texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+        if names:
+            s, e, scores = model.words("\n".join(texts))
+        else:
+            s, e, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1))
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        labels = viterbi(scores, np.searchsorted(s, begin), switch)
+        doc = np.searchsorted(begin, s, side="right") - 1
+        letters = np.zeros((len(texts), max(1, len(names))), np.int64)
+        np.add.at(letters, (doc, labels), e - s)
+        total, top = letters.sum(axis=1), letters.argmax(axis=1)
+        pred = [names[i] if n else "und" for i, n in zip(top, total)]
+        spans: list[list[dict]] = [[] for _ in texts]
+        if len(s):
+            turn = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
+            new = np.flatnonzero(np.concatenate([[True], turn]))
+            for i, j in zip(new, np.concatenate([new[1:], [len(s)]]) - 1):
+                d = doc[i]
+                spans[d].append({"start": int(s[i] - begin[d]), "end": int(e[j] - begin[d]), "lang": names[labels[i]]})
+        return pred, letters.max(axis=1) / np.maximum(total, 1), spans
+
+    return group
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, of bounded size unless one text is longer."""
+    texts, size, lo = [], 0, 0
+    for i, t in enumerate(batch.column(column)):
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
+        if size >= GROUP:
+            yield batch.slice(lo, i + 1 - lo), texts
+            texts, size, lo = [], 0, i + 1
+    if texts:
+        yield batch.slice(lo), texts
+
+
 def label(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "text",
           switch: float = SWITCH) -> DataFrame:
     """(id, lang_pred, score, spans) for every row.
@@ -206,53 +247,39 @@ def label(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "te
     """
     with_package(docs.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    names = model.langs
-
-    def group(ids: list, texts: list[str]) -> pa.RecordBatch:
-        starts, ends, scores, sizes = [], [], [], []
-        joined = "\n".join(texts)
-        if names:
-            s, e, scores = model.words(joined)
-        else:
-            s, e, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1))
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        bounds = np.searchsorted(s, begin)
-        labels = viterbi(scores, bounds, switch)
-        doc = np.searchsorted(begin, s, side="right") - 1
-        letters = np.zeros((len(texts), max(1, len(names))), np.int64)
-        np.add.at(letters, (doc, labels), e - s)
-        total = letters.sum(axis=1)
-        top = letters.argmax(axis=1)
-        pred = [names[i] if n else "und" for i, n in zip(top, total)]
-        share = letters.max(axis=1) / np.maximum(total, 1)
-        new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])])) if len(s) else np.empty(0, np.int64)
-        last = np.concatenate([new[1:], [len(s)]]) - 1 if len(s) else new
-        spans: list[list] = [[] for _ in texts]
-        for i, j in zip(new, last):
-            d = doc[i]
-            spans[d].append({"start": int(s[i] - begin[d]), "end": int(e[j] - begin[d]), "lang": names[labels[i]]})
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, span)],
-            ["id", "lang_pred", "score", "spans"])
+    group = _grouped(model, switch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(i)
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= GROUP:
-                    yield group(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield group(ids, texts)
+            for part, texts in _parts(batch, 1):
+                pred, share, spans = group(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, span)],
+                    ["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("t"))
-    out = rows.mapInArrow(scan, "id bigint, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    out = rows.mapInArrow(scan, "id bigint, lang_pred string, score double, "
+                                "spans array<struct<start:bigint,end:bigint,lang:string>>")
     return out.withColumnRenamed("id", row_id)
 
 
+def accepted(docs: DataFrame, model: Model, min_score: float, text: str = "text",
+             switch: float = SWITCH) -> DataFrame:
+    """The rows of `docs`, all columns, whose main language has at least `min_score` of the
+    letters. Rows without letters go. One pass, nothing is shuffled."""
+    with_package(docs.sparkSession)
+    group, column = _grouped(model, switch), docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _parts(batch, column):
+                pred, share, _ = group(texts)
+                good = (share >= min_score) & np.array([p != "und" for p in pred])
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def held_out(row_id: Column) -> Column:
     """Rows that the model never learns from: crc32 of the id's text, mod 4, is 2."""
     return F.coalesce(F.crc32(row_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import chat, exact_dedup, langid, mixing, pq_dedup, secrets, simhash, suffixes, warc
+from parcorp.llm import chat, exact_dedup, langid, mixing, packing, pq_dedup, secrets, simhash, suffixes, warc
 from parcorp.llm.common import at_least, with_package, written
 from parcorp.session import shared_dir
 
@@ -232,3 +232,9 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("spans").cast("bigint").alias("n_spans"), listed("spans").alias("spans"),
         F.col("n_words").alias("repeated_words"), listed("later").alias("later_spans"),
         F.col("n_later").alias("later_words"))
+
+
+# ---- 4: best-fit packing ---------------------------------------------------------------------------
+@query("op4_best_fit_pack")
+def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
