@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcorp.llm import exact_dedup, langid, mixing, packing, simhash
-from parcorp.llm.common import written
+from parcorp.llm.common import columns_of, written
 
 MIN_SCORE = 0.3  # share of a text's letters that its main language must have
 
@@ -20,20 +20,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return exact_dedup.exact_groups(docs).where("_kept").select(*docs.columns)
+    return exact_dedup.exact_groups(docs).where("kept").select("row.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates the document with the smallest id; documents without an id stay."""
     gone = simhash.near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "near-copies"), "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: rows and files follow its positions."""
-    places = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_at"))
-    placed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return placed.orderBy("_at").select(*docs.columns)
+    places = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.min("position").alias("at"))
+    rows = docs.select(F.struct("*").alias("row"))
+    placed = rows.join(places, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    return placed.orderBy("at").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

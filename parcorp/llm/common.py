@@ -6,7 +6,7 @@ import os
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcorp.session import shared_dir
@@ -25,6 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of `df`, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def with_package(spark: SparkSession) -> None:
     """Let Python workers find this package where the caller's path does not name it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)

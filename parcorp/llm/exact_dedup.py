@@ -46,7 +46,7 @@ def exact_groups(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", salts: int = SALTS,
     digest=sha256,
 ) -> DataFrame:
-    """All columns of `docs` plus _digest, _keep, _size, _kept.
+    """(row, digest, keep, size, kept) for every row; `row` holds all columns of `docs`.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the largest id
     stays. Null texts equal empty ones. Rows that repeat an id and its text are counted
@@ -62,27 +62,19 @@ def exact_groups(
     slim = written(best.select("digest", "keep", "n"), "exact-winners")
     several = slim.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
 
-    names = ("_digest", "_keep", "_size", "_kept")
-    taken = {c.lower() for c in docs.columns}
-    if taken & set(names):
-        raise ValueError(f"columns {names} are made here")
-    left = docs.withColumn("_digest", digest(body))
+    left = docs.select(F.struct("*").alias("row"), digest(body).alias("digest"), F.col(row_id).alias("id"), body.alias("t"))
     groups = slim.where("n > 1").join(several, "digest", "left_anti")
-    groups = groups.select(F.col("digest").alias("_d"), F.col("keep").alias("_k"), F.col("n").alias("_n"))
+    groups = groups.select(F.col("digest").alias("d"), F.col("keep").alias("k"), "n")
     if several.isEmpty():
-        out = left.join(groups, F.col("_digest") == F.col("_d"), "left")
+        out = left.drop("t").join(groups, F.col("digest") == F.col("d"), "left")
     else:  # digests shared by unequal texts: their rows are matched by text
         exact = best.join(several, "digest", "left_semi").select(
-            F.col("digest").alias("_d2"), F.col("text").alias("_t2"),
-            F.col("keep").alias("_k2"), F.col("n").alias("_n2"),
-        )
-        same = (F.col("_digest") == F.col("_d2")) & (F.col("_t") == F.col("_t2"))
+            F.col("digest").alias("d2"), F.col("text").alias("t2"), F.col("keep").alias("k2"), F.col("n").alias("n2"))
+        same = (F.col("digest") == F.col("d2")) & (F.col("t") == F.col("t2"))
         out = (
-            left.withColumn("_t", body).join(groups, F.col("_digest") == F.col("_d"), "left")
-            .join(exact, same, "left")
-            .withColumn("_k", F.coalesce("_k2", "_k")).withColumn("_n", F.coalesce("_n2", "_n"))
+            left.join(groups, F.col("digest") == F.col("d"), "left").join(exact, same, "left")
+            .withColumn("k", F.coalesce("k2", "k")).withColumn("n", F.coalesce("n2", "n"))
         )
-    out = out.withColumn("_size", F.coalesce("_n", F.lit(1)).cast("bigint"))
-    out = out.withColumn("_keep", F.when(F.col("_size") > 1, F.col("_k")).otherwise(F.col(row_id)))
-    out = out.withColumn("_kept", F.col(row_id).eqNullSafe(F.col("_keep")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names)
+    out = out.withColumn("size", F.coalesce("n", F.lit(1)).cast("bigint"))
+    out = out.withColumn("keep", F.when(F.col("size") > 1, F.col("k")).otherwise(F.col("id")))
+    return out.select("row", "digest", "keep", "size", F.col("id").eqNullSafe(F.col("keep")).alias("kept"))

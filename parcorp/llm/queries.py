@@ -43,8 +43,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup.exact_groups(docs)
     return out.select(
-        "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"),
+        "row.doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
+        "kept", F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
@@ -56,7 +56,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = list(secrets.PATTERNS)
     out = secrets.find(docs, model)
     return out.select(
-        "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
+        "row.doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed([*base, "markov"]).alias("spans"),
         F.size("markov").cast("bigint").alias("n_markov"),

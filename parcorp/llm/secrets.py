@@ -118,23 +118,19 @@ def llr(token: Column, model: list[int]) -> Column:
 
 
 def find(texts: DataFrame, model: list[int], text: str = "text", threshold: int = LLR_MILLI) -> DataFrame:
-    """All columns of `texts` plus `assign`, `access`, `hex`, `markov`: arrays of
-    (start, end, match), ends exclusive, positions in code points.
+    """(row, assign, access, hex, markov) for every row: `row` holds all columns of `texts`,
+    the others are arrays of (start, end, match), ends exclusive, positions in code points.
 
     Runs of 16 or more token characters are reported as `markov` when the model of random
     strings explains them better than that of ordinary identifiers by the threshold; they
     may cover spans of the fixed patterns, which always stay. Null texts count as empty
     and hold nothing; whole texts are searched, however long.
     """
-    kinds = list(PATTERNS) + ["markov"]
-    taken = {c.lower() for c in texts.columns} & set(kinds)
-    if taken:
-        raise ValueError(f"columns {taken} are made here")
     body = F.coalesce(F.col(text), F.lit(""))
     cols = {kind: _found(body, kind, pattern) for kind, pattern in SEARCHED.items()}
     tokens = _found(body, "markov", TOKEN)
     cols["markov"] = F.filter(tokens, lambda m: llr(m["match"], model) >= threshold)
-    return texts.withColumns(cols)
+    return texts.select(F.struct("*").alias("row"), *[c.alias(kind) for kind, c in cols.items()])
 
 
 def listed(kinds: list[str]) -> Column:
