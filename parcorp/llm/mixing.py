@@ -12,116 +12,81 @@ from parcorp.llm.common import written
 from parcorp.operators.ranking import running_total
 
 BLOCK_ROWS = 16
-SEGMENT = 256  # slots that one fold schedules, unless a small weight needs more
-MAX_SEGMENT = 10_000
+MAX_ROUND = 10_000  # slots of a round: bounds what one row schedules
 MAX_SOURCES = 10_000
 BUCKET_ROWS = 2_000
 
 
-def default_weights(counts: dict[str, int], flat: float = 0.7) -> dict[str, int]:
-    """Weights that grow as the count to the power `flat`, in thousandths of the largest."""
-    top = max(counts.values(), default=1)
-    return {s: max(1, round(1000 * (n / top) ** flat)) for s, n in counts.items()}
+def default_weights(counts: dict[str, int], flat: float = 0.7, top: int = 50) -> dict[str, int]:
+    """Weights that grow as the count to the power `flat`; the largest is `top`."""
+    most = max(counts.values(), default=1)
+    return {s: max(1, round(top * (n / most) ** flat)) for s, n in counts.items()}
 
 
-def schedule(spark: SparkSession, blocks: dict[int, int], weights: dict[int, int],
-             segment: int = SEGMENT) -> DataFrame:
+def schedule(spark: SparkSession, blocks: dict[int, int], weights: dict[int, int]) -> DataFrame:
     """(slot, src, block): which block (from 0) of which source fills each slot.
 
-    `blocks` and `weights` hold whole numbers by source number. t(v) is the work that a
-    fluid schedule has done by virtual time v: every source with blocks left advances at
-    its weight, so an exhausted one leaves its share to the others. Block i of a source of
-    weight w is released at floor(t(i/w)) and due at ceil(t((i+1)/w)). Each slot goes to
-    the released block that is due first, ties to the smaller source number. After any
-    number of slots each source has the floor or the ceiling of its fluid share.
-
-    So that the horizon need not be scheduled in one go it is cut into segments, long
-    enough for every source to advance by a block. The state at a cut is the fluid share
-    rounded by cumulative sums: still floor or ceiling, and always one from which and to
-    which all windows can be kept. Each segment is one fold over its slots.
+    `blocks` and `weights` hold whole numbers by source number. The schedule goes in rounds
+    of as many slots as the weights add up to. In each, a source has a quota of as many
+    blocks as its weight, or in its last round what it has left; the others then share the
+    round in proportion to their weights. With quota q in a round of Q slots, block i of a
+    source is released at floor(i Q / q) and due at ceil((i + 1) Q / q). Each slot goes to
+    the released block that is due first, ties to the smaller source number. So after any
+    number of slots every source has the floor or the ceiling of its share: it is off by
+    less than one block. Shares are whole at the end of a round, so rounds do not depend on
+    each other: each is one row, scheduled by a fold over its slots.
     """
     src = sorted(s for s in blocks if blocks[s] > 0)
     if any(weights[s] <= 0 for s in src):
         raise ValueError("weights must be positive")
-    total = sum(blocks[s] for s in src)
-    if not total:
+    if sum(weights[s] for s in src) > MAX_ROUND:
+        raise ValueError("the weights add up to too long a round")
+    if not src:
         return spark.createDataFrame([], "slot bigint, src bigint, block bigint")
-    length = math.ceil(sum(weights[s] for s in src) / min(weights[s] for s in src))
-    if length > MAX_SEGMENT:
-        raise ValueError("the smallest weight is too small a share of all")
-    length = max(length, segment)
-
-    # a source is exhausted once slot * w >= done
-    rows = []
-    for s in src:
-        done = sum(min(blocks[r] * weights[s], weights[r] * blocks[s]) for r in src)
-        rows.append((s, blocks[s], weights[s], done))
-    # one foldable column holds the sources, as each row needs all of them
-    listing = ",".join(f"named_struct('s',{s}L,'n',{n}L,'w',{w}L,'done',{d}L)" for s, n, w, d in rows)
-    sources = F.expr(f"array({listing})")
-
-    grid = spark.range(math.ceil(total / length)).select(
-        F.col("id").alias("k"), (F.col("id") * length).alias("f0"),
-        F.least((F.col("id") + 1) * length, F.lit(total)).alias("f1"),
-        F.explode(sources).alias("x"),
-    ).select("k", "f0", "f1", "x.*")
-    whole, upto = W.partitionBy("k"), W.partitionBy("k").orderBy("s")
-    upto = upto.rowsBetween(W.unboundedPreceding, 0)
-
-    def rounded(df: DataFrame, f: str, out: str) -> DataFrame:
-        gone = F.col(f) * F.col("w") >= F.col("done")
-        held, left = F.when(gone, F.col("n")).otherwise(0), F.when(gone, 0).otherwise(F.col("w"))
-        df = df.withColumns({
-            "_d": F.sum(held).over(whole), "_w": F.greatest(F.sum(left).over(whole), F.lit(1)),
-            "_pd": F.sum(held).over(upto), "_pw": F.sum(left).over(upto),
-        })
-        df = df.withColumn("_c", F.expr(f"_pd + (({f} - _d) * _pw) div _w"))
-        before = F.coalesce(F.lag("_c").over(W.partitionBy("k").orderBy("s")), F.lit(0))
-        return df.withColumn(out, F.col("_c") - before).drop("_d", "_w", "_pd", "_pw", "_c")
-
-    grid = rounded(rounded(grid, "f0", "a0"), "f1", "a1").where("a1 > a0")
-
-    def work(x: Column) -> Column:  # t(x / w) * w
-        return F.aggregate(sources, F.lit(0).cast("bigint"), lambda acc, r: acc + F.least(
-            r["n"] * F.col("w"), r["w"] * x))
-
-    def slots(x: Column, up: int) -> Column:
-        return F.floor((work(x) + (F.col("w") - 1) * up).cast("decimal(20,0)") / F.col("w")).cast("bigint")
-
-    jobs = F.transform(F.sequence(F.col("a0"), F.col("a1") - 1), lambda i: F.struct(
-        slots(i, 0).alias("release"), slots(i + 1, 1).alias("due")))
-    segments = grid.withColumn("jobs", jobs).groupBy("k", "f0", "f1").agg(
-        F.array_sort(F.collect_list(F.struct("s", "a0", "jobs"))).alias("src"))
-
-    start = F.struct(
-        F.transform("src", lambda _: F.lit(0)).alias("taken"),
+
+    listing = ",".join(f"named_struct('s',{s}L,'n',{blocks[s]}L,'w',{weights[s]}L)" for s in src)
+    sources = F.expr(f"array({listing})")  # foldable: each round needs all of them
+    r = F.col("id")
+
+    def total(value) -> Column:
+        return F.aggregate(sources, F.lit(0).cast("bigint"), lambda acc, x: acc + value(x))
+
+    def quota(x: Column) -> Column:
+        return F.greatest(F.least(x["w"], x["n"] - x["w"] * r), F.lit(0))
+
+    rounds = spark.range(max(-(-blocks[s] // weights[s]) for s in src)).select(
+        total(lambda x: F.least(x["n"], x["w"] * r)).alias("start"), total(quota).alias("length"),
+        F.transform(sources, lambda x: F.struct(
+            x["s"].alias("s"), (x["w"] * r).alias("base"), quota(x).alias("q"))).alias("src"),
+    )
+    begin = F.struct(
+        F.transform("src", lambda _: F.lit(0).cast("bigint")).alias("taken"),
         F.expr("cast(array() as array<struct<src:bigint,block:bigint>>)").alias("picks"),
     )
 
     def step(acc: Column, slot: Column) -> Column:
         def offer(x: Column, j: Column) -> Column:
-            job = F.get(x["jobs"], F.get(acc["taken"], j))
-            return F.when(job["release"] <= slot, F.struct(job["due"].alias("due"), j.alias("j")))
+            i = F.get(acc["taken"], j)
+            ready = (i < x["q"]) & (F.floor(i * F.col("length") / x["q"]) <= slot)
+            return F.when(ready, F.struct(
+                F.ceil((i + 1) * F.col("length") / x["q"]).alias("due"), j.alias("j")))
 
         best = F.array_min(F.transform("src", offer))["j"]
         pick = F.get(F.col("src"), best)
         return F.struct(
-            F.transform(acc["taken"], lambda c, j: c + (j == best).cast("int")).alias("taken"),
+            F.transform(acc["taken"], lambda c, j: c + (j == best).cast("bigint")).alias("taken"),
             F.concat(acc["picks"], F.array(F.struct(
-                pick["s"].alias("src"), (pick["a0"] + F.get(acc["taken"], best)).alias("block"),
+                pick["s"].alias("src"), (pick["base"] + F.get(acc["taken"], best)).alias("block"),
             ))).alias("picks"),
         )
 
-    picks = F.aggregate(F.sequence(F.col("f0"), F.col("f1") - 1), start, step)["picks"]
-    return (
-        segments.select("f0", F.posexplode(picks).alias("i", "p"))
-        .select((F.col("f0") + F.col("i")).alias("slot"), "p.src", "p.block")
-    )
+    picks = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1), begin, step)["picks"]
+    return rounds.select("start", F.posexplode(picks).alias("i", "p")).select(
+        (F.col("start") + F.col("i")).alias("slot"), "p.src", "p.block")
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS,
-        seed: int = 42, row_id: str = "doc_id", source: str = "source",
-        segment: int = SEGMENT) -> DataFrame:
+        seed: int = 42, row_id: str = "doc_id", source: str = "source") -> DataFrame:
     """(id, source, block, slot, position) for every row: its place in the mixture.
 
     The rows of a source are put in a random order that depends on `seed` and the ids,
@@ -145,7 +110,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     spark = docs.sparkSession
     plan = schedule(
         spark, {number[s]: -(-n // block_rows) for s, n in counts.items()},
-        {number[s]: weights[s] for s in counts}, segment,
+        {number[s]: weights[s] for s in counts},
     )
     names = spark.createDataFrame([(s, i, n) for s, i in number.items() for n in [counts[s]]],
                                   "_s string, src bigint, n bigint")

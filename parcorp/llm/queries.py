@@ -64,43 +64,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- 2: mixing sources to target weights ---------------------------------------------------
-# The schedule's segments (256 slots unless a small weight needs more) start from rounded
-# fluid shares, as in the operator; the recursion fills their slots one by one.
 @query("op2_pfair_mix", """
 WITH RECURSIVE
 ids AS (SELECT doc_id, coalesce(source, '') AS s,
                md5('42|' || CAST(doc_id AS VARCHAR)) AS key FROM documents),
 cnt AS (SELECT s, count(*) AS rows_, CAST(ceil(count(*) / 16.0) AS BIGINT) AS n,
                row_number() OVER (ORDER BY s) AS j FROM ids GROUP BY s),
-src AS (SELECT *, CAST(greatest(1, round(1000 * pow(rows_ / (SELECT max(rows_) FROM cnt), 0.7))) AS BIGINT) AS w FROM cnt),
-par AS (SELECT greatest(256, CAST(ceil(sum(w) / min(w)) AS BIGINT)) AS l, CAST(sum(n) AS BIGINT) AS total FROM src),
-ends AS (SELECT a.j, a.s, a.n, a.w, CAST(sum(least(b.n * a.w, b.w * a.n)) AS BIGINT) AS done
-         FROM src a, src b GROUP BY ALL),
-cuts AS (SELECT k, least(k * l, total) AS f
-         FROM par, (SELECT unnest(range(0, (SELECT CAST(ceil(total / l) AS BIGINT) + 1 FROM par))) AS k)),
-flow AS (SELECT k, f, j, CASE WHEN f * w >= done THEN n ELSE 0 END AS held,
-                CASE WHEN f * w >= done THEN 0 ELSE w END AS lft FROM cuts, ends),
-csum AS (SELECT k, f, j, sum(held) OVER p + ((f - sum(held) OVER a) * sum(lft) OVER p)
-                // greatest(sum(lft) OVER a, 1) AS c
-         FROM flow WINDOW a AS (PARTITION BY k), p AS (PARTITION BY k ORDER BY j)),
-state AS (SELECT k, f, j, CAST(c - coalesce(lag(c) OVER (PARTITION BY k ORDER BY j), 0) AS BIGINT) AS a FROM csum),
-start AS (SELECT k, f, list(a ORDER BY j) AS a FROM state GROUP BY ALL),
-seg AS (SELECT x.k, x.f AS f0, y.f AS f1, x.a AS a0, y.a AS a1 FROM start x JOIN start y ON y.k = x.k + 1),
-jobs AS (SELECT a.j, i, CAST(sum(least(b.n * a.w, b.w * i)) // a.w AS BIGINT) AS release,
-                CAST((sum(least(b.n * a.w, b.w * (i + 1))) + a.w - 1) // a.w AS BIGINT) AS due
-         FROM (SELECT j, n, w, unnest(range(0, n)) AS i FROM src) a, src b GROUP BY a.j, i, a.w),
-windows AS (SELECT list(list_of ORDER BY j) AS jobs FROM
-            (SELECT j, list({'release': release, 'due': due} ORDER BY i) AS list_of FROM jobs GROUP BY j)),
+src AS (SELECT *, CAST(greatest(1, round(50 * pow(rows_ / (SELECT max(rows_) FROM cnt), 0.7))) AS BIGINT) AS w FROM cnt),
+rounds AS (SELECT unnest(range(0, (SELECT CAST(max(ceil(n / w)) AS BIGINT) FROM src))) AS r),
+seg AS (SELECT r, CAST(sum(least(n, w * r)) AS BIGINT) AS f0,
+               list(greatest(least(w, n - w * r), 0) ORDER BY j) AS q, list(w * r ORDER BY j) AS base,
+               CAST(sum(greatest(least(w, n - w * r), 0)) AS BIGINT) AS len FROM rounds, src GROUP BY r),
 run AS (
-  SELECT k, f0 AS slot, f1, a0 AS cnt, a1, CAST(NULL AS BIGINT) AS j, CAST(NULL AS BIGINT) AS block FROM seg
+  SELECT r, CAST(0 AS BIGINT) AS t, f0, len, q, base, list_transform(q, lambda c: CAST(0 AS BIGINT)) AS cnt,
+         CAST(NULL AS BIGINT) AS j, CAST(NULL AS BIGINT) AS block FROM seg
   UNION ALL
-  SELECT k, slot + 1, f1, list_transform(cnt, lambda c, q: CASE WHEN q = best THEN c + 1 ELSE c END),
-         a1, best, cnt[best]
-  FROM (SELECT r.*, list_min(list_filter(list_transform(cnt, lambda c, q:
-               CASE WHEN c < a1[q] AND jobs[q][c + 1].release <= slot
-                    THEN {'due': jobs[q][c + 1].due, 'j': q} END), lambda z: z IS NOT NULL)).j AS best
-        FROM run r, windows WHERE slot < f1)),
-plan AS (SELECT slot - 1 AS slot, j, block FROM run WHERE j IS NOT NULL),
+  SELECT r, t + 1, f0, len, q, base, list_transform(cnt, lambda c, i: CASE WHEN i = best THEN c + 1 ELSE c END),
+         best, base[best] + cnt[best]
+  FROM (SELECT *, list_min(list_filter(list_transform(cnt, lambda c, i:
+               CASE WHEN c < q[i] AND c * len // greatest(q[i], 1) <= t
+                    THEN {'due': ((c + 1) * len + q[i] - 1) // q[i], 'j': i} END), lambda z: z IS NOT NULL)).j AS best
+        FROM run WHERE t < len)),
+plan AS (SELECT f0 + t - 1 AS slot, j, block FROM run WHERE j IS NOT NULL),
 ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY key, doc_id) - 1 AS rank_ FROM ids),
 placed AS (SELECT doc_id, s, rank_, rank_ // 16 AS block, slot
            FROM ranked JOIN src USING (s) JOIN plan ON plan.j = src.j AND plan.block = rank_ // 16)

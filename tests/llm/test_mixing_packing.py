@@ -7,61 +7,58 @@ import pytest
 from parcorp.llm import mixing, packing
 
 
-def fluid(blocks, weights, slots):
-    """Exact shares after each slot."""
-    done = {s: Fraction(0) for s in blocks}
-    for _ in range(slots):
-        left = Fraction(1)
-        while left > 0:
-            live = [s for s in blocks if done[s] < blocks[s]]
-            total = sum(weights[s] for s in live)
-            dt = min([left / total] + [(blocks[s] - done[s]) / weights[s] for s in live])
-            for s in live:
-                done[s] += weights[s] * dt
-            left -= dt * total
-        yield dict(done)
-
-
-@pytest.mark.parametrize("case", range(3))
+def rounds(blocks, weights):
+    """Quotas of the rounds, until all blocks are used."""
+    left = dict(blocks)
+    while any(left.values()):
+        quota = {s: min(weights[s], left[s]) for s in left}
+        left = {s: left[s] - quota[s] for s in left}
+        yield quota
+
+
+@pytest.mark.parametrize("case", range(6))
 def test_deviation_below_one_block(spark, case):
     rnd = random.Random(case)
-    n = {s: rnd.randint(0, 60) for s in range(rnd.randint(1, 7))}
-    w = {s: rnd.randint(1, 30) for s in n}
-    out = sorted(mixing.schedule(spark, n, w, segment=1).collect())
-    total = sum(n.values())
-    assert [r.slot for r in out] == list(range(total))
-    used = {s: 0 for s in n}
-    for r, share in zip(out, fluid(n, w, total)):
-        assert r.block == used[r.src]
-        used[r.src] += 1
-        assert all(abs(share[s] - used[s]) < 1 for s in n)
+    n = {s: rnd.randint(0, 300) for s in range(rnd.randint(1, 12))}
+    w = {s: rnd.choice([1, 2, 7, 50]) for s in n}
+    out = sorted(mixing.schedule(spark, n, w).collect())
+    assert [r.slot for r in out] == list(range(sum(n.values())))
+    used, at = {s: 0 for s in n}, 0
+    for quota in rounds(n, w):
+        total, before = sum(quota.values()), dict(used)
+        for t in range(1, total + 1):
+            r = out[at]
+            at += 1
+            assert r.block == used[r.src]
+            used[r.src] += 1
+            assert all(abs(Fraction(quota[s] * t, total) - (used[s] - before[s])) < 1 for s in n)
     assert used == n
 
 
 def edf(n, w):
-    """Earliest deadline first over the whole horizon, slot by slot."""
-    def t(s, x):
-        return sum(min(n[r] * w[s], w[r] * x) for r in n)
-
+    """Earliest deadline first, slot by slot."""
     used, out = {s: 0 for s in n}, []
-    for slot in range(sum(n.values())):
-        ready = [(-(-t(s, used[s] + 1) // w[s]), s) for s in n if used[s] < n[s] and t(s, used[s]) // w[s] <= slot]
-        _, s = min(ready)
-        out.append((slot, s, used[s]))
-        used[s] += 1
+    for quota in rounds(n, w):
+        total, taken = sum(quota.values()), {s: 0 for s in n}
+        for t in range(total):
+            ready = [(-(-(taken[s] + 1) * total // quota[s]), s) for s in n
+                     if taken[s] < quota[s] and taken[s] * total // quota[s] <= t]
+            _, s = min(ready)
+            out.append((len(out), s, used[s]))
+            taken[s] += 1
+            used[s] += 1
     return out
 
 
-def test_one_segment_is_plain_edf(spark):
-    n, w = {0: 40, 1: 17, 2: 5, 3: 0}, {0: 5, 1: 3, 2: 1, 3: 9}
-    got = sorted(tuple(r) for r in mixing.schedule(spark, n, w).collect())
-    assert got == edf({s: c for s, c in n.items() if c}, w)
+def test_schedule_is_edf(spark):
+    n, w = {0: 400, 1: 170, 2: 5, 3: 0, 4: 33}, {0: 50, 1: 13, 2: 1, 3: 9, 4: 13}
+    assert sorted(tuple(r) for r in mixing.schedule(spark, n, w).collect()) == edf(n, w)
 
 
 def test_mix_places_every_row_once(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", "t") for i in range(500)] + [(None, None, None), (3, "hot", "t"), (3, "", "t")]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot string")
-    out = mixing.mix(df, block_rows=8, segment=1).collect()
+    out = mixing.mix(df, block_rows=8).collect()
     assert sorted(r.position for r in out) == list(range(len(rows)))
     for r in out:  # rows of a block stand together
         assert r.block >= 0
