@@ -42,8 +42,7 @@ class Words:
         self.stop = np.repeat(self.begin[1:], sizes)  # end of the text, per word
         self._sums: dict[int, tuple] = {}
 
-    def ranges(self, length: int, base: int = 0) -> np.ndarray:
-        """Hash of the `length` words from each position on, also across texts."""
+    def _prefix(self, base: int) -> tuple[np.ndarray, np.ndarray]:
         if base not in self._sums:
             b = _BASES[base]
             n = len(self.hash)
@@ -54,10 +53,19 @@ class Words:
             power, inverse = np.cumprod(power), np.cumprod(inverse)
             total = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * power)])
             self._sums[base] = total, inverse
-        total, inverse = self._sums[base]
+        return self._sums[base]
+
+    def ranges(self, length: int, base: int = 0) -> np.ndarray:
+        """Hash of the `length` words from each position on, also across texts."""
+        total, inverse = self._prefix(base)
         m = max(0, len(self.hash) - length + 1)
         return _mixed((total[length:length + m] - total[:m]) * inverse[:m])
 
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hash of the words from lo to before hi, and of their number."""
+        total, inverse = self._prefix(1)
+        return _mixed((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+
     def anchors(self, words: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """(starts, anchors): every start of a passage of `words` words within one text, and
         the position among the next `window` ones whose gram has the smallest hash (the
@@ -88,9 +96,25 @@ def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list
         yield lo, batch.num_rows, texts
 
 
+_ROW = "h1 bigint, h2 bigint, id bigint, pos int, n int"
+
+
+def _rows(ids: np.ndarray, w: Words, h1: np.ndarray, h2: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    doc = np.searchsorted(w.begin, at, side="right") - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[doc]),
+         pa.array((at - w.begin[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+        ["h1", "h2", "id", "pos", "n"])
+
+
 def sparse_suffixes(docs: DataFrame, words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h1, h2, id, pos): the kept suffixes. Every passage of `words` words has one within its
-    first `window` positions; h1 and h2 stand for the words - window + 1 words from there on."""
+    """(h1, h2, id, pos, n): one row per kept suffix.
+
+    Each passage of `words` words belongs to the suffix at its anchor, one of its first
+    `window` positions; pos and n name the passages of a suffix: they start at pos, pos + 1,
+    … pos + n - 1. h1 stands for the words - window + 1 words from the anchor on, which all
+    of them share, h2 for all words of all of them.
+    """
     prefix = words - window + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,114 +122,119 @@ def sparse_suffixes(docs: DataFrame, words: int = MIN_WORDS, window: int = WINDO
             ids = batch.column(0).to_numpy()
             for lo, hi, texts in _groups(batch, 1):
                 w = Words(texts)
-                _, at = w.anchors(words, window, gram)
-                at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-                doc = np.searchsorted(w.begin, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.ranges(prefix)[at].view(np.int64)), pa.array(w.ranges(prefix, 1)[at].view(np.int64)),
-                     pa.array(ids[lo:hi][doc]), pa.array((at - w.begin[doc]).astype(np.int32))],
-                    ["h1", "h2", "id", "pos"])
+                starts, anchor = w.anchors(words, window, gram)
+                # a suffix's passages follow one another within one text
+                new = np.flatnonzero(np.concatenate(
+                    [[True], (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)])) if len(starts) else starts
+                n = np.diff(np.concatenate([new, [len(starts)]]))
+                first = starts[new]
+                yield _rows(ids[lo:hi], w, w.ranges(prefix)[anchor[new]], w.between(first, first + n - 1 + words), first, n)
 
-    return docs.mapInArrow(scan, "h1 bigint, h2 bigint, id bigint, pos int")
+    return docs.mapInArrow(scan, _ROW)
 
 
-def passages(docs: DataFrame, words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h1, h2, id, pos) of every passage of `words` words around the suffixes `at` of a text:
-    docs (id, text, at), where `at` lists the positions of suffixes that match another."""
+def passages(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+    """(h1, h2, id, pos, 1) of the passages that `at` (pos, n) lists: docs (id, text, at)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column(0).to_numpy(), batch.column(2)
             for lo, hi, texts in _groups(batch, 1):
                 w = Words(texts)
-                starts, anchor = w.anchors(words, window, gram)
-                wanted = np.zeros(len(w.hash) + 1, bool)
+                parts = []
                 for i in range(lo, hi):
-                    wanted[at[i].values.to_numpy() + w.begin[i - lo]] = True
-                q = starts[wanted[anchor]]
-                doc = np.searchsorted(w.begin, q, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.ranges(words)[q].view(np.int64)), pa.array(w.ranges(words, 1)[q].view(np.int64)),
-                     pa.array(ids[lo:hi][doc]), pa.array((q - w.begin[doc]).astype(np.int32))],
-                    ["h1", "h2", "id", "pos"])
+                    pos = at[i].values.field("pos").to_numpy() + w.begin[i - lo]
+                    n = at[i].values.field("n").to_numpy()
+                    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    parts.append(np.repeat(pos, n) + shift)
+                q = np.concatenate(parts)
+                yield _rows(ids[lo:hi], w, w.ranges(words)[q], w.ranges(words, 1)[q], q, np.ones(len(q)))
 
-    return docs.mapInArrow(scan, "h1 bigint, h2 bigint, id bigint, pos int")
+    return docs.mapInArrow(scan, _ROW)
 
 
-def repeated(rows: DataFrame, tasks: int) -> DataFrame:
-    """Rows (h1, h2, id, pos) whose hashes occur again, with `first`: the first of its kind.
+ONLY, FIRST, LATER = 0, 1, 2
+
+
+def compared(rows: DataFrame, tasks: int, hashes: int = 2, only: bool = False) -> DataFrame:
+    """Rows (h1, h2, id, pos, n) with `kind`: whether a row is the first (by id, then pos) or
+    a later one of several with its hashes (h1, or both); with `only`, also those that are alone.
 
     Rows are sorted over all tasks by hash, then place, and compared with their neighbours.
     A hash of very many rows runs on over several tasks; each task reports its first and
     last run, and those few rows are settled by an aggregate.
     """
-    dealt = rows.repartitionByRange(tasks, "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos")
-    names = ["h1", "h2", "id", "pos", "first", "run"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+    keys = ["h1", "h2", "id", "pos"]
+    dealt = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    names = ["h1", "h2", "id", "pos", "n", "kind", "run"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def packed(cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the run that goes on: its first row, how many rows so far, whether it is the task's first
-        start, n, opening = None, 0, True
+        # the run that goes on: its first row, its rows so far, whether it is the task's first
+        start, size, opening = None, 0, True
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = zip(*rows) if rows else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        def ended() -> list[tuple]:
+            if opening:
+                return [(*start, 0, size)]
+            if size > 1 or only:
+                return [(*start, FIRST if size > 1 else ONLY, 0)]
+            return []
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, ids, pos = (batch.column(i).to_numpy() for i in range(4))
-            new = np.concatenate([[start is None or (a[0], b[0]) != start[:2]], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            a = cols[0]
+            other = np.any([c[1:] != c[:-1] for c in cols[:hashes]], axis=0)
+            here = tuple(int(c[0]) for c in cols[:hashes])
+            new = np.concatenate([[start is None or here != start[:hashes]], other])
             heads = np.flatnonzero(new)
-            cuts = np.r_[heads, len(a)]
-            single: list[tuple] = []
-            # the run from before ends, or goes on through the whole batch
+            kind = np.where(new, -1, LATER)
+            extra: list[tuple] = []
             if start is not None:
-                n += int(cuts[0])
-                if len(heads) and (opening or n > 1):
-                    single.append((*start, not opening, n if opening else 0))
-                    opening = False
-            size = np.diff(cuts)
-            keep = ~new  # members behind the first row of a run
-            whole = heads[:-1][size[:-1] > 1] if len(heads) else heads
+                size += int(heads[0]) if len(heads) else len(a)
             if len(heads):
-                if start is None and opening and len(heads) > 1:  # the task's first run ends here
-                    h = heads[0]
-                    single.append((int(a[h]), int(b[h]), int(ids[h]), int(pos[h]), False, int(size[0])))
-                    whole = whole[whole != h]
-                    opening = False
-                elif start is not None or len(heads) > 1:
+                if start is not None:
+                    extra += ended()
                     opening = False
-                h = heads[-1]
-                start, n = (int(a[h]), int(b[h]), int(ids[h]), int(pos[h])), int(size[-1])
-            first = np.zeros(len(a), bool)
-            first[whole] = True
-            keep[whole] = True
-            at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[at]), pa.array(b[at]), pa.array(ids[at]), pa.array(pos[at]), pa.array(first[at]),
-                 pa.array(np.zeros(len(at), np.int64))], names)
-            yield out(single)
+                sizes = np.diff(np.concatenate([heads, [len(a)]]))
+                for h, n in ((heads[0], int(sizes[0])),) if opening and len(heads) > 1 else ():
+                    start, size = tuple(int(c[h]) for c in cols), n
+                    extra += ended()
+                    opening, heads, sizes = False, heads[1:], sizes[1:]
+                inner = heads[:-1]
+                kind[inner] = np.where(sizes[:-1] > 1, FIRST, ONLY if only else -1)
+                start, size = tuple(int(c[heads[-1]]) for c in cols), int(sizes[-1])
+            at = np.flatnonzero(kind >= 0)
+            yield packed([*(c[at] for c in cols), kind[at], np.zeros(len(at), np.int64)])
+            if extra:
+                yield packed(zip(*extra))
         if start is not None:
-            yield out([(*start, False, n)])
+            yield packed(zip((*start, 0, size)))
 
-    found = written(dealt.mapInArrow(scan, "h1 bigint, h2 bigint, id bigint, pos int, first boolean, run bigint"), "suffix-runs")
+    found = written(dealt.mapInArrow(scan, f"{_ROW}, kind int, run bigint"), "suffix-runs")
     # run > 0: the first row of a task's first or last run, with the length of the run
     edges = found.where("run > 0")
-    totals = edges.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(
-        F.sum("run").alias("total"), F.min(F.struct("id", "pos")).alias("low")).where("total > 1")
-    settled = edges.join(totals, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select(
-        "h1", "h2", "id", "pos", (F.struct("id", "pos") == F.col("low")).alias("first"))
-    return found.where("run = 0").select("h1", "h2", "id", "pos", "first").unionByName(settled)
+    by = [F.col(k).alias(f"k{k}") for k in keys[:hashes]]
+    totals = edges.groupBy(*by).agg(F.sum("run").alias("total"), F.min(F.struct("id", "pos")).alias("low"))
+    kind = F.when(F.col("total") == 1, ONLY).when(F.struct("id", "pos") == F.col("low"), FIRST).otherwise(LATER)
+    settled = edges.join(totals, [F.col(k) == F.col(f"k{k}") for k in keys[:hashes]])
+    settled = settled.withColumn("kind", kind).where(F.lit(only) | (F.col("kind") != ONLY))
+    cols = ["h1", "h2", "id", "pos", "n", "kind"]
+    return found.where("run = 0").select(*cols).unionByName(settled.select(*cols))
 
 
 def spans(rows: DataFrame, words: int) -> DataFrame:
-    """(id, spans, n_words): passages (id, pos) joined where they overlap or touch."""
-    by_doc = W.partitionBy("id").orderBy("pos")
-    step = F.col("pos") - F.lag("pos").over(by_doc)
-    rows = rows.select("id", "pos").distinct().withColumn("new", (step.isNull() | (step > words)).cast("int"))
-    rows = rows.withColumn("span", F.sum("new").over(by_doc))
-    joined = rows.groupBy("id", "span").agg(F.min("pos").alias("start"), (F.max("pos") + words).alias("end"))
+    """(id, spans, n_words): passages (id, pos, n) joined where they overlap or touch."""
+    by_doc = W.partitionBy("id").orderBy("pos", "n")
+    rows = rows.select("id", "pos", (F.col("pos") + F.col("n") - 1 + words).alias("end"), "n")
+    before = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (before.isNull() | (F.col("pos") > before)).cast("int"))
+    rows = rows.withColumn("span", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
+    joined = rows.groupBy("id", "span").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
     return joined.groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
         F.sum(F.col("end") - F.col("start")).cast("bigint").alias("n_words"))
@@ -222,28 +251,34 @@ def repeated_passages(docs: DataFrame, row_id: str = "doc_id", text: str = "text
     and empty texts hold none. Rows that repeat an id share their spans; rows without an id
     are not searched. An empty table gives no rows.
 
-    Suffixes at selected positions are sorted by the hash of their first words, and those
-    that equal a neighbour are extended to the left and right, to all passages that contain
-    them; these are compared in the same way. Every repeated passage is found.
+    Suffixes at selected positions are sorted by their first words, and those that equal no
+    neighbour are dropped. The others are extended to the left and right: first as a whole,
+    to all passages that belong to them; where neighbours agree on these, one of them stands
+    for all. What is left differs from its neighbours somewhere in reach and is compared
+    passage by passage. Every repeated passage is found.
     """
     with_package(docs.sparkSession)
     if words < window + gram - 1:
         raise ValueError("a passage must hold a whole window")
     slim = docs.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    kept = written(sparse_suffixes(slim, words, window, gram), "suffixes")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def tasks(n: int) -> int:
-        return max(width, -(-n // ROWS_PER_TASK))
-
-    near = repeated(kept, tasks(kept.count()))
-    at = near.groupBy("id").agg(F.collect_list("pos").alias("at"))
-    again = slim.join(at.withColumnRenamed("id", "i"), F.col("id") == F.col("i")).select("id", "text", "at")
-    wide = written(passages(again, words, window, gram), "suffix-passages")
-    same = written(repeated(wide, tasks(wide.count())), "suffix-repeated")
-    every = spans(same, words)
-    later = spans(same.where("NOT first"), words).select(
-        F.col("id").alias("l"), F.col("spans").alias("later"), F.col("n_words").alias("n_later"))
+    def settled(rows: DataFrame, hashes: int = 2, only: bool = False) -> DataFrame:
+        return compared(rows, max(width, -(-rows.count() // ROWS_PER_TASK)), hashes, only)
+
+    kept = written(sparse_suffixes(slim, words, window, gram), "suffixes")
+    near = settled(kept, 1).drop("kind")
+    whole = settled(near, only=True)
+    stand = settled(whole.where(F.col("kind") != LATER).drop("kind"), 1).select("id", "pos", "n")
+    at = stand.groupBy(F.col("id").alias("i")).agg(F.collect_list(F.struct("pos", "n")).alias("at"))
+    again = slim.join(at, F.col("id") == F.col("i")).select("id", "text", "at")
+    single = written(settled(written(passages(again, words), "suffix-passages")), "suffix-repeated")
+
+    every = spans(whole.where(F.col("kind") != ONLY).select("id", "pos", "n").unionByName(
+        single.select("id", "pos", "n")), words)
+    later = spans(whole.where(F.col("kind") == LATER).select("id", "pos", "n").unionByName(
+        single.where(F.col("kind") == LATER).select("id", "pos", "n")), words)
+    later = later.select(F.col("id").alias("l"), F.col("spans").alias("later"), F.col("n_words").alias("n_later"))
     out = docs.select(F.col(row_id).alias("d")).join(every, F.col("d") == F.col("id"), "left")
     out = out.join(later, F.col("d") == F.col("l"), "left")
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")

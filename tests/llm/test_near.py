@@ -178,16 +178,26 @@ def test_repeated_passages(spark, words, window, gram):
 
 
 @pytest.mark.parametrize("tasks", [1, 4, 13])
-def test_runs_over_several_tasks(spark, tasks):
+@pytest.mark.parametrize("hashes", [1, 2])
+@pytest.mark.parametrize("only", [False, True])
+def test_runs_over_several_tasks(spark, tasks, hashes, only):
     rnd = random.Random(tasks)
-    rows = [(0 if rnd.random() < 0.5 else rnd.randint(1, 90), 0, i, 0) for i in range(400)] + [(5, 5, 1, 2), (5, 6, 1, 2), (5, 6, 1, 3)]
-    df = spark.createDataFrame(rows, "h1 long, h2 long, id long, pos int")
-    got = {(r.h1, r.h2, r.id, r.pos, r.first) for r in suffixes.repeated(df, tasks).collect()}
+    rows = [(0 if rnd.random() < 0.5 else rnd.randint(1, 90), i % 2, i, 0, 1) for i in range(400)]
+    rows += [(5, 5, 1, 2, 1), (5, 6, 1, 2, 1), (5, 6, 1, 3, 1)]
+    df = spark.createDataFrame(rows, "h1 long, h2 long, id long, pos int, n int")
+    got = {tuple(r) for r in suffixes.compared(df, tasks, hashes, only).collect()}
     by = {}
     for r in sorted(rows):
-        by.setdefault(r[:2], []).append(r)
-    want = {(*r, k == 0) for members in by.values() if len(members) > 1 for k, r in enumerate(members)}
-    assert got == want
+        by.setdefault(r[:hashes], []).append(r)
+    kinds = {}
+    for members in by.values():
+        low = min(members, key=lambda r: r[2:4])
+        for r in members:
+            kinds[r] = suffixes.ONLY if len(members) == 1 else suffixes.FIRST if r == low else suffixes.LATER
+    if hashes == 1:  # which one is first is only told where both hashes are compared
+        got = {(*r[:5], min(r[5], 1)) for r in got}
+        kinds = {r: min(k, 1) for r, k in kinds.items()}
+    assert got == {(*r, k) for r, k in kinds.items() if only or k}
 
 
 def test_repeated_passages_empty(spark):
