@@ -166,3 +166,9 @@ PAD_LEN = 128
 HELD_OUT_GENRE = "Lexical"
 MAJORITY_GENRE = "Administrative"
 OVERSAMPLING = 10
+
+# --- Fixed values: words that the tables' usual reader takes for null --------------------
+NULL_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column
@@ -61,28 +62,35 @@ def masked(ids: Column, row_id: Column, vocab_size: Column, prob: float, seed: i
     """(id, label) pairs for masked-token training, reproducible from seed, id, position.
 
     A chosen non-special token becomes the mask in 80 % of the cases, any vocabulary
-    entry in 10 %, and stays in 10 %. Labels keep the chosen tokens, -100 elsewhere.
+    entry in 10 %, and stays in 10 %. Labels keep the chosen tokens, -100 elsewhere. One
+    digest decides for four positions, and only chosen ones get a digest of their own.
     """
+    limit = F.lit(f"{math.ceil(prob * 16**8):08x}")
+    four = F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 4).cast("int"))
+    # a step of its own, so that each digest is computed once
+    parts = F.transform(four, lambda g: F.struct(
+        g.alias("g"), seeded_md5(seed, row_id, g).alias("digest"), F.slice(ids, g * 4 + 1, F.lit(4)).alias("ids")))
 
-    def draw(i: Column, pos: Column) -> Column:
-        digest = F.when(i >= len(K.VOCAB_SPECIALS), seeded_md5(seed, row_id, pos))
-        return F.struct(i.alias("i"), digest.alias("digest"))
+    def draw(part: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            chosen = (i >= len(K.VOCAB_SPECIALS)) & (F.substr(part["digest"], k * 8 + 1, F.lit(8)) < limit)
+            own = F.when(chosen, seeded_md5(seed, row_id, part["g"] * 4 + k, F.lit("new")))
+            return F.struct(i.alias("i"), own.alias("digest"))
 
-    def choose(x: Column) -> Column:
-        chosen = F.coalesce(hex_fraction(x["digest"], 1) < prob, F.lit(False))
-        return F.struct(x["i"].alias("i"), F.when(chosen, x["digest"]).alias("digest"))
+        return F.transform(part["ids"], one)
 
     def replace(x: Column) -> Column:
-        kind = hex_fraction(x["digest"], 9)
-        random_id = F.floor(hex_fraction(x["digest"], 17) * vocab_size).cast("int")
+        kind = hex_fraction(x["digest"], 1)
+        random_id = F.floor(hex_fraction(x["digest"], 9) * vocab_size).cast("int")
         new = F.when(kind < 0.8, K.MASK_ID).when(kind < 0.9, random_id).otherwise(x["i"])
         return F.when(
             x["digest"].isNull(),
             F.struct(x["i"].alias("id"), F.lit(K.IGNORE_LABEL).alias("label")),
         ).otherwise(F.struct(new.alias("id"), x["i"].alias("label")))
 
-    # one digest per position: each step hands it on instead of computing it again
-    return F.transform(F.transform(F.transform(ids, draw), choose), replace)
+    drawn = F.when(F.size(ids) > 0, F.flatten(F.transform(parts, draw))).otherwise(
+        F.array().cast("array<struct<i:int,digest:string>>"))
+    return F.transform(drawn, replace)
 
 
 def argmax(scores: Column) -> Column:

@@ -61,7 +61,7 @@ def strip(text: Column) -> Column:
 
 def is_upper(text: Column) -> Column:
     """At least one upper-case character and no lower- or title-case one."""
-    return text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{IsLowercase}\p{Lt}]")
+    return text.rlike(r"\p{IsUppercase}") & ~text.rlike(r"[\p{IsLowercase}\p{Lt}]")
 
 
 def chars(text: Column) -> Column:

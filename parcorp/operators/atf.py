@@ -10,8 +10,9 @@ from parcorp.functions.text import strip
 
 
 def genre_list(genres: Column) -> Column:
+    """Names joined by commas; `Unknown` only where there is no genre at all."""
     joined = F.array_join(F.transform(genres, lambda g: g["genre"]["genre"]), ", ")
-    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("Unknown"))
+    return F.when(F.size(genres) > 0, joined).otherwise(F.lit("Unknown"))
 
 
 def period_name(period: Column) -> Column:

@@ -6,6 +6,8 @@ beyond it adaptive execution splits a skewed key of the many-rows side.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,18 @@ def still_to_do(work: DataFrame, done: DataFrame, row_id: str = "id") -> DataFra
     return work.join(done.select(row_id), row_id, "left_anti")
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
+
+
+def without_scheme(path: Column) -> Column:
+    """A path without its file system: `hdfs://host/a`, `s3a://b/a` and `file:/a` are `/a`."""
+    return F.regexp_replace(path, SCHEME, "")
+
+
 def missing_files(local: DataFrame, present: DataFrame, root: str) -> DataFrame:
     """Local files (path) whose path below `root` is not in `present` (name)."""
-    relative = F.regexp_replace("path", "^" + root.rstrip("/") + "/", "")
+    top = re.sub(SCHEME, "", root).rstrip("/") + "/"
+    path = without_scheme(F.col("path"))
+    relative = F.when(F.startswith(path, F.lit(top)), F.substr(path, F.lit(len(top) + 1))).otherwise(path)
     files = local.withColumn("name", relative)
     return files.join(present.select("name"), "name", "left_anti")

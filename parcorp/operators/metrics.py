@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcorp import constants as K
@@ -32,15 +32,20 @@ def mean_length(df: DataFrame, ids: str, pad: int = K.PAD_ID) -> DataFrame:
 def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> DataFrame:
     """(n, matches, total, ref_total): clipped n-gram matches over all rows.
 
-    Both sides' n-grams go through one aggregate by (row, n-gram); there is no join.
+    Rows are placed by id first, while their texts are compact. Both sides' n-grams then
+    come from one row and go through one aggregate by (row, n-gram) that shuffles nothing.
     """
 
-    def grams(column: str, side: int) -> DataFrame:
-        tokens = F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
-        grams = exploded(df.withColumn("_t", tokens), [row_id], ngrams(F.col("_t"), ORDER), "_g")
-        return grams.select(row_id, "_g.*", F.lit(side).alias("_side"))
+    def grams(column: str, side: int) -> Column:
+        tagged = F.transform(ngrams(F.col(column), ORDER), lambda g: F.struct(
+            g["n"].alias("n"), g["gram"].alias("gram"), F.lit(side).alias("_side")))
+        return F.coalesce(tagged, F.array().cast("array<struct<n:int,gram:string,_side:int>>"))
 
-    both = grams(pred, 0).unionByName(grams(label, 1))
+    def tokens(column: str) -> Column:
+        return F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
+
+    rows = df.repartition(row_id).select(row_id, tokens(pred).alias("_p"), tokens(label).alias("_l"))
+    both = exploded(rows, [row_id], F.concat(grams("_p", 0), grams("_l", 1)), "_g").select(row_id, "_g.*")
     per_row = both.groupBy(row_id, "n", "gram").agg(
         F.count_if(F.col("_side") == 0).alias("p"), F.count_if(F.col("_side") == 1).alias("l")
     )
@@ -54,7 +59,7 @@ def corpus_bleu(df: DataFrame, pred: str, label: str, row_id: str = "id") -> Dat
     """Corpus BLEU on white-space tokens: clipped 1-4-grams, brevity penalty, x 100.
 
     An order without matches is smoothed by halving its precision once more for every
-    such order so far; an order without any n-gram makes the score 0.
+    such order so far; an order without any n-gram, or no match at all, makes the score 0.
     """
     per_n = ngram_matches(df, pred, label, row_id)
     sums = []
@@ -63,7 +68,7 @@ def corpus_bleu(df: DataFrame, pred: str, label: str, row_id: str = "id") -> Dat
             sums.append(F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}"))
     sums.append(F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("ref_total"))), F.lit(0)).alias("ref_len"))
     row = per_n.agg(*sums)
-    logs, zeros, any_empty = F.lit(0.0), F.lit(0), F.lit(False)
+    logs, zeros, any_empty, found = F.lit(0.0), F.lit(0), F.lit(False), F.lit(0)
     for n in range(1, ORDER + 1):
         matches, total = F.col(f"matches_{n}"), F.col(f"total_{n}")
         zeros = zeros + (matches == 0).cast("int")
@@ -72,9 +77,10 @@ def corpus_bleu(df: DataFrame, pred: str, label: str, row_id: str = "id") -> Dat
         )
         logs = logs + F.log(precision)
         any_empty = any_empty | (total == 0)
+        found = found + matches
     sys_len, ref_len = F.col("total_1"), F.col("ref_len")
     penalty = F.when(sys_len >= ref_len, 1.0).otherwise(F.exp(1.0 - F.try_divide(ref_len, sys_len)))
-    score = F.when(any_empty, 0.0).otherwise(penalty * F.exp(logs / ORDER))
+    score = F.when(any_empty | (found == 0), 0.0).otherwise(penalty * F.exp(logs / ORDER))
     return row.select(
         F.round(score, 4).alias("bleu"), sys_len.alias("sys_len"), ref_len,
     )

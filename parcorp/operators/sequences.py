@@ -70,7 +70,7 @@ def encode(
         toks.join(F.broadcast(vocab), "token", "left").groupBy("_id")
         .agg(F.map_from_entries(entries).alias("_ids"))
     )
-    joined = df.join(maps, F.col(row_id) == F.col("_id"), "left")
+    joined = df.join(maps, F.col(row_id).eqNullSafe(F.col("_id")), "left")
     inner = F.transform(S.split_tokens(F.col(text)), lambda t: F.try_element_at(F.col("_ids"), t))
     full = F.concat(F.array(F.lit(K.BOS_ID)), inner, F.array(F.lit(K.EOS_ID)))
     return joined.withColumn(out, full).drop("_id", "_ids")
@@ -91,7 +91,7 @@ def decode(
         .agg(F.map_from_entries(F.collect_set(
             F.struct("token_id", F.coalesce("token", F.lit(K.UNK))))).alias("_toks"))
     )
-    joined = df.join(maps, F.col(row_id) == F.col("_id"), "left")
+    joined = df.join(maps, F.col(row_id).eqNullSafe(F.col("_id")), "left")
     text = F.array_join(F.transform(seq, lambda i: F.try_element_at(F.col("_toks"), i)), "")
     return joined.withColumn(out, F.coalesce(text, F.lit(""))).drop("_id", "_toks")
 

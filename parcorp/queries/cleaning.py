@@ -203,7 +203,7 @@ def q_row_overrides(spark, sf_dir):
 
 @query("q_nonempty_content", f"""
 WITH d AS (SELECT doc_id AS id, CASE source WHEN 'src3' THEN '...' || chr(10) || '<SURFACE>'
-  WHEN 'src5' THEN '... ...' WHEN 'src7' THEN '<RULING>' || left(text, 9) ELSE text END AS t
+  WHEN 'src5' THEN '... ...' WHEN 'src7' THEN '<RULING>' || text ELSE text END AS t
   FROM documents)
 SELECT id, t AS text FROM d WHERE {CONTENT_SQL}
 """)
@@ -211,7 +211,7 @@ def q_nonempty_content(spark, sf_dir):
     text = (
         F.when(F.col("source") == "src3", F.lit("...\n<SURFACE>"))
         .when(F.col("source") == "src5", F.lit("... ..."))
-        .when(F.col("source") == "src7", F.concat(F.lit("<RULING>"), F.substring("text", 1, 9)))
+        .when(F.col("source") == "src7", F.concat(F.lit("<RULING>"), F.col("text")))
         .otherwise(F.col("text"))
     )
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("text"))

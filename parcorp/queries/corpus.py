@@ -8,7 +8,7 @@ from parcorp import constants as K
 from parcorp.operators import collate as col
 from parcorp.operators import sample, stats
 from parcorp.operators.dedup import keep_first, keep_first_chain
-from parcorp.queries.registry import q, query, sql_replace, table
+from parcorp.queries.registry import q, query, sql_regex, sql_replace, table
 
 
 # ---- corpora with the reference shape ------------------------------------------------------
@@ -68,8 +68,12 @@ PERIOD_SQL = "CASE WHEN period IN ('', 'Uncertain') THEN 'Unknown' ELSE period E
 GENRE_SQL = "CASE " + " ".join(
     f"WHEN genre = {q(old)} THEN {q(new)}" for old, new in K.GENRE_NAMES
 ) + " ELSE genre END"
-LANGUAGE_SQL = """(language IN ('Sumerian', '') AND NOT contains(langs, 'akk')
-  AND period NOT IN ('Ebla', 'fake', 'Pre-Uruk V') AND genre <> 'fake (modern)')"""
+def _listed(values) -> str:
+    return "(" + ", ".join(q(v) for v in values) + ")"
+
+
+LANGUAGE_SQL = f"""(language IN {_listed(K.KEPT_LANGUAGES)} AND NOT contains(langs, {q(K.DROPPED_LANG_MARK)})
+  AND period NOT IN {_listed(K.DROPPED_PERIODS)} AND genre NOT IN {_listed(K.DROPPED_GENRES)})"""
 
 
 @query("q_collate", f"""
@@ -137,12 +141,11 @@ def q_dedup_text(spark, sf_dir):
     return keep_first(docs, ["text"], ["doc_id"])
 
 
-# the second text is the document without its vowels and blanks, so that more texts meet
-SKELETON = [(c, "") for c in "aeiouéèäöü "]
+# the second text is the document's capital letters, so that more texts meet
 
 
 @query("q_dedup_chain", f"""
-WITH d AS (SELECT doc_id, text, {sql_replace('lower(left(text, 40))', SKELETON)} AS glyphs FROM documents),
+WITH d AS (SELECT doc_id, text, {sql_regex('text', '[^A-Z]', '')} AS glyphs FROM documents),
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM d)
   WHERE rn = 1),
 b AS (SELECT * FROM (
@@ -151,10 +154,8 @@ b AS (SELECT * FROM (
 SELECT doc_id, glyphs, length(text) AS n FROM b
 """)
 def q_dedup_chain(spark, sf_dir):
-    skeleton = F.lower(F.substring("text", 1, 40))
-    for a, b in SKELETON:
-        skeleton = F.replace(skeleton, F.lit(a), F.lit(b))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", skeleton.alias("glyphs"))
+    capitals = F.regexp_replace("text", "[^A-Z]", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", capitals.alias("glyphs"))
     out = keep_first_chain(docs, [["text"], ["glyphs"]], ["doc_id"])
     return out.select("doc_id", "glyphs", F.length("text").cast("bigint").alias("n"))
 

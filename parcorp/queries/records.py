@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from parcorp.functions.text import replace_in_order
 from parcorp.operators import atf, augment, joins
 from parcorp.queries.corpus import SPLIT_SQL, split_texts
-from parcorp.queries.registry import query, sql_regex, sql_replace, table
+from parcorp.queries.registry import q, query, sql_regex, sql_replace, table
+from parcorp.queries.sequences import TOKEN_RE
 from parcorp.schemas import ATF_RECORDS
 from parcorp.sources.readers import parsed_records
 
@@ -21,7 +22,7 @@ assets AS (SELECT l_orderkey AS artifact_id, l_returnflag AS image_type,
   CASE l_linestatus WHEN 'F' THEN 'jpg' ELSE 'png' END AS file_format FROM lineitem),
 photos AS (SELECT artifact_id, artifact_type, image_type, string_split(path, '/')[3] AS image,
   regexp_extract(path, '/([A-Z]\\d+)[_\\.]', 1) AS id FROM artifacts JOIN assets USING (artifact_id) WHERE file_format = 'jpg'),
-t AS (SELECT 'P' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS id, left(text, 20) AS glyphs, lang AS period, source AS genre FROM documents)
+t AS (SELECT 'P' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS id, text AS glyphs, lang AS period, source AS genre FROM documents)
 SELECT id, glyphs, image, image_type, period, genre FROM t JOIN photos USING (id)
 """)
 def q_photo_join(spark, sf_dir):
@@ -37,7 +38,7 @@ def q_photo_join(spark, sf_dir):
         F.when(F.col("l_linestatus") == "F", "jpg").otherwise("png").alias("file_format"),
     )
     texts = table(spark, sf_dir, "documents").select(
-        _text_id("doc_id").alias("id"), F.substring("text", 1, 20).alias("glyphs"),
+        _text_id("doc_id").alias("id"), F.col("text").alias("glyphs"),
         F.col("lang").alias("period"), F.col("source").alias("genre"),
     )
     return joins.texts_with_photos(texts, joins.photo_index(artifacts, assets))
@@ -167,7 +168,7 @@ PROMPT_TEXT_SQL = (
         " *\\.\\.\\. *", "...")
     + ", '^\\s+|\\s+$', '', 'g')"
 )
-TOKEN_COUNT = "len(regexp_extract_all(t, '(?s)<s>|<pad>|</s>|<unk>|<mask>|\\n|<SURFACE>|<COLUMN>|<BLANK_SPACE>|<RULING>|\\.\\.\\.|.')) + 2"
+TOKEN_COUNT = f"len(regexp_extract_all(t, {q(TOKEN_RE)})) + 2"
 
 
 @query("q_prompt_text", f"""

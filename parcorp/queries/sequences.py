@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from parcorp import constants as K
@@ -233,22 +235,24 @@ def _fraction(digest: str, start: int) -> str:
     return f"(CAST('0x' || substr({digest}, {start}, 8) AS BIGINT) / 4294967296.0)"
 
 
-VOCAB_SIZE = 800
-MASK_DIGEST = "md5('11|' || id || '|' || (p - 1))"
+MASK_DIGEST = "md5('11|' || id || '|' || ((p - 1) // 4))"
+MASK_BELOW = f"{math.ceil(0.15 * 16**8):08x}"
+OWN_DIGEST = "md5('11|' || id || '|' || (p - 1) || '|new')"
 
 
 @query("q_mlm_mask", f"""
 WITH {ENCODED_SQL},
 t AS (SELECT id, unnest(ids) AS i, generate_subscripts(ids, 1) AS p FROM enc),
-h AS (SELECT *, {MASK_DIGEST} AS d FROM t),
-c AS (SELECT *, i >= 11 AND {_fraction('d', 1)} < 0.15 AS chosen FROM h),
-o AS (SELECT id, p, CASE WHEN NOT chosen THEN i WHEN {_fraction('d', 9)} < 0.8 THEN 4
-    WHEN {_fraction('d', 9)} < 0.9 THEN CAST(floor({_fraction('d', 17)} * {VOCAB_SIZE}) AS INTEGER) ELSE i END AS nid,
+h AS (SELECT *, {MASK_DIGEST} AS g, {OWN_DIGEST} AS d FROM t),
+c AS (SELECT *, i >= 11 AND substr(g, (p - 1) % 4 * 8 + 1, 8) < '{MASK_BELOW}' AS chosen FROM h),
+o AS (SELECT id, p, CASE WHEN NOT chosen THEN i WHEN {_fraction('d', 1)} < 0.8 THEN 4
+    WHEN {_fraction('d', 1)} < 0.9 THEN CAST(floor({_fraction('d', 9)} * (SELECT count(*) FROM vocab)) AS INTEGER) ELSE i END AS nid,
   CASE WHEN chosen THEN i ELSE -100 END AS label FROM c)
 SELECT id, string_agg(nid, ' ' ORDER BY p) AS ids, string_agg(label, ' ' ORDER BY p) AS labels FROM o GROUP BY id
 """)
 def q_mlm_mask(spark, sf_dir):
-    pair = S.masked(F.col("input_ids"), F.col("id"), F.lit(VOCAB_SIZE), 0.15, 11)
+    size = vocab(spark, sf_dir).count()  # at most Unicode's characters and the special tokens
+    pair = S.masked(F.col("input_ids"), F.col("id"), F.lit(size), 0.15, 11)
     df = encoded(spark, sf_dir).withColumn("_m", pair)
     return df.select("id", text_of(F.col("_m.id")).alias("ids"), text_of(F.col("_m.label")).alias("labels"))
 
@@ -293,34 +297,51 @@ def q_argmax(spark, sf_dir):
 
 @query("q_gen_len", f"""
 WITH {ENCODED_SQL}
-SELECT round(avg(len(list_filter(list_concat(ids, list_transform(range(128), lambda i: 1))[1:128], lambda i: i <> 1))), 4)
+SELECT round(avg(len(list_filter(list_concat(ids, list_transform(range(greatest(128 - len(ids), 0)), lambda i: 1)), lambda i: i <> 1))), 4)
   AS gen_len FROM enc
 """)
 def q_gen_len(spark, sf_dir):
-    df = encoded(spark, sf_dir).select(S.padded_or_cut(F.col("input_ids")).alias("ids"))
+    df = encoded(spark, sf_dir).select(S.padded(F.col("input_ids"), F.lit(K.PAD_LEN)).alias("ids"))
     return metrics.mean_length(df, "ids")
 
 
-def _grams_sql(column: str) -> str:
+def _grams_sql(column: str, rows: str) -> str:
     toks = f"list_filter(string_split(regexp_replace({column}, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')"
     return " UNION ALL ".join(
         f"SELECT id, {n} AS n, unnest(list_transform(range(1, len(t) - {n - 2}), "
-        f"lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS gram FROM (SELECT id, {toks} AS t FROM pairs) WHERE len(t) >= {n}"
+        f"lambda i: array_to_string(t[i:i + {n - 1}], ' '))) AS gram FROM (SELECT id, {toks} AS t FROM {rows}) WHERE len(t) >= {n}"
         for n in range(1, 5)
     )
 
 
-@query("q_bleu", f"""
-WITH {PAIRS_SQL},
-h AS (SELECT id, n, gram, count(*) AS c FROM ({_grams_sql('source')}) GROUP BY ALL),
-r AS (SELECT id, n, gram, count(*) AS c FROM ({_grams_sql('target')}) GROUP BY ALL),
+def bleu_sql(pairs_sql: str, rows: str = "pairs") -> str:
+    return f"""
+WITH {pairs_sql},
+h AS (SELECT id, n, gram, count(*) AS c FROM ({_grams_sql('source', rows)}) GROUP BY ALL),
+r AS (SELECT id, n, gram, count(*) AS c FROM ({_grams_sql('target', rows)}) GROUP BY ALL),
 m AS (SELECT h.n, sum(h.c) AS total, sum(least(h.c, coalesce(r.c, 0))) AS matches FROM h LEFT JOIN r USING (id, n, gram) GROUP BY h.n),
-rl AS (SELECT sum(c) AS ref_len FROM r WHERE n = 1),
+rl AS (SELECT coalesce(sum(c), 0) AS ref_len FROM r WHERE n = 1),
 z AS (SELECT *, sum(CASE WHEN matches = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS zeros FROM m),
 s AS (SELECT exp(sum(ln(CASE WHEN matches > 0 THEN 100.0 * matches / total ELSE 100.0 / (pow(2, zeros) * total) END)) / 4) AS g,
-  max(CASE WHEN n = 1 THEN total END) AS sys_len FROM z)
-SELECT round(CASE WHEN sys_len >= ref_len THEN 1.0 ELSE exp(1 - ref_len / sys_len) END * g, 4) AS bleu,
+  max(CASE WHEN n = 1 THEN total END) AS sys_len, sum(matches) AS found FROM z)
+SELECT round(CASE WHEN found = 0 THEN 0.0 ELSE CASE WHEN sys_len >= ref_len THEN 1.0 ELSE exp(1 - ref_len / sys_len) END * g END, 4) AS bleu,
   CAST(sys_len AS BIGINT) AS sys_len, CAST(ref_len AS BIGINT) AS ref_len FROM s, rl
-""")
+"""
+
+
+@query("q_bleu", bleu_sql(PAIRS_SQL))
 def q_bleu(spark, sf_dir):
     return metrics.corpus_bleu(pairs(spark, sf_dir), "source", "target")
+
+
+# the second side's words all begin with a mark that the first side does not have
+DISJOINT_SQL = PAIRS_SQL + """,
+apart AS (SELECT id, source, '~' || replace(replace(target, ' ', ' ~'), chr(10), ' ~') AS target FROM pairs)
+"""
+
+
+@query("q_bleu_disjoint", bleu_sql(DISJOINT_SQL, "apart"))
+def q_bleu_disjoint(spark, sf_dir):
+    target = F.replace(F.replace("target", F.lit(" "), F.lit(" ~")), F.lit("\n"), F.lit(" ~"))
+    apart = pairs(spark, sf_dir).select("id", "source", F.concat(F.lit("~"), target).alias("target"))
+    return metrics.corpus_bleu(apart, "source", "target")

@@ -258,14 +258,14 @@ def q_lookup_override(spark, sf_dir):
 
 
 @query("q_lookup_ambiguous", """
-WITH e AS (SELECT lang AS name, left(source, 4) AS glyph FROM documents
+WITH e AS (SELECT lang AS name, source AS glyph FROM documents
   UNION ALL SELECT source, CASE lang WHEN 'es' THEN '' ELSE lang END FROM documents),
 s AS (SELECT name, list_sort(list(DISTINCT glyph)) AS glyphs FROM e WHERE glyph <> '' GROUP BY name)
 SELECT name, array_to_string(glyphs, ',') AS glyphs, glyphs[1] AS glyph FROM s WHERE len(glyphs) > 1
 """)
 def q_lookup_ambiguous(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    pairs = docs.select(F.col("lang").alias("name"), F.substring("source", 1, 4).alias("glyph"))
+    pairs = docs.select(F.col("lang").alias("name"), F.col("source").alias("glyph"))
     more = docs.select(
         F.col("source").alias("name"),
         F.when(F.col("lang") == "es", "").otherwise(F.col("lang")).alias("glyph"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +27,20 @@ def local_session(cpus: int = 8, app: str = "parcorp") -> SparkSession:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
     """The folder for checkpoints and intermediate tables that all executors reach.
 
-    The cluster names it in `spark.checkpoint.dir`; only where that is unset (tests on
-    one machine) a temporary folder is made.
+    The cluster names it in `spark.checkpoint.dir`. Where that is unset it is `folder`, or
+    a temporary folder if the session is a single process on one machine. What is written
+    there is left to the caller to clean up.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        named = folder or tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)

@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from parcorp import constants as K
 from parcorp import schemas
+from parcorp.operators.joins import without_scheme
 
 CORRUPT = "_corrupt"
 
 
-def corpus_csv(spark: SparkSession, path: str, schema: str = schemas.TEXTS) -> DataFrame:
-    """A corpus file with quoted multi-line texts, nulls as empty strings."""
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
-    return reader.option("escape", '"').csv(path).na.fill("")
+def csv_by_name(spark: SparkSession, path: str, schema: str, null_words: Sequence[str] = K.NULL_WORDS) -> DataFrame:
+    """The columns of `schema`, found by the names in the file's header.
 
+    Further columns are not read; a missing one is an error, and so is a folder whose
+    files have different headers. Quoted values may hold newlines. Words of `null_words`
+    are null, quoted or not.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False}
+    names = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
+    text = StructType([StructField(name, StringType()) for name in names])
+    wanted = StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}")
+    rows = spark.read.schema(text).options(**options).csv(path)
 
-def keyed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file with a nullable long key; only the empty string is null."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    def value(f: StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.when(~c.isin(list(null_words)), c).cast(f.dataType).alias(f.name)
+
+    return rows.select(*[value(f) for f in wanted])
+
+
+def corpus_csv(spark: SparkSession, path: str, schema: str = schemas.TEXTS,
+               null_words: Sequence[str] = K.NULL_WORDS) -> DataFrame:
+    """A corpus file with quoted multi-line texts, nulls and null words as empty strings."""
+    return csv_by_name(spark, path, schema, null_words).na.fill("")
+
+
+def keyed_csv(spark: SparkSession, path: str, schema: str,
+              null_words: Sequence[str] = K.NULL_WORDS) -> DataFrame:
+    """A file with a nullable long key; the empty string and null words are null."""
+    return csv_by_name(spark, path, schema, null_words)
 
 
 def _with_corrupt(schema: str) -> str:
@@ -68,12 +95,11 @@ def index_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def generated_json(spark: SparkSession, path: str) -> DataFrame:
-    """All *.json results of a folder, one record per file or line."""
-    return (
-        spark.read.schema(schemas.GENERATED).option("pathGlobFilter", "*.json")
-        .option("multiLine", True).json(path)
-    )
+def generated_json(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """All *.json results of a folder: one record per line, as the writer makes them, or
+    with `pretty` one record, or array of records, per file over several lines."""
+    reader = spark.read.schema(schemas.GENERATED).option("pathGlobFilter", "*.json")
+    return reader.option("multiLine", pretty).json(path)
 
 
 def split_table(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +108,6 @@ def split_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of all files below a folder, without their contents."""
+    """(path) of all files below a folder, on any file system, without their contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_replace("path", "^file:", "").alias("path"))
+    return files.select(without_scheme(F.col("path")).alias("path"))

@@ -3,6 +3,7 @@ rows of every value, so a genre that holds a third of the rows is written by all
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,8 @@ def line_pairs(df: DataFrame, pred: str, label: str, path: str) -> None:
 def cached(df: DataFrame, path: str) -> DataFrame:
     """The table saved at `path`, or what an earlier run saved there."""
     spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        spark.read.schema("value string").text(f"{path}/_SUCCESS")
+    except AnalysisException:  # there is no finished table
         table_parquet(df, path)
     return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from parcorp.functions.cleaning import clean
 
@@ -39,14 +40,13 @@ def clean_into(
     spark = texts.sparkSession
     cleaned = clean(first_seen(texts, row_id), text, "transliteration_clean", row_id, drop_empty=True)
     cleaned = cleaned.drop("ingested")
+    written = StructType([*cleaned.schema.fields, StructField("batch", LongType())])
     _ensure(spark.createDataFrame([], cleaned.schema), table)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.schema(batch.schema).parquet(f"{table}/*").select(
-            row_id, F.element_at(F.split(F.input_file_name(), "/batch="), -1).alias("_b")
-        )
-        done = done.where(~F.startswith("_b", F.lit(f"{batch_id}/"))).select(row_id).distinct()
-        new = batch.join(done, row_id, "left_anti")
+        # only the ids are read, and this batch's own folder (of a first attempt) is not
+        done = spark.read.schema(written).parquet(table).where(F.col("batch") != batch_id)
+        new = batch.join(done.select(row_id), row_id, "left_anti")
         new.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     writer = cleaned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
