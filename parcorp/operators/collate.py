@@ -49,16 +49,19 @@ def normalise(df: DataFrame) -> DataFrame:
     )
 
 
-def collate(corpora: Sequence[DataFrame], row_order: str) -> DataFrame:
+def collate(corpora: Sequence[DataFrame], row_order: str, with_order: bool = False) -> DataFrame:
     """Corpora to one table (id, transliteration, period, genre), one row per id.
 
-    Filters come before the de-duplication: it cannot be crossed by a pushed filter.
+    `with_order` keeps (corpus_ord, row order), so that later steps still know which row
+    came first. Filters come before the de-duplication: it cannot be crossed by a pushed
+    filter.
     """
     df = union_common([c.na.fill("") for c in corpora])
     df = df.where(wanted_language() & has_text())
     df = df.select("id", "transliteration", "period", "genre", "corpus_ord", row_order)
     df = keep_first(df, ["id"], ["corpus_ord", row_order])
-    return normalise(df.select("id", "transliteration", "period", "genre"))
+    order = ["corpus_ord", row_order] if with_order else []
+    return normalise(df.select("id", "transliteration", "period", "genre", *order))
 
 
 def stage_counts(df: DataFrame, stages: Sequence[tuple[str, Column]], row_id: str = "id") -> DataFrame:

@@ -311,6 +311,12 @@ def failure_counts(counts: DataFrame) -> DataFrame:
     return counts.select(reason.alias("reason"), "morpheme", "n").where("reason IS NOT NULL")
 
 
+def failure_totals(counts: DataFrame) -> DataFrame:
+    """(reason, morphemes, n): distinct morphemes and occurrences of each cause."""
+    return failure_counts(counts).groupBy("reason").agg(
+        F.count("*").alias("morphemes"), F.sum("n").alias("n"))
+
+
 def top_failures(counts: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent failures of each cause (ties by morpheme), with their rank.
 

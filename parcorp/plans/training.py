@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from parcorp import constants as K
 from parcorp.functions.sequences import special_mask
+from parcorp.functions.text import seeded_md5
 from parcorp.operators import sequences as Q
 from parcorp.operators.sample import oversample
 
 
-def balanced(splits: DataFrame, factor: int = K.OVERSAMPLING) -> DataFrame:
+def balanced(splits: DataFrame, factor: int = K.OVERSAMPLING, seed: int = 42) -> DataFrame:
     """Oversample the minority genres of the training split; other splits stay.
 
-    Adds `copy_id`, the text's id with the number of the copy.
+    Adds `copy_id`, the text's id with the number of the copy, and `shuffle_key`, a seeded
+    random key of the copy: sorted by it, the rows are in the prepared data's order.
     """
     once = (F.col("genre") == K.MAJORITY_GENRE) | (F.col("split") != "train")
     out = oversample(splits, once, factor)
-    return out.withColumn("copy_id", F.concat_ws("#", "id", "copy")).drop("copy")
+    out = out.withColumn("copy_id", F.concat_ws("#", "id", "copy")).drop("copy")
+    parts = [c for c in ("chunk", "piece") if c in splits.columns]
+    return out.withColumn("shuffle_key", seeded_md5(seed, F.col("copy_id"), *map(F.col, parts)))
+
+
+def in_order(prepared: DataFrame) -> DataFrame:
+    """Prepared rows in their seeded order, sorted by ranges of the key in many tasks."""
+    return prepared.orderBy("shuffle_key", "copy_id").drop("shuffle_key")
 
 
 def glyph_chunks(splits: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -41,5 +50,5 @@ def pair_examples(
     good = good.withColumn("example", F.concat_ws("#", "id", "piece"))
     enc = Q.encode(good, glyph_vocab, "glyphs", "input_ids", "example")
     enc = Q.encode(enc, text_vocab, "transliteration", "labels", "example")
-    kept = balanced(enc).select("id", "piece", "split", "copy_id", "input_ids", "labels")
+    kept = balanced(enc).select("id", "piece", "split", "copy_id", "shuffle_key", "input_ids", "labels")
     return kept, cut.where(~F.col("status").isin("ok", "fixed"))

@@ -14,7 +14,8 @@ from parcorp.functions.text import replace_in_order
 from parcorp.functions.tokens import tokens, wordforms
 from parcorp.operators import lookups as L
 from parcorp.operators import resolve as R
-from parcorp.operators.dedup import keep_first_chain
+from parcorp.operators.dedup import chain_counts
+from parcorp.plans import corpus
 from parcorp.queries.registry import q, query, sql_regex, sql_replace, table
 from parcorp.session import materialised
 
@@ -380,13 +381,44 @@ def q_observed_readings(spark, sf_dir):
     return R.observed_readings(resolved_morphemes(spark, sf_dir))
 
 
+@query("q_failure_totals", f"""
+WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL},
+f AS (SELECT coalesce(reason, name_status) AS reason, n FROM res
+  WHERE reason IS NOT NULL OR name_status IN ('not_in_map', 'no_unicode'))
+SELECT reason, count(*) AS morphemes, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY reason
+""")
+def q_failure_totals(spark, sf_dir):
+    return R.failure_totals(resolved_morphemes(spark, sf_dir))
+
+
+# the rows' own order is the reverse of the ids
+CHAIN_SQL = """
+t1 AS (SELECT *, row_number() OVER (PARTITION BY transliteration ORDER BY id DESC) AS r1 FROM post),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY glyphs ORDER BY id DESC) AS r2 FROM t1 WHERE r1 = 1)
+"""
+
+
+def built_texts(spark, sf_dir):
+    texts = noted(spark, sf_dir).withColumnRenamed("text", "transliteration")
+    return corpus.parallel_texts(
+        texts.withColumn("row_ord", -F.col("id")), sign_lookups(spark, sf_dir), ["row_ord"])
+
+
 @query("q_corpus_build", f"""
-WITH {ALL_SQL},
-t1 AS (SELECT *, row_number() OVER (PARTITION BY transliteration ORDER BY id) AS r1 FROM post),
-t2 AS (SELECT *, row_number() OVER (PARTITION BY glyphs ORDER BY id) AS r2 FROM t1 WHERE r1 = 1)
+WITH {ALL_SQL}, {CHAIN_SQL}
 SELECT id, period, genre, transliteration, glyph_names, glyphs FROM t2 WHERE r2 = 1
 """)
 def q_corpus_build(spark, sf_dir):
     """Documents to the final parallel corpus, end to end."""
-    built = R.rebuilt(sign_tokens(spark, sf_dir), ["id", "period", "genre"])
-    return keep_first_chain(R.postprocessed(built), [["transliteration"], ["glyphs"]], ["id"])
+    return corpus.without_repeats(built_texts(spark, sf_dir), ["row_ord"])
+
+
+@query("q_pipeline_counts", f"""
+WITH {ALL_SQL}, {CHAIN_SQL}
+SELECT 'with_glyphs' AS stage, count(*) AS n FROM post
+UNION ALL SELECT 'distinct_texts', count(*) FROM t1 WHERE r1 = 1
+UNION ALL SELECT 'distinct_glyphs', count(*) FROM t2 WHERE r2 = 1
+""")
+def q_pipeline_counts(spark, sf_dir):
+    built = materialised(built_texts(spark, sf_dir))
+    return chain_counts(built, corpus.KEYS, ["row_ord"], ["with_glyphs", "distinct_texts", "distinct_glyphs"])

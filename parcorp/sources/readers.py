@@ -75,22 +75,23 @@ def good_and_bad(records: DataFrame, drop: Sequence[str] = ("cdl",)) -> tuple[Da
     return good.na.fill(""), records.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def json_files(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """Several files, each one JSON array or object, as one table."""
-    return spark.read.schema(schema).option("multiLine", True).json(list(paths))
+def json_files(spark: SparkSession, paths: Sequence[str], schema: str, lines: bool = False) -> DataFrame:
+    """Several files or folders as one table: each file one JSON array or object, or, with
+    `lines`, one object per line, which lets a large file be read by many tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(list(paths))
 
 
-def sign_list(spark: SparkSession, path: str) -> DataFrame:
-    return json_files(spark, [path], schemas.SIGN_LIST)
+def sign_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return json_files(spark, [path], schemas.SIGN_LIST, lines)
 
 
-def atf_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return json_files(spark, paths, schemas.ATF_RECORDS)
+def atf_records(spark: SparkSession, paths: Sequence[str], lines: bool = False) -> DataFrame:
+    return json_files(spark, paths, schemas.ATF_RECORDS, lines)
 
 
-def index_json(spark: SparkSession, path: str) -> DataFrame:
+def index_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(reading, name) from {"index": {reading: name}}."""
-    return json_files(spark, [path], schemas.INDEX).select(
+    return json_files(spark, [path], schemas.INDEX, lines).select(
         F.explode("index").alias("reading", "name")
     )
 
