@@ -112,5 +112,5 @@ def test_sign_replacements(apply):
 def test_strip_and_is_upper(apply):
     values = [" \x1c a b \n", "", " \n", "x"]
     assert apply(strip, values) == [v.strip() for v in values]
-    names = ["SANGAₓ", "|ŠU₂.3xAN|", "AN@g", "UŠ₂", "1(DIŠ)", "LAK449", "a", "", "ǅ", "A"]
+    names = ["SANGAₓ", "|ŠU₂.3xAN|", "AN@g", "UŠ₂", "1(DIŠ)", "LAK449", "a", "", "ǅ", "A", "Ⅷ", "Ⓐ", "ⓐ"]
     assert apply(is_upper, names) == [n.isupper() for n in names]

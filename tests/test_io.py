@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcorp import schemas
@@ -24,7 +25,26 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_keyed_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("artifact_id,artifact_type\n1,NA\n,seal\n")
-    assert rows(readers.keyed_csv(spark, f"{tmp_path}/a.csv", schemas.ARTIFACTS).na.drop(subset=["artifact_id"])) == [(1, "NA")]
+    # null words are null, as for the tables' usual reader, unless told otherwise
+    assert rows(readers.keyed_csv(spark, f"{tmp_path}/a.csv", schemas.ARTIFACTS).na.drop(subset=["artifact_id"])) == [(1, None)]
+    kept = readers.keyed_csv(spark, f"{tmp_path}/a.csv", schemas.ARTIFACTS, null_words=[""])
+    assert rows(kept.na.drop(subset=["artifact_id"])) == [(1, "NA")]
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('genre,note,transliteration,"id",period\nLegal,n,"a\nb",P1,nan\n,m,NULL,P2,Ur III\n')
+    assert rows(readers.corpus_csv(spark, f"{tmp_path}/a.csv")) == [("P1", "a\nb", "", "Legal"), ("P2", "", "Ur III", "")]
+    (tmp_path / "b.csv").write_text("artifact_type,artifact_id\nseal,7\n")
+    assert rows(readers.keyed_csv(spark, f"{tmp_path}/b.csv", schemas.ARTIFACTS)) == [(7, "seal")]
+    (tmp_path / "c.csv").write_text("artifact_id,designation\n7,foo\n")
+    with pytest.raises(ValueError, match="artifact_type"):
+        readers.keyed_csv(spark, f"{tmp_path}/c.csv", schemas.ARTIFACTS)
+
+
+def test_generated_records_many_per_file(spark, tmp_path):
+    df = spark.range(50).selectExpr("cast(id as string) id", "concat('t', id) translation").coalesce(1)
+    sinks.result_records(df, f"{tmp_path}/g")
+    assert readers.generated_json(spark, f"{tmp_path}/g").where("translation = concat('t', id)").count() == 50
 
 
 def test_bad_records_are_kept_apart(spark, tmp_path):
@@ -44,7 +64,7 @@ def test_json_folders(spark, tmp_path):
             record["translation"] = t
         (tmp_path / f"{i}.json").write_text(json.dumps(record, indent=4))
     (tmp_path / "note.txt").write_text("{}")
-    got = augment.non_empty_translations(readers.generated_json(spark, str(tmp_path)))
+    got = augment.non_empty_translations(readers.generated_json(spark, str(tmp_path), pretty=True))
     assert [r.id for r in got.collect()] == ["P0"]
     for name in ("c1", "c2"):
         (tmp_path / f"{name}.arr").write_text(json.dumps([{"id": name, "period": {"period": "x"}}, {"id": name}]))
@@ -94,6 +114,19 @@ def test_file_inventory(spark, tmp_path):
     assert [r.name for r in joins.missing_files(local, present, f"{tmp_path}/p").collect()] == ["x/b.jpg"]
 
 
+def test_missing_files_takes_the_root_as_it_is(spark):
+    local = spark.createDataFrame([("/data/a+b/x.jpg",), ("hdfs://nn:8020/data/a+b/y.jpg",), ("/other/z.jpg",)], "path string")
+    present = spark.createDataFrame([("x.jpg",)], "name string")
+    for root in ("/data/a+b", "s3a://bucket/data/a+b/"):
+        got = joins.missing_files(local, present, root)
+        assert sorted(r.name for r in got.collect()) == ["/other/z.jpg", "y.jpg"]
+
+
+def test_cached_reads_what_is_there(spark, tmp_path):
+    df = spark.range(5)
+    assert sinks.cached(df, f"{tmp_path}/c").count() == sinks.cached(df.limit(1), f"{tmp_path}/c").count() == 5
+
+
 def test_stream_equals_batch_and_skips_known_ids(spark, tmp_path):
     schema = "id string, transliteration string"
     first = [("P1", "[lugal] e₂"), ("P2", "#SURFACE#"), ("P3", "mu x x")]
@@ -115,13 +148,17 @@ def test_build_end_to_end(spark, tmp_path):
     from tests.test_signs import SIGN_LIST
     (tmp_path / "osl.json").write_text(json.dumps(SIGN_LIST), encoding="utf-8")
     texts = [(f"P{i}", f"ki-[a] il₂ {{ki}} {'ki ' * i}", "", "", "Ur III", "Administrative" if i % 2 else "Legal", i) for i in range(40)]
-    texts.append(("P99", texts[3][1], "", "", "Ur III", "Legal", 99))
+    # the first row of equal texts has the larger id
+    texts.insert(0, ("P99", texts[3][1], "", "", "Ur III", "Legal", -1))
     df = spark.createDataFrame(texts, CORPUS + ", row_ord int")
     index = spark.createDataFrame([("ki", "KI")], "reading string, name string")
     sign_list = readers.sign_list(spark, f"{tmp_path}/osl.json")
     out = corpus.build(spark, [df], sign_list, index, f"{tmp_path}/out")
     assert out["tablets"].count() == out["cleaned"].count() == 41
     assert out["corpus"].count() == 40
+    assert {"P99"} == {r.id for r in out["corpus"].where("id IN ('P3', 'P99')").collect()}
+    stages = {r.stage: r.n for r in out["stage_counts"].collect()}
+    assert stages == {"collated": 41, "cleaned": 41, "with_glyphs": 41, "distinct_texts": 40, "distinct_glyphs": 40}
     row = out["corpus"].where("id = 'P1'").first()
     assert (row.transliteration, row.glyphs) == ("ki...il₂ {ki} ki", "𒆠...𒀭𒆠𒆠")
     counts = {r.split: r["count"] for r in out["splits"].groupBy("split").count().collect()}
@@ -131,6 +168,8 @@ def test_build_end_to_end(spark, tmp_path):
     train = out["splits"].where("split = 'train'")
     minority = train.where("genre <> 'Administrative'").count()
     assert chunks.where("split = 'train'").count() == 36 + 9 * minority
+    ordered = [r.copy_id for r in training.in_order(chunks).collect()]
+    assert ordered == [r.copy_id for r in training.in_order(chunks.repartition(3)).collect()] != sorted(ordered)
     kept, rest = training.pair_examples(out["splits"], vocab, Q.vocabulary(out["corpus"], "transliteration"), limit=60)
     assert kept.select("id").distinct().count() + rest.select("id").distinct().count() == 40
     assert kept.where("size(input_ids) > 60 OR size(labels) > 60").count() == 0

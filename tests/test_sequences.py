@@ -131,7 +131,7 @@ def reference_bleu(pairs):
             rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
             matches[n] += sum(min(c, rc[g]) for g, c in hc.items())
             totals[n] += sum(hc.values())
-    if not all(totals[1:]):
+    if not all(totals[1:]) or not any(matches):
         return 0.0
     logs, smooth = 0.0, 1
     for n in range(1, 5):
@@ -172,3 +172,29 @@ def test_prompts(spark):
     assert got["b"].prompt == "" and got["b"].n_tokens == 302
     done = spark.createDataFrame([("a",)], "id string")
     assert [r.id for r in augment.pending_prompts(df, done, "H ").collect()] == ["b"]
+
+
+def test_genre_list_is_unknown_only_without_genres(spark):
+    schema = "g array<struct<genre:struct<genre:string>>>"
+    rows = [([],), (None,), ([(("",),)],), ([(("a",),), ((None,),)],)]
+    got = [r[0] for r in spark.createDataFrame(rows, schema).select(atf.genre_list(F.col("g"))).collect()]
+    assert got == ["Unknown", "Unknown", "", "a"]
+
+
+def test_null_ids_are_encoded(spark):
+    df = spark.createDataFrame([(None, "ab"), (1, "ba")], "id long, t string")
+    vocab = Q.vocabulary(df, "t")
+    enc = Q.encode(df, vocab, "t")
+    assert {r.id: r.input_ids[1:-1] for r in enc.collect()} == {None: [11, 12], 1: [12, 11]}
+    assert {r.id: r.text for r in Q.decode(enc, vocab, "input_ids").collect()} == {None: "ab", 1: "ba"}
+
+
+def test_masks_draw_from_the_vocabulary(spark):
+    df = spark.createDataFrame([(i, [11 + j % 5 for j in range(i)]) for i in range(200)], "id long, ids array<int>")
+    out = df.select("ids", S.masked(F.col("ids"), F.col("id"), F.lit(16), 0.15, 3).alias("m")).collect()
+    pairs = [(i, x.id, x.label) for r in out for i, x in zip(r.ids, r.m)]
+    assert all(len(r.ids) == len(r.m) for r in out)
+    chosen = [(i, new) for i, new, label in pairs if label != -100]
+    assert 0.13 < len(chosen) / len(pairs) < 0.17 and all(0 <= new < 16 for _, new in chosen)
+    assert 0.76 < sum(new == 4 for _, new in chosen) / len(chosen) < 0.86
+    assert all(i == new for i, new, label in pairs if label == -100)
