@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcorp.session import fits_broadcast
+from parcorp.session import BROADCAST_BYTES, fits_broadcast
 
 
 # ---- nested sign list to flat edges ---------------------------------------------------------
@@ -106,17 +106,24 @@ class SignLookups:
     keep_named: bool = False  # keep bare sign names as readings instead of <unk>
 
     @classmethod
-    def of(cls, readings: DataFrame, glyphs: DataFrame, keep_named: bool = False) -> SignLookups:
-        """Check the sizes. A sign list fits; a lookup that grew with a corpus may not.
-
-        `only` holds at most one row per name in `readings`, so it is counted as well.
+    def of(cls, readings: DataFrame, glyphs: DataFrame, keep_named: bool = False,
+           limit: int = BROADCAST_BYTES) -> SignLookups:
+        """Check the sizes in bytes. A sign list fits; a lookup that grew with a corpus may
+        not: then distinct morphemes are resolved by shuffle joins, with the same results.
         """
         only = only_readings(readings)
-        small = all(fits_broadcast(df) for df in (readings, glyphs, only))
+        small = all(fits_broadcast(df, limit) for df in (readings, glyphs, only))
         return cls(readings, glyphs, only, small, keep_named)
 
-    def side(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
+    def entries(self) -> DataFrame:
+        """All lookups as one table (kind, key, names, only): readings, own names, only
+        readings of names. A key occurs once per kind."""
+        none, no_text = F.lit(None).cast("array<string>"), F.lit(None).cast("string")
+        return (
+            self.readings.select(F.lit("reading").alias("kind"), F.col("reading").alias("key"), "names", no_text.alias("only"))
+            .unionByName(self.glyphs.select(F.lit("name").alias("kind"), F.col("name").alias("key"), none.alias("names"), no_text.alias("only")))
+            .unionByName(self.only.select(F.lit("only").alias("kind"), F.col("name").alias("key"), none.alias("names"), F.col("reading").alias("only")))
+        )
 
     def morphemes(self) -> DataFrame:
         """(morpheme): what the lookups themselves name: readings, bare and as

@@ -12,11 +12,13 @@ from parcorp import constants as K
 from parcorp.functions.text import is_upper, replace_in_order, strip
 from parcorp.functions.tokens import tokens
 from parcorp.operators.lookups import SignLookups
-from parcorp.session import materialised
+from parcorp.session import fits_broadcast, materialised
 
 NUMERIC = r"(?dU)^\d+(/\d+)?(\.\d+)?(\s*\([^)]+\))?$"
 UNK = K.UNK
 FREQUENT = 1000  # rows of the frequent part: its size bound
+SALTS = 16
+KEY = "array<struct<use:string,kind:string,key:string,salt:int>>"
 
 
 def _no_names() -> Column:
@@ -30,12 +32,62 @@ def _first_hit(rules: Sequence[tuple[Column, Column]], otherwise: Column) -> Col
     return out.otherwise(otherwise)
 
 
-def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
-    """Add (value, names, reason) to a table with a `morpheme` column.
+def _looked_up_small(df: DataFrame, lookups: SignLookups) -> DataFrame:
+    """The lookup results as columns, by broadcast joins."""
+    for key in ("_plain", "_lower", "_base"):
+        side = lookups.readings.select(F.col("reading").alias(key), F.col("names").alias(f"{key}_names"))
+        df = df.join(F.broadcast(side), key, "left")
+    only = lookups.only.select(F.col("name").alias("_name"), F.col("reading").alias("_only"))
+    df = df.join(F.broadcast(only), "_name", "left")
+    own = lookups.glyphs.select(F.col("name").alias("_m"), F.lit(True).alias("_is_name"))
+    return df.join(F.broadcast(own), "_m", "left")
+
+
+def asked_keys(df: DataFrame) -> DataFrame:
+    """(_k, use, kind, key, salt): the keys that the rules of each morpheme can need.
 
-    Every lookup is a left join whose key is the morpheme itself where its rule does not
-    apply, which keeps the rows spread.
+    Keys that stand for the morpheme itself are as distinct as the morphemes; the base and
+    the name in parentheses, which many morphemes may share, go only where there are any,
+    and with a salt that the lookups are repeated for.
     """
+    salt = F.pmod(F.xxhash64("morpheme"), F.lit(SALTS)).cast("int")
+
+    def key(use: str, kind: str, value: str, shared: bool = False) -> Column:
+        return F.struct(F.lit(use).alias("use"), F.lit(kind).alias("kind"), F.col(value).alias("key"),
+                        (salt if shared else F.lit(0)).alias("salt"))
+
+    keys = F.concat(
+        F.array(key("_plain", "reading", "_plain"), key("_is_name", "name", "_m")),
+        F.when(F.col("_lower") != F.col("_plain"), F.array(key("_lower", "reading", "_lower"))).otherwise(F.array().cast(KEY)),
+        F.when(F.col("_paren"), F.array(key("_base", "reading", "_base", True), key("_only", "only", "_name", True))).otherwise(
+            F.array().cast(KEY)),
+    )
+    return df.select(F.col("morpheme").alias("_k"), F.explode(keys).alias("_q")).select("_k", "_q.*")
+
+
+def _looked_up_large(df: DataFrame, lookups: SignLookups) -> DataFrame:
+    """The same by one shuffle join for a table of distinct morphemes, whose keys go through
+    it as rows and bring the hits (five at most) back by one aggregate."""
+    asked, entries = asked_keys(df), lookups.entries()
+    repeated = entries.where(F.col("kind") != "name").withColumn("salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS - 1))))
+    entries = entries.withColumn("salt", F.lit(0)).unionByName(repeated)
+    hits = asked.join(entries, ["kind", "key", "salt"])
+
+    def names(use: str) -> Column:
+        return F.max(F.when(F.col("use") == use, F.col("names")))
+
+    found = hits.groupBy("_k").agg(
+        names("_plain").alias("_plain_names"), names("_lower").alias("_own_lower"), names("_base").alias("_base_names"),
+        F.max(F.when(F.col("use") == "_only", F.col("only"))).alias("_only"),
+        F.max(F.when(F.col("use") == "_is_name", F.lit(True))).alias("_is_name"))
+    df = df.join(found, F.col("morpheme") == F.col("_k"), "left")
+    same = F.col("_lower") == F.col("_plain")
+    df = df.withColumn("_lower_names", F.when(same, F.col("_plain_names")).otherwise(F.col("_own_lower")))
+    return df.drop("_k", "_own_lower")
+
+
+def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
+    """Add (value, names, reason) to a table with a `morpheme` column."""
     m = F.when(F.col("morpheme") == "geš₂", "ŋeš₂").otherwise(F.col("morpheme"))
     df = df.withColumn("_m", m)
     m = F.col("_m")
@@ -51,13 +103,7 @@ def sign_names(df: DataFrame, lookups: SignLookups) -> DataFrame:
         "_base": F.when(paren, F.get(parts, F.lit(0))).otherwise(m),
         "_name": F.when(paren, F.replace(F.get(parts, F.lit(1)), F.lit(")"), F.lit(""))).otherwise(m),
     })
-    for key in ("_plain", "_lower", "_base"):
-        side = lookups.readings.select(F.col("reading").alias(key), F.col("names").alias(f"{key}_names"))
-        df = df.join(lookups.side(side), key, "left")
-    only = lookups.only.select(F.col("name").alias("_name"), F.col("reading").alias("_only"))
-    df = df.join(lookups.side(only), "_name", "left")
-    own = lookups.glyphs.select(F.col("name").alias("_m"), F.lit(True).alias("_is_name"))
-    df = df.join(lookups.side(own), "_m", "left")
+    df = (_looked_up_small if lookups.small else _looked_up_large)(df, lookups)
 
     plain, lower, base = (F.col(f"{k}_names") for k in ("_plain", "_lower", "_base"))
     is_name = F.col("_is_name").isNotNull()
@@ -98,6 +144,15 @@ def chosen_name(names: Column) -> Column:
     return F.when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise(F.lit(UNK))
 
 
+def named_keys(df: DataFrame) -> DataFrame:
+    """Add the key (_key, _salt) that a name is looked up by: names are salted, and rows
+    without a name, whose glyph does not matter, get a key of their own."""
+    salt = F.pmod(F.xxhash64("morpheme"), F.lit(SALTS)).cast("int")
+    own = F.concat(F.lit("\u0000"), "morpheme")
+    return df.withColumn("_salt", salt).withColumn(
+        "_key", F.when(F.col("_name") != UNK, F.col("_name")).otherwise(own))
+
+
 def add_glyph(df: DataFrame, lookups: SignLookups) -> DataFrame:
     """From (value, names, reason) to (reading, glyph_name, glyph, dropped, …).
 
@@ -118,7 +173,12 @@ def add_glyph(df: DataFrame, lookups: SignLookups) -> DataFrame:
         "_name": swapped,
     })
     side = lookups.glyphs.select(F.col("name").alias("_name"), F.col("glyph").alias("_glyph"))
-    df = df.join(lookups.side(side), "_name", "left")
+    if lookups.small:
+        df = df.join(F.broadcast(side), "_name", "left")
+    else:
+        side = side.select(F.col("_name").alias("_key"), "_glyph", F.explode(
+            F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        df = named_keys(df).join(side, ["_key", "_salt"], "left").drop("_key", "_salt")
     name, glyph = F.col("_name"), F.col("_glyph")
     status = (
         F.when((F.col("_reading") == UNK) | F.col("dropped"), F.lit(None).cast("string"))
@@ -205,15 +265,16 @@ def resolved_tokens(
     """One row per morpheme of each text, with its sign name and glyph.
 
     With broadcast lookups the texts are placed by id first, while they are compact, and
-    nothing is shuffled after that. With large lookups each distinct morpheme is
-    resolved once and joined back by frequency.
+    nothing is shuffled after that. With large lookups, or large results for what stands in
+    them, each distinct morpheme is resolved once and joined back by frequency.
     """
-    if lookups.small:
+    known = known_morphemes(lookups) if lookups.small else None
+    if known is not None and fits_broadcast(known):
         toks = tokens(docs.repartition(row_id), text, list(keep))
-        out = resolve_small(toks, lookups, known_morphemes(lookups))
+        out = resolve_small(toks, lookups, known)
     else:
         toks = tokens(docs, text, list(keep))
-        resolved = resolved_counts(docs, lookups, text)
+        resolved = materialised(resolved_counts(docs, lookups, text))  # read twice below
         out = join_by_frequency(toks, resolved, "morpheme", [row_id, "wpos", "mpos"])
     return pass_special(out)
 

@@ -13,13 +13,14 @@ from parcorp.functions import sequences as S
 from parcorp.functions.text import exploded, seeded_md5
 from parcorp.operators.ranking import positions
 from parcorp.operators.stats import alphabet
+from parcorp.session import sized
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, token_id): the special tokens, then all characters by code point.
 
     The one unpartitioned window runs over distinct characters only, of which Unicode
-    has at most 1,114,112; the same bound holds wherever the vocabulary is broadcast.
+    has at most 1,114,112.
     """
     spark = df.sparkSession
     specials = spark.createDataFrame(
@@ -44,22 +45,22 @@ def token_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(token, token_id) as text, with a note for tokens that are missing."""
     found = F.col("token_id").cast("string")
     note = F.lit("Token not found in vocabulary")
-    return tokens.join(F.broadcast(vocab), "token", "left").select(
+    return tokens.join(sized(vocab), "token", "left").select(
         "token", F.coalesce(found, note).alias("token_id")
     )
 
 
-def encode(
-    df: DataFrame, vocab: DataFrame, text: str, out: str = "input_ids", row_id: str = "id"
-) -> DataFrame:
-    """Add the token ids of a text: special tokens whole, characters one by one.
+def encode_columns(df: DataFrame, vocab: DataFrame, texts: dict[str, str], row_id: str = "id") -> DataFrame:
+    """Add the token ids of several texts (text column -> column of ids): special tokens
+    whole, characters one by one.
 
-    Each text sends its distinct tokens through the vocabulary join, not every
-    character, and gets them back as a small map; the characters never leave the row.
-    The map is searched from its start, so tokens stand in it as they first appear in
-    the text: the frequent ones come early.
+    A row sends the distinct tokens of all its texts through one vocabulary join, not every
+    character, and gets them back as a small map; the characters never leave the row. The
+    map is searched from its start, so tokens stand in it as they first appear: the
+    frequent ones come early.
     """
-    found = F.array_distinct(S.split_tokens(F.col(text)))
+    found = F.array_distinct(F.concat(*[
+        F.coalesce(S.split_tokens(F.col(t)), F.array().cast("array<string>")) for t in texts]))
     toks = exploded(df, [row_id], found, "token", pos="_pos").withColumnRenamed(row_id, "_id")
     ids = F.coalesce(F.col("token_id").cast("int"), F.lit(K.UNK_ID))
     placed = F.sort_array(F.collect_set(F.struct("_pos", "token", ids.alias("i"))))
@@ -67,13 +68,21 @@ def encode(
         placed, lambda e: F.struct(e["token"].alias("token"), e["i"].alias("i"))
     ))
     maps = (
-        toks.join(F.broadcast(vocab), "token", "left").groupBy("_id")
+        toks.join(sized(vocab), "token", "left").groupBy("_id")
         .agg(F.map_from_entries(entries).alias("_ids"))
     )
     joined = df.join(maps, F.col(row_id).eqNullSafe(F.col("_id")), "left")
-    inner = F.transform(S.split_tokens(F.col(text)), lambda t: F.try_element_at(F.col("_ids"), t))
-    full = F.concat(F.array(F.lit(K.BOS_ID)), inner, F.array(F.lit(K.EOS_ID)))
-    return joined.withColumn(out, full).drop("_id", "_ids")
+    for text, out in texts.items():
+        inner = F.transform(S.split_tokens(F.col(text)), lambda t: F.try_element_at(F.col("_ids"), t))
+        joined = joined.withColumn(out, F.concat(F.array(F.lit(K.BOS_ID)), inner, F.array(F.lit(K.EOS_ID))))
+    return joined.drop("_id", "_ids")
+
+
+def encode(
+    df: DataFrame, vocab: DataFrame, text: str, out: str = "input_ids", row_id: str = "id"
+) -> DataFrame:
+    """Add the token ids of one text."""
+    return encode_columns(df, vocab, {text: out}, row_id)
 
 
 def decode(
@@ -87,7 +96,7 @@ def decode(
     toks = exploded(df, [row_id], F.array_distinct(seq), "token_id").withColumnRenamed(row_id, "_id")
     known = vocab.select(F.col("token_id").cast("int").alias("token_id"), "token")
     maps = (
-        toks.join(F.broadcast(known), "token_id", "left").groupBy("_id")
+        toks.join(sized(known), "token_id", "left").groupBy("_id")
         .agg(F.map_from_entries(F.collect_set(
             F.struct("token_id", F.coalesce("token", F.lit(K.UNK))))).alias("_toks"))
     )

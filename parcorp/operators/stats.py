@@ -24,7 +24,9 @@ def top_k(df: DataFrame, value: str, k: int) -> DataFrame:
     """The k most frequent values, then a `Total` row over all values."""
     counts = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "value").limit(k)
-    total = df.agg(F.count(value).alias("n")).select(F.lit("Total").alias("value"), "n")
+    # from the same counts: their shuffle is run once and read twice
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"))
+    total = total.select(F.lit("Total").alias("value"), "n")
     return top.unionByName(total)
 
 

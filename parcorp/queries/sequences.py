@@ -164,7 +164,7 @@ FROM src JOIN tgt USING (id)
 """)
 def q_pair_encode(spark, sf_dir):
     v = vocab(spark, sf_dir)
-    df = Q.encode(Q.encode(pairs(spark, sf_dir), v, "source"), v, "target", out="labels")
+    df = Q.encode_columns(pairs(spark, sf_dir), v, {"source": "input_ids", "target": "labels"})
     return df.select("id", text_of("input_ids").alias("input_ids"), text_of("labels").alias("labels"))
 
 

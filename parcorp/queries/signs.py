@@ -17,7 +17,7 @@ from parcorp.operators import resolve as R
 from parcorp.operators.dedup import chain_counts
 from parcorp.plans import corpus
 from parcorp.queries.registry import q, query, sql_regex, sql_replace, table
-from parcorp.session import materialised
+from parcorp.session import BROADCAST_BYTES, materialised
 
 NOTATION = [
     (" de ", "{de}-"), (" the ", " the(EN.SRC1) "), (" is ", " 7-bi "), (" it ", " 12 "),
@@ -86,11 +86,11 @@ def sign_readings(spark, sf_dir):
     return L.override(L.reading_names(edges(spark, sf_dir)), index(spark, sf_dir))
 
 
-def sign_lookups(spark, sf_dir):
+def sign_lookups(spark, sf_dir, limit=BROADCAST_BYTES):
     """The lookups as written tables, so that their sizes are known when joined."""
     readings = materialised(sign_readings(spark, sf_dir))
     glyphs = materialised(L.name_glyph(L.name_glyphs(name_glyph_pairs(spark, sf_dir))))
-    return L.SignLookups.of(readings, glyphs)
+    return L.SignLookups.of(readings, glyphs, limit=limit)
 
 
 # ---- the same in SQL ----------------------------------------------------------------------
@@ -308,6 +308,18 @@ def q_name_to_glyph(spark, sf_dir):
     )
 
 
+@query("q_resolve_large", f"""
+WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL}
+SELECT morpheme, n, converted, dropped, reason, reading, glyph_name, glyph, name_status FROM res
+""")
+def q_resolve_large(spark, sf_dir):
+    """The same without any broadcast, as for lookups that grew with a corpus."""
+    lookups = sign_lookups(spark, sf_dir, limit=0)
+    return R.resolved_counts(noted(spark, sf_dir), lookups, "text").select(
+        "morpheme", "n", "converted", "dropped", "reason", "reading", "glyph_name", "glyph", "name_status"
+    )
+
+
 @query("q_numbers", f"""
 WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL}
 SELECT morpheme, n, reading, glyph_name, reason FROM res WHERE regexp_matches(morpheme, '^\\d')
@@ -332,6 +344,16 @@ def q_rebuild_parallel(spark, sf_dir):
     return R.rebuilt(sign_tokens(spark, sf_dir), ["id"])
 
 
+@query("q_rebuild_large", f"""
+WITH {TOKENS_SQL}, {LOOKUP_SQL}, {RESOLVE_SQL}, {REBUILD_SQL}
+SELECT id, transliteration, glyph_names, glyphs FROM built
+""")
+def q_rebuild_large(spark, sf_dir):
+    lookups = sign_lookups(spark, sf_dir, limit=0)
+    toks = R.resolved_tokens(noted(spark, sf_dir), lookups, "text", ["id"])
+    return R.rebuilt(toks, ["id"])
+
+
 @query("q_postprocess", f"WITH {ALL_SQL} SELECT id, transliteration, glyph_names, glyphs FROM post")
 def q_postprocess(spark, sf_dir):
     return R.postprocessed(R.rebuilt(sign_tokens(spark, sf_dir), ["id"]))

@@ -6,9 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-# A set of lookup rows above this size is joined by shuffle, not broadcast.
-BROADCAST_ROWS = 400_000
+# Lookups above this size are joined by shuffle, not broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int = 8, app: str = "parcorp") -> SparkSession:
@@ -53,9 +54,22 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table is small enough to broadcast, by a distributed count."""
-    return df.count() <= rows
+def size_in_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take, whatever the width of texts and arrays: their
+    length as JSON and a fixed cost per row, summed by the tasks."""
+    row = F.octet_length(F.to_json(F.struct("*"))).cast("bigint") + 16
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the table is small enough to broadcast, by its measured size."""
+    return size_in_bytes(df) <= limit
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, computed once, with a broadcast hint if its measured size allows one."""
+    df = materialised(df)
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def spread(df: DataFrame) -> DataFrame:

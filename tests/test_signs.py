@@ -176,3 +176,31 @@ def test_frequency_join_with_a_hot_key(spark, monkeypatch):
     got = R.join_by_frequency(left, right, "k", ["id"]).collect()
     assert len(got) == 3000
     assert all(r.v == (None if r.k in (None, "k3") else r.k.upper()) for r in got)
+
+
+def test_no_key_of_a_shuffle_join_is_hot(spark):
+    from parcorp.operators import resolve
+
+    same_base = [(f"ki({c}{i})", "<unk>") for i in range(1000) for c in "ab"]
+    same_name = [(f"r{i}", "KI") for i in range(1000)]
+    df = spark.createDataFrame(same_base + same_name, "morpheme string, _name string")
+    cols = {"_m": "morpheme", "_plain": "morpheme", "_lower": "lower(morpheme)", "_base": "split(morpheme, '[(]')[0]",
+            "_paren": "contains(morpheme, '(')"}
+    asked = resolve.asked_keys(df.withColumns({k: F.expr(v) for k, v in cols.items()}))
+    for rows, keys in ((asked, ["kind", "key", "salt"]), (resolve.named_keys(df), ["_key", "_salt"])):
+        most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        assert most < 0.05 * rows.count()
+
+
+def test_large_lookups_give_the_same(spark):
+    readings = spark.createDataFrame(
+        [("ki", ["KI"]), ("a", ["A", "B"]), ("lu", ["LU"]), ("7(diš)", ["SEVEN"]), ("geš", [])], "reading string, names array<string>")
+    glyphs = spark.createDataFrame([("KI", "𒆠"), ("A", "𒀀"), ("LU", ""), ("SEVEN", "X"), ("Y", "𒀁")], "name string, glyph string")
+    words = ["ki", "{ki}", "KI", "a", "LU", "lu", "Y", "zu", "ZU", "x", "7(diš)", "9(diš)", "a(B)", "a(C)", "zu(KI)", "ki(Q)", "geš₂", "q(LU"]
+    df = spark.createDataFrame([(w,) for w in words], "morpheme string")
+    out = []
+    for limit in (1 << 30, 0):
+        lookups = L.SignLookups.of(readings, glyphs, limit=limit)
+        assert lookups.small == (limit > 0)
+        out.append(sorted(map(repr, R.resolve(df, lookups).select("morpheme", *R.RESULT).collect())))
+    assert out[0] == out[1]
