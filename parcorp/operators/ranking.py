@@ -7,13 +7,36 @@ own and the totals of the buckets before it are added.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BUCKET_DIGITS = 3  # 4096 buckets per group: the size bound of the offsets table
+from parcorp.session import materialised
+
+BUCKET_DIGITS = 3  # 4096 buckets per group where the caller names no number
+BUCKET_ROWS = 4096
+
+
+def bucket_digits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
+    """How many hex digits make buckets of about `per_bucket` rows out of `rows`."""
+    return max(1, math.ceil(math.log(max(rows / per_bucket, 1), 16)))
+
+
+def ranked_over_tasks(df: DataFrame, order: Sequence, out: str) -> DataFrame:
+    """Add the 1-based position in the given order. The rows are sorted over all tasks and
+    numbered within each; only the tasks' row counts reach the driver."""
+    place = F.monotonically_increasing_id()  # task number, then 33 bits of position
+    df = materialised(df.orderBy(*order).withColumn("_place", place))
+    task, index = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    counts = df.groupBy(task.alias("t")).count().collect()
+    offset, before = F.lit(0).cast("bigint"), 0
+    for t, n in sorted((r[0], r[1]) for r in counts):
+        offset = F.when(task == t, F.lit(before).cast("bigint")).otherwise(offset)
+        before += n
+    return df.withColumn(out, index + offset + 1).drop("_place")
 
 
 def running_total(
