@@ -254,7 +254,8 @@ def near_vectors(rows: DataFrame, row_id: str = "vec_id", vector: str = "embeddi
         .select("c", "low", F.coalesce("root", "c").alias("root"),
                 (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     )
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    # a table of its own, so that the join below can split the rows of a large component
+    lows = written(placed.groupBy("root").agg(F.min("low").alias("component_id")), "pq-lows")
     result = placed.join(lows, "root").select(F.col("c").alias("k"), "n_links", "component_id")
     result = written(result, "pq-result")
     out = base.select("id", "c").join(result, F.col("c") == F.col("k"), "left").select(
