@@ -238,7 +238,8 @@ def near_groups(docs: DataFrame, row_id: str = "doc_id", text: str = "text", rad
     tree = components(linked(first, radius, pieces, block))
     placed = first.join(tree, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    # a table of its own, so that the join below can split the rows of a large component
+    lows = written(placed.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
     classes = placed.select(F.col("fp").alias("c"), "root").join(lows, "root").select("c", "component_id")
     classes = written(classes, "simhash-classes")
     return rows.join(classes, F.col("fp") == F.col("c")).select(
