@@ -129,17 +129,20 @@ ILLEGIBLE_ALONE = regex_stage(
 )
 
 
+# --- Fixed values: contexts of an illegible sign {c} and what the missing-marker {m} makes of them
+ILLEGIBLE_CONTEXTS = [
+    ("({c})", "{m}"), ("[{c}]", "{m}"),
+    ("-{c}-", " {m} "), (" {c}-", " {m} "), ("-{c} ", " {m} "), (" {c} ", " {m} "),
+    ("\n{c} ", "\n{m} "), (" {c}\n", " {m}\n"), (" {c}$", "{m}"), ("-{c}$", "{m}"),
+    ("{m}{c} ", "{m}"), ("{m}{c}-", "{m}"), (" {c}{m}", "{m}"), ("-{c}{m}", "{m}"),
+]
+
+
 def illegible_pairs() -> list[tuple[str, str]]:
     """Literal contexts of an illegible sign, in order; `$` is a plain character here."""
-    contexts = [
-        ("({c})", "{m}"), ("[{c}]", "{m}"),
-        ("-{c}-", " {m} "), (" {c}-", " {m} "), ("-{c} ", " {m} "), (" {c} ", " {m} "),
-        ("\n{c} ", "\n{m} "), (" {c}\n", " {m}\n"), (" {c}$", "{m}"), ("-{c}$", "{m}"),
-        ("{m}{c} ", "{m}"), ("{m}{c}-", "{m}"), (" {c}{m}", "{m}"), ("-{c}{m}", "{m}"),
-    ]
     return [
         (find.format(c=c, m=M), repl.format(c=c, m=M))
-        for c in K.ILLEGIBLE for find, repl in contexts
+        for c in K.ILLEGIBLE for find, repl in ILLEGIBLE_CONTEXTS
     ]
 
 

@@ -14,6 +14,7 @@ from parcorp.functions.tokens import tokens
 from parcorp.operators.lookups import SignLookups
 from parcorp.session import fits_broadcast, materialised
 
+# What counts as a number
 NUMERIC = r"(?dU)^\d+(/\d+)?(\.\d+)?(\s*\([^)]+\))?$"
 UNK = K.UNK
 FREQUENT = 1000  # rows of the frequent part: its size bound

@@ -51,6 +51,7 @@ def alphabet(df: DataFrame, text: str) -> DataFrame:
 
 def length_histogram(df: DataFrame, text: str) -> DataFrame:
     n = F.length(remove_all(F.col(text), K.VOCAB_SPECIALS))
+    # Names and bounds of the buckets
     bucket = (
         F.when(n <= 64, "0-64").when(n <= 128, "64-128").when(n <= 256, "128-256")
         .otherwise("mt256")

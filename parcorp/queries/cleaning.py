@@ -15,6 +15,7 @@ from parcorp.queries.registry import (
 M = K.MISSING
 
 # ---- the SQL side of each stage, as steps over column t -----------------------------------
+# The patterns that define the stages, in their order
 COLLAPSE_SQL = [
     sql_regex("t", r"([ \-]*\n[ \-]*)+", "\n"),
     sql_regex("t", r"(-* -*)+", " "),
