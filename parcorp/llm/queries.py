@@ -49,7 +49,55 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- 3: secret scans ---------------------------------------------------------------------
-@query("op3_secret_scan")
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    kinds = [(i, kind, p) for i, (kind, p) in enumerate([*secrets.SEARCHED.items(), ("markov", secrets.TOKEN)])]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, '{kind}' AS kind, unnest(regexp_extract_all(t, {_q(p)}, 0)) AS m, "
+        f"unnest(string_split_regex(t, {_q(p)})[1:len(regexp_extract_all(t, {_q(p)}, 0))]) AS gap, "
+        f"generate_subscripts(regexp_extract_all(t, {_q(p)}, 0), 1) AS i FROM d"
+        for i, kind, p in kinds)
+    code = f"strpos('{secrets.ALPHABET}', %s)"
+    pair = f"{code % 'token[p]'} * {secrets.SYMBOLS} + {code % 'token[p + 1]'}"
+    n = secrets.SYMBOLS
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+lim AS (SELECT format('{{:07x}}', least(CAST({secrets.FIT_DOCS} AS BIGINT) * 16777216 // greatest(count(*), 1), 16777216)) AS b FROM d),
+w AS (SELECT unnest(regexp_extract_all(t, '[A-Za-z]{{3,}}')) AS w, generate_subscripts(regexp_extract_all(t, '[A-Za-z]{{3,}}'), 1) - 1 AS i
+  FROM d, lim WHERE '0' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) < b),
+ids AS (SELECT unnest(range({secrets.FIT_RANDOM})) AS id),
+b64 AS (SELECT id, sha256(CAST(id AS VARCHAR)) AS h, to_base64(unhex(sha256(CAST(id AS VARCHAR)))) AS b FROM ids),
+samples AS (
+  SELECT CASE i % 4 WHEN 0 THEN lower(w) || '_' || lower(w) WHEN 1 THEN lower(w) || upper(w[1]) || lower(w[2:]) || (i % 10)
+    WHEN 2 THEN upper(w) || '-' || lower(w) ELSE w END AS token, 0 AS r FROM w
+  UNION ALL SELECT CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS VARCHAR), 0 FROM ids
+  UNION ALL SELECT CASE id % 4 WHEN 0 THEN h WHEN 1 THEN b WHEN 2 THEN upper(translate(b, '+/=', ''))
+    ELSE translate(b, '+/=', '-_') END, 1 FROM b64),
+sp AS (SELECT token, r, unnest(range(1, length(token))) AS p FROM samples),
+cnt AS (SELECT {pair} AS pair, sum(r) AS r, sum(1 - r) AS o FROM sp GROUP BY 1),
+tot AS (SELECT pair // {n} AS f, sum(r) AS rt, sum(o) AS ot FROM cnt GROUP BY 1),
+model AS (SELECT g.pair, CAST(round(1000 * (ln(coalesce(r, 0) + 1) - ln(coalesce(rt, 0) + {n}) - ln(coalesce(o, 0) + 1)
+    + ln(coalesce(ot, 0) + {n}))) AS BIGINT) AS llr
+  FROM (SELECT unnest(range({n * n})) AS pair) g LEFT JOIN cnt USING (pair) LEFT JOIN tot ON f = g.pair // {n}),
+found AS ({found}),
+placed AS (SELECT doc_id, k, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM found),
+score AS (SELECT token, sum(llr) AS s FROM (SELECT token, {pair} AS pair FROM (SELECT token, unnest(range(1, length(token))) AS p
+  FROM (SELECT DISTINCT m AS token FROM placed WHERE kind = 'markov'))) JOIN model USING (pair) GROUP BY token),
+spans AS (SELECT doc_id, k, kind, e - length(m) AS b, e FROM placed LEFT JOIN score ON m = token AND kind = 'markov'
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, {_q(secrets.SEARCHED['assign'])}, 2)) >= {secrets.MIN_VALUE}
+    WHEN 'markov' THEN s >= {secrets.LLR_MILLI} ELSE true END)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (kind <> 'markov'), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k), '') AS spans, count(*) FILTER (kind = 'markov') AS n_markov
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op3_secret_scan", _secret_sql())
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.labelled_samples(docs))

@@ -179,6 +179,7 @@ def labelled_samples(docs: DataFrame, row_id: str = "doc_id", text: str = "text"
         F.lit(True).alias("random"),
     )
     numbers = docs.sparkSession.range(fit_random).select(
-        F.abs(F.xxhash64("id")).cast("string").alias("token"), F.lit(False).alias("random")
+        F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).alias("token"),
+        F.lit(False).alias("random"),
     )
     return ordinary.unionByName(numbers).unionByName(random)
