@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parcorp.llm.common import with_package
+from parcorp.llm.common import with_package, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the public byte-level vocabulary splits text, and its own control string
@@ -114,6 +114,7 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     coded = rows.mapInArrow(
         encode, "conv_id bigint, turn bigint, role string, tie string, ids array<int>, loss array<tinyint>")
+    coded = written(coded, "chat-turns")  # read for the sums and for the rows
     coded = coded.withColumn("b", F.floor(F.coalesce("turn", F.lit(-(2**62))) / BUCKET_TURNS))
     coded = coded.withColumn("size", F.size("ids").cast("bigint"))
 
