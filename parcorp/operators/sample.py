@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from parcorp import constants as K
 from parcorp.functions.text import seeded_md5
 from parcorp.operators.ranking import bucket_digits, positions, ranked_over_tasks
-from parcorp.session import materialised
+from parcorp.session import materialised, sized
 
 
 def shuffled(df: DataFrame, seed: int, row_id: str = "id") -> DataFrame:
@@ -84,7 +84,6 @@ def stratified_split(
         "_test": F.col("n_test") - F.col("_off"),
         "_held": F.col("n_test") + F.col("n_validation") - F.col("_off"),
     }).where("_held > 0").select("_s", "_b", "_n", "_test", "_held")
-    borders = materialised(borders)
 
     def inside(column: str) -> Column:
         return (F.col(column) > 0) & (F.col(column) < F.col("_n"))
@@ -95,8 +94,9 @@ def stratified_split(
     cuts = ranked.groupBy("_s", "_b").agg(
         F.max(F.when(F.col("_rank") <= F.col("_test"), place)).alias("_cut_test"),
         F.max(F.when(F.col("_rank") <= F.col("_held"), place)).alias("_cut_held"))
-    borders = borders.join(cuts, ["_s", "_b"], "left").select(
-        F.col("_s").alias("_bs"), F.col("_b").alias("_bb"), "_n", "_test", "_held", "_cut_test", "_cut_held")
+    # broadcast if small enough, so that the rows are not shuffled at all
+    borders = sized(borders.join(cuts, ["_s", "_b"], "left").select(
+        F.col("_s").alias("_bs"), F.col("_b").alias("_bb"), "_n", "_test", "_held", "_cut_test", "_cut_held"))
 
     mine = F.struct(F.col("_key"), F.col(row_id).alias("_id"))
 
