@@ -20,7 +20,8 @@ SUBSPACES = 8
 CODES = 256
 BLOCK = 2048  # queries, and list members, that one block compares
 ROUNDS = 8  # of k-means
-SLACK = 1e-6  # for single-precision rounding in the candidate tests
+SLACK = 1e-4  # for single-precision rounding in the candidate tests
+MISS = 1e-4  # share of neighbours at the threshold that probing may miss
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 42) -> np.ndarray:
@@ -63,30 +64,54 @@ class Index:
             error += ((left[:, a:b] - self.books[m][codes[:, m]]) ** 2).sum(axis=1)
         return near, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, radius: float) -> Iterator[np.ndarray]:
-        """For each vector the lists that can hold a vector within `radius`.
+    def probes(self, x: np.ndarray, margin: float) -> Iterator[np.ndarray]:
+        """For each vector the lists whose border with its own list is within `margin`.
 
         A member of list c is no nearer to any other centroid, so it lies on c's side of
-        the plane half-way between c and the query's own centroid; lists whose plane is
-        farther than the radius are left out, and no neighbour is missed.
+        the plane half-way between c and the vector's own centroid. With the linking
+        radius as the margin no neighbour can be missed.
         """
-        squares = (self.centres**2).sum(axis=1)
-        gaps = np.sqrt(np.maximum(squares[:, None] + squares - 2 * self.centres @ self.centres.T, 0))
         for i in range(0, len(x), 1024):
-            part = x[i:i + 1024]
-            d = squares - 2 * part @ self.centres.T
-            own = d.argmin(axis=1)
-            reach = d - d[np.arange(len(part)), own][:, None] <= 2 * radius * gaps[own] + SLACK
-            yield from (np.flatnonzero(r) for r in reach)
-
-    def distances(self, query: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of one query to coded members of a list: a table of
-        distances to every codeword per subspace, then look-ups."""
-        left = query - self.centres[centre]
-        total = np.zeros(len(codes))
+            beyond, _ = self._beyond(x[i:i + 1024])
+            yield from (np.flatnonzero(r) for r in beyond <= margin + SLACK)
+
+    def _beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each vector from the border of every list with its own, and its own."""
+        squares = (self.centres**2).sum(axis=1)
+        d = squares - 2 * x @ self.centres.T
+        own = d.argmin(axis=1)
+        gaps = np.sqrt(np.maximum(squares[own][:, None] + squares - 2 * self.centres[own] @ self.centres.T, 0))
+        return (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gaps, 1e-12), own
+
+    def margin(self, sample: np.ndarray, radius: float, miss: float, seed: int = 42) -> float:
+        """The margin that finds all but a share `miss` of neighbours at the linking radius.
+
+        Measured on the sample: each vector gets neighbours at exactly that distance, in
+        random directions; closer ones need less. Never more than the radius itself.
+        """
+        if miss <= 0:
+            return radius
+        rnd = np.random.default_rng(seed)
+        cosine, needed = 1 - radius**2 / 2, []
+        for i in range(0, len(sample), 1024):
+            x = sample[i:i + 1024]
+            side = rnd.normal(size=x.shape)
+            side -= (side * x).sum(axis=1, keepdims=True) * x
+            side /= np.maximum(np.sqrt((side**2).sum(axis=1, keepdims=True)), 1e-12)
+            beyond, _ = self._beyond(x)
+            y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * side
+            needed.append(beyond[np.arange(len(x)), nearest(y, self.centres)])
+        return min(radius, float(np.quantile(np.concatenate(needed), 1 - miss)))
+
+    def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric squared distances of queries to coded members of a list: per subspace
+        a table of distances to every codeword, then look-ups."""
+        left = queries - self.centres[centre]
+        total = np.zeros((len(queries), len(codes)), np.float32)
         for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
-            table = ((self.books[m] - left[a:b]) ** 2).sum(axis=1)
-            total += table[codes[:, m]]
+            book, part = self.books[m], left[:, a:b]
+            table = (part**2).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)
+            total += np.take(table.astype(np.float32), codes[:, m], axis=1)
         return total
 
 
@@ -113,9 +138,8 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def _assigned(classes: DataFrame, index: Index, dim: int, threshold: float) -> DataFrame:
+def _assigned(classes: DataFrame, index: Index, dim: int, margin: float) -> DataFrame:
     """Each vector as a member of its list and as a visitor of later lists to be probed."""
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +147,7 @@ def _assigned(classes: DataFrame, index: Index, dim: int, threshold: float) -> D
                 continue
             x = _unit(batch.column(3), dim)
             own, codes, error = index.encode(x)
-            probes = [p[p >= o] for p, o in zip(index.probes(x, radius), own)]
+            probes = [p[p >= o] for p, o in zip(index.probes(x, margin), own)]
             probes = [p if o in p else np.append(p, o) for p, o in zip(probes, own)]
             at = np.repeat(np.arange(len(x)), [len(p) for p in probes])
             lists = np.concatenate(probes).astype(np.int32)
@@ -143,23 +167,33 @@ def _compare(index: Index, x, member, codes, error, part, n, centre: int, thresh
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     count, forest = np.zeros(len(x), np.int64), Forest(len(x))
     inner, own = part.min() == part.max(), np.flatnonzero(member)
-    for i in range(len(x)):
-        js = own[own > i] if member[i] else own
+    reach = ((radius + error[own] + SLACK) ** 2).astype(np.float32)
+    for lo in range(0, len(x) if len(own) else 0, 256):
+        rows = np.arange(lo, min(len(x), lo + 256))
+        near = index.distances(x[rows], centre, codes[own]) <= reach
+        # two members meet once, a visitor meets all members
+        near &= ~member[rows][:, None] | (own > rows[:, None])
         if not inner:
-            js = js[part[js] != part[i]]
-        if not len(js):
+            near &= part[rows][:, None] != part[own]
+        i, j = np.nonzero(near)
+        i, j = rows[i], own[j]
+        keep = [np.einsum("ij,ij->i", x[i[k:k + 65536]], x[j[k:k + 65536]]) >= threshold for k in range(0, len(i), 65536)]
+        if not keep:
+            continue
+        keep = np.concatenate(keep)
+        i, j = i[keep], j[keep]
+        if not len(i):
             continue
-        near = np.sqrt(index.distances(x[i], centre, codes[js])) <= radius + error[js] + SLACK
-        js = js[near]
-        js = js[x[js] @ x[i] >= threshold]
-        if len(js):
-            count[i] += n[js].sum()
-            count[js] += n[i]
-            forest.join(np.append(js, i))
+        np.add.at(count, i, n[j])
+        np.add.at(count, j, n[i])
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for first, members in zip(i[np.concatenate([[0], cuts])], np.split(j, cuts)):
+            forest.join(np.append(members, first))
     return count, forest.roots()
 
 
-def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: int | None, block: int) -> DataFrame:
+def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: int | None, block: int,
+            miss: float) -> DataFrame:
     """(a, b, links): class a has `links` more linked rows; a and b share a component."""
     bound = f"{min(FIT_ROWS * 16**7 // rows, 16**7):08x}"
     chosen = F.concat(F.lit("0"), F.substring("c", 1, 7)) < F.lit(bound)
@@ -167,9 +201,10 @@ def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: in
     if not sample.num_rows:
         sample = classes.select("v").limit(1).toArrow()
     per_label = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    index = Index(_unit(sample.column(0).combine_chunks(), dim),
-                  lists or min(MAX_LISTS, math.ceil(per_label / LIST_ROWS)))
-    placed = written(_assigned(classes, index, dim, threshold), "pq-lists")
+    known = _unit(sample.column(0).combine_chunks(), dim)
+    index = Index(known, lists or min(MAX_LISTS, math.ceil(per_label / LIST_ROWS)))
+    margin = index.margin(known, math.sqrt(max(0.0, 2 - 2 * threshold)), miss)
+    placed = written(_assigned(classes, index, dim, margin), "pq-lists")
 
     sizes = placed.groupBy("label", "list").agg(F.count("*").alias("c_")).where(F.col("c_") > block)
     sizes = written(sizes.select(F.col("label").alias("l_"), F.col("list").alias("li_"),
@@ -220,7 +255,8 @@ def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: in
 
 
 def near_vectors(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-                 threshold: float = THRESHOLD, lists: int | None = None, block: int = BLOCK) -> DataFrame:
+                 threshold: float = THRESHOLD, lists: int | None = None, block: int = BLOCK,
+                 miss: float = MISS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Rows link when their labels are equal and the cosine, in double precision, is at least
@@ -230,9 +266,11 @@ def near_vectors(rows: DataFrame, row_id: str = "vec_id", vector: str = "embeddi
     that repeat an id count one by one; the smallest id of a component stays, and null ids
     are never the smallest unless there is no other.
 
-    The index is fitted on a bounded sample and holds every vector. Probing and the test of
-    the code distances use bounds that no neighbour can fall outside of, so the exact
-    rerank sees every true link. Lists are compared in blocks of bounded size: a crowded
+    The index is fitted on a bounded sample and holds every vector. Lists are probed as far
+    as is needed to miss no more than a share `miss` of neighbours that lie just at the
+    threshold, measured on that sample (0: none can be missed); the test of the code
+    distances uses a bound that no neighbour in a probed list can fall outside of, and the
+    exact cosine decides. Lists are compared in blocks of bounded size: a crowded
     list is cut into parts, and each pair of parts is a block of its own.
     """
     with_package(rows.sparkSession)
@@ -244,7 +282,7 @@ def near_vectors(rows: DataFrame, row_id: str = "vec_id", vector: str = "embeddi
     sizes = {r[0]: r[1] for r in classes.groupBy("dim").count().collect()}
     links = classes.limit(0).select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("n").alias("links"))
     for dim, n in sorted(sizes.items()):
-        links = links.unionByName(_linked(classes.where(F.col("dim") == dim), dim, n, threshold, lists, block))
+        links = links.unionByName(_linked(classes.where(F.col("dim") == dim), dim, n, threshold, lists, block, miss))
     links = written(links, "pq-links")
     tree = components(links.where("a <> b").select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))

@@ -113,8 +113,11 @@ def brute(rows, threshold):
         if ok(v, lab):
             x = np.array(v) / max(abs(y) for y in v)
             unit[i] = (lab, x / np.sqrt((x * x).sum()))
-    links = [(i, j) for i, j in itertools.combinations(unit, 2)
-             if unit[i][0] == unit[j][0] and len(unit[i][1]) == len(unit[j][1]) and unit[i][1] @ unit[j][1] >= threshold]
+    links = []
+    for key in {(lab, len(x)) for lab, x in unit.values()}:
+        mine = [i for i, (lab, x) in unit.items() if (lab, len(x)) == key]
+        x = np.array([unit[i][1] for i in mine])
+        links += [(mine[a], mine[b]) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= threshold, 1)))]
     n = {i: 0 for i, _, _ in rows}
     for a, b in links:
         n[a] += 1
@@ -127,11 +130,22 @@ def brute(rows, threshold):
 def test_near_vectors(spark, lists, block):
     rows = vectors()
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, c string")
-    got = pq_dedup.near_vectors(df, lists=lists, block=block).collect()
+    got = pq_dedup.near_vectors(df, lists=lists, block=block, miss=0).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows, 0.93)
     assert sum(n for n, _, _ in brute(rows, 0.93).values()) > 300
 
 
+def test_recall_of_the_default_probes(spark):
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(1500, 32))
+    side = rnd.normal(size=base.shape) * 0.35  # cosines around the threshold
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, base + side]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = pq_dedup.near_vectors(df, lists=40).agg({"n_links": "sum"}).first()[0]
+    want = sum(n for n, _, _ in brute(rows, 0.93).values())
+    assert 0.99 * want <= got <= want and want > 1000
+
+
 def test_near_vectors_without_usable_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert pq_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
