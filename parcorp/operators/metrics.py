@@ -36,16 +36,12 @@ def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> D
     come from one row and go through one aggregate by (row, n-gram) that shuffles nothing.
     """
 
-    def grams(column: str, side: int) -> Column:
-        tagged = F.transform(ngrams(F.col(column), ORDER), lambda g: F.struct(
-            g["n"].alias("n"), g["gram"].alias("gram"), F.lit(side).alias("_side")))
-        return F.coalesce(tagged, F.array().cast("array<struct<n:int,gram:string,_side:int>>"))
+    def side(number: int, column: str) -> Column:
+        tokens = F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
+        return F.struct(F.lit(number).alias("_side"), tokens.alias("_t"))
 
-    def tokens(column: str) -> Column:
-        return F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
-
-    rows = df.repartition(row_id).select(row_id, tokens(pred).alias("_p"), tokens(label).alias("_l"))
-    both = exploded(rows, [row_id], F.concat(grams("_p", 0), grams("_l", 1)), "_g").select(row_id, "_g.*")
+    sides = df.repartition(row_id).select(row_id, F.inline(F.array(side(0, pred), side(1, label))))
+    both = exploded(sides, [row_id, "_side"], ngrams(F.col("_t"), ORDER), "_g").select(row_id, "_side", "_g.*")
     per_row = both.groupBy(row_id, "n", "gram").agg(
         F.count_if(F.col("_side") == 0).alias("p"), F.count_if(F.col("_side") == 1).alias("l")
     )
