@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from parcorp.llm.common import written
 from parcorp.operators.ranking import running_total

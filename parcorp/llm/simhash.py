@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
