@@ -21,7 +21,7 @@ CODES = 256
 BLOCK = 2048  # queries, and list members, that one block compares
 ROUNDS = 8  # of k-means
 SLACK = 1e-4  # for single-precision rounding in the candidate tests
-MISS = 1e-4  # share of neighbours at the threshold that probing may miss
+MISS = 0.0  # probe as far as the linking radius: no neighbour can be missed
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 42) -> np.ndarray:
@@ -84,10 +84,11 @@ class Index:
         return (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gaps, 1e-12), own
 
     def margin(self, sample: np.ndarray, radius: float, miss: float, seed: int = 42) -> float:
-        """The margin that finds all but a share `miss` of neighbours at the linking radius.
+        """How far to look beyond borders: the linking radius itself where `miss` is 0.
 
-        Measured on the sample: each vector gets neighbours at exactly that distance, in
-        random directions; closer ones need less. Never more than the radius itself.
+        Otherwise all but a share `miss` of made-up neighbours at that distance from the
+        sample's vectors, in random directions, are found. Real neighbours lie where the
+        data vary and cross borders more often, so the share missed of them has no bound.
         """
         if miss <= 0:
             return radius
@@ -266,11 +267,10 @@ def near_vectors(rows: DataFrame, row_id: str = "vec_id", vector: str = "embeddi
     that repeat an id count one by one; the smallest id of a component stays, and null ids
     are never the smallest unless there is no other.
 
-    The index is fitted on a bounded sample and holds every vector. Lists are probed as far
-    as is needed to miss no more than a share `miss` of neighbours that lie just at the
-    threshold, measured on that sample (0: none can be missed); the test of the code
-    distances uses a bound that no neighbour in a probed list can fall outside of, and the
-    exact cosine decides. Lists are compared in blocks of bounded size: a crowded
+    The index is fitted on a bounded sample and holds every vector. All lists are probed
+    whose border is within the linking radius, so that no neighbour can be missed (a `miss`
+    above 0 gives that up, see `Index.margin`); the test of the code distances uses a bound
+    that no neighbour in a probed list can fall outside of, and the exact cosine decides. Lists are compared in blocks of bounded size: a crowded
     list is cut into parts, and each pair of parts is a block of its own.
     """
     with_package(rows.sparkSession)

@@ -146,6 +146,16 @@ def test_recall_of_the_default_probes(spark):
     assert 0.99 * want <= got <= want and want > 1000
 
 
+def test_default_probes_miss_no_neighbour_on_low_rank_vectors(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(2000, 4)) @ rnd.normal(size=(4, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = pq_dedup.near_vectors(df, lists=40).agg({"n_links": "sum"}).first()[0]
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = int((x @ x.T >= 0.93).sum()) - len(x)
+    assert got == want and want > 10_000
+
+
 def test_near_vectors_without_usable_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert pq_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
