@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from parcorp.llm import exact_dedup, langid, mixing, packing, simhash
 from parcorp.llm.common import columns_of, written
 
-MIN_SCORE = 0.3  # share of a text's letters that its main language must have
+MIN_SCORE = 0.3  # share of a text's letters that its main language must explain
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language known from the labelled rows; those without a letter or a
-    main language go."""
+    """Documents in a language known from the labelled rows; those without a letter, in an
+    unlearned script or of words that no learned language explains go."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return langid.accepted(docs, model, MIN_SCORE)
+    return langid.accepted(docs, model, MIN_SCORE, explained=True)
 
 
 def exact_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

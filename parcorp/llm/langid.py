@@ -33,6 +33,7 @@ RANGES = [
     (0xFB50, "arabic"), (0xFE00, "other"), (0x20000, "han"), (0x32000, "other"),
 ]
 SCRIPTS = sorted({name for _, name in RANGES})
+LARGE = ("han", "hangul", "kana", "other")  # too many letters for trigrams to cover
 
 
 @functools.lru_cache(maxsize=1)
@@ -95,9 +96,17 @@ class Model:
         self.scores = np.log((counts + SMOOTH) / (total + SMOOTH * seen)).astype(np.float32)
         share = letters / np.maximum(letters.sum(axis=0, keepdims=True), 1)
         self.uses = share >= SCRIPT_SHARE
+        # a trigram of no language in particular: all learned ones are equally likely
+        self.background = np.where(np.isin(SCRIPTS, LARGE), -np.inf, -np.log(seen) - 1e-4)
 
     def words(self, text: str):
         """(starts, ends, scores per language) of all words of a text of any length."""
+        return self.explained(text)[:3]
+
+    def explained(self, text: str):
+        """The same and, per word and language, whether the language explains the word: it
+        uses the word's script and scores at least what the background does. Trigrams of
+        large scripts are never covered, so there the script decides."""
         out = []
         for at, piece in _pieces(text):
             starts, ends, scripts, first, slots = _words(piece)
@@ -106,10 +115,12 @@ class Model:
             got = np.add.reduceat(self.scores[slots], first, axis=0)
             known = self.uses[scripts]
             got = np.where(known, got, np.where(known.any(axis=1, keepdims=True), np.float32(FAR), np.float32(0)))
-            out.append((starts + at, ends + at, got))
+            size = np.diff(np.append(first, len(slots)))
+            fits = known & (got >= (size * self.background[scripts])[:, None])
+            out.append((starts + at, ends + at, got, fits))
         if not out:
             none = np.empty(0, np.int64)
-            return none, none, np.empty((0, len(self.langs)), np.float32)
+            return none, none, np.empty((0, len(self.langs)), np.float32), np.empty((0, len(self.langs)), bool)
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -195,20 +206,24 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: s
 
 
 def _grouped(model: Model, switch: float):
-    """A function from texts to (language, score, spans) of each."""
+    """A function from texts to (language, score, spans, known) of each; known is the share
+    of the letters in words that the language is given and explains."""
     names = model.langs
 
-    def group(texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    def group(texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]], np.ndarray]:
         if names:
-            s, e, scores = model.words("\n".join(texts))
+            s, e, scores, fits = model.explained("\n".join(texts))
         else:
-            s, e, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1))
+            s, e, scores, fits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 1)), np.empty((0, 1), bool)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         labels = viterbi(scores, np.searchsorted(s, begin), switch)
         doc = np.searchsorted(begin, s, side="right") - 1
         letters = np.zeros((len(texts), max(1, len(names))), np.int64)
         np.add.at(letters, (doc, labels), e - s)
         total, top = letters.sum(axis=1), letters.argmax(axis=1)
+        sound = np.zeros_like(letters)
+        np.add.at(sound, (doc, labels), (e - s) * fits[np.arange(len(s)), labels])
+        known = sound.max(axis=1) / np.maximum(total, 1)
         pred = [names[i] if n else "und" for i, n in zip(top, total)]
         spans: list[list[dict]] = [[] for _ in texts]
         if len(s):
@@ -217,7 +232,7 @@ def _grouped(model: Model, switch: float):
             for i, j in zip(new, np.concatenate([new[1:], [len(s)]]) - 1):
                 d = doc[i]
                 spans[d].append({"start": int(s[i] - begin[d]), "end": int(e[j] - begin[d]), "lang": names[labels[i]]})
-        return pred, letters.max(axis=1) / np.maximum(total, 1), spans
+        return pred, letters.max(axis=1) / np.maximum(total, 1), spans, known
 
     return group
 
@@ -251,7 +266,7 @@ def label(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _parts(batch, 1):
-                pred, share, spans = group(texts)
+                pred, share, spans, _ = group(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, span)],
                     ["id", "lang_pred", "score", "spans"])
@@ -263,17 +278,19 @@ def label(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "te
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float, text: str = "text",
-             switch: float = SWITCH) -> DataFrame:
+             switch: float = SWITCH, explained: bool = False) -> DataFrame:
     """The rows of `docs`, all columns, whose main language has at least `min_score` of the
-    letters. Rows without letters go. One pass, nothing is shuffled."""
+    letters. With `explained` only letters count that stand in words the language explains:
+    words of a script that it does not use count for none, nor do words that it makes less
+    likely than the background. Rows without letters go. One pass, nothing is shuffled."""
     with_package(docs.sparkSession)
     group, column = _grouped(model, switch), docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _parts(batch, column):
-                pred, share, _ = group(texts)
-                good = (share >= min_score) & np.array([p != "und" for p in pred])
+                pred, share, _, known = group(texts)
+                good = ((known if explained else share) >= min_score) & np.array([p != "und" for p in pred])
                 yield part.filter(pa.array(good))
 
     return docs.mapInArrow(scan, docs.schema)

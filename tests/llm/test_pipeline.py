@@ -92,6 +92,16 @@ def test_run(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_unlearned_scripts_and_noise_go(spark):
+    rnd = random.Random(3)
+    noise = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(80))
+    odd = [(500, "это документ на языке которого нет", None, "s1", 1), (501, "这是一个中文文件", None, "s1", 1),
+           (502, noise, None, "s1", 1)]
+    rows = fixture()[:90] + odd
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r.doc_id for r in got} == set(range(90))
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_no_rows_and_only_nulls(spark, tmp_path, empty):
     docs = spark.createDataFrame([] if empty else [(None, None, None, None, None)] * 2, SCHEMA)
