@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +21,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return exact_dedup.exact_groups(docs).where("kept").select("row.*")
+    """Of equal texts one row: that with the largest id, of several such the smallest row."""
+    kept = exact_dedup.exact_groups(docs).where("kept")
+    text = exact_dedup.normalised(F.col("row.text")).alias("t")
+    several = kept.where("size > 1").groupBy("digest", text).agg(F.min("row").alias("row"))
+    return kept.where("size = 1").select("row.*").unionByName(several.select("row.*"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id; documents without an id stay."""
-    gone = simhash.near_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(gone, "near-copies"), "doc_id", "left_anti").select(*columns_of(docs))
+    """Of near-duplicates one row: that with the smallest id, null ids last.
+
+    Rows get a key of their own first, since ids may repeat or be null.
+    """
+    key = f"_row_{uuid.uuid4().hex}"
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows")
+    ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").alias("id"))
+    groups = simhash.near_groups(keyed, row_id=key).select(F.col(key).alias("r"), F.col("component_id").alias("g"))
+    groups = written(groups.join(ids, F.col("r") == F.col("k")).select("k", "id", "g"), "near-groups")
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "k")
+    best = groups.groupBy("g").agg(F.min(order).alias("best"), F.count("*").alias("c")).where("c > 1")
+    best = written(best.select(F.col("g").alias("h"), F.col("best.k").alias("keep")), "near-best")
+    gone = groups.join(best, F.col("g") == F.col("h")).where("k <> keep").select(F.col("k").alias(key))
+    return keyed.join(written(gone, "near-copies"), key, "left_anti").select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,18 @@ def test_unlearned_scripts_and_noise_go(spark):
     assert {r.doc_id for r in got} == set(range(90))
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = fixture()[:40]
+    out = corpus_pipeline.exact_dedup_(spark, spark.createDataFrame(rows + rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+    long = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
+    other = " ".join(f"v{i * 104729 % 1000}" for i in range(400))
+    texts = [(1, long), (7, long), (7, other), (7, long), (None, other), (None, "alone and apart from all others")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, long), (7, other), (None, texts[5][1])], key=repr)
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_no_rows_and_only_nulls(spark, tmp_path, empty):
     docs = spark.createDataFrame([] if empty else [(None, None, None, None, None)] * 2, SCHEMA)
