@@ -53,9 +53,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.orderBy("at").select("row.*")
 
 
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, first_word, n_words, bin, offset): the pieces of all training bins."""
-    return packing.pack(docs)
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, int] | None = None,
+                   shard_rows: int = packing.SHARD_ROWS) -> DataFrame:
+    """(doc_id, piece, first_word, n_words, bin, offset): the pieces of all training bins.
+    Bins are numbered along the mixture, window by window of its positions."""
+    return packing.pack(docs, shard_rows=shard_rows, places=mixing.mix(docs, weights))
 
 
 STAGES = [

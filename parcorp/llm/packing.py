@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, row_id: str = "doc_id", te
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, row_id: str = "doc_id",
-         text: str = "text", source: str = "source") -> DataFrame:
+         text: str = "text", source: str = "source", places: DataFrame | None = None) -> DataFrame:
     """(doc_id, piece, first_word, n_words, bin, offset) for every piece of every row.
 
     No bin holds more than `capacity` words, nor two pieces of one source or of one
@@ -96,12 +96,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     Pieces are dealt by a digest into shards of about `shard_rows`, so that a source or a
     cluster with a third of all rows is spread over all of them, and each shard is packed
     by one task, largest pieces first. Bins are numbered by shard.
+
+    With `places` (`row_id`, `source`, position), as `mixing.mix` gives them, shards are windows
+    of consecutive positions instead, so that bins follow the mixture. Rows that share id
+    and source are spread over the positions of all of them.
     """
     with_package(docs.sparkSession)
     cut = written(pieces(docs, capacity, row_id, text, source), "pieces")
     shards = max(1, -(-cut.count() // shard_rows))
-    rows = cut.where("n_words > 0").withColumn(
-        "shard", F.pmod(F.xxhash64("id", "piece", F.lit(1)), F.lit(shards)).cast("bigint"))
+    rows = cut.where("n_words > 0")
+    if places is None:
+        shard = F.pmod(F.xxhash64("id", "piece", F.lit(1)), F.lit(shards))
+    else:
+        spots = places.groupBy(F.col(row_id).cast("bigint").alias("i"), F.col(source).alias("s")).agg(
+            F.min("position").alias("low"), F.max("position").alias("high"))
+        spots = written(spots, "places")
+        total = (spots.agg(F.max("high")).first()[0] or 0) + 1
+        rows = rows.join(spots, F.col("id").eqNullSafe(F.col("i")) & (F.coalesce("source", F.lit("")) == F.col("s")))
+        at = F.col("low") + F.pmod(F.xxhash64("cluster"), F.col("high") - F.col("low") + 1)
+        # a text of very many pieces goes on in the windows that follow
+        shard = F.pmod(F.expr(f"at * {shards} div {total} + piece div {shard_rows}"), F.lit(shards))
+        rows = rows.withColumn("at", at)
+    rows = rows.withColumn("shard", shard.cast("bigint"))
+    rows = rows.select("id", "source", "cluster", "piece", "first_word", "n_words", "shard")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_words", "id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")

@@ -73,6 +73,17 @@ def test_mixture_decides_the_order(spark, tmp_path):
     assert got == want
 
 
+def test_mixture_decides_the_bins(spark):
+    rows = [(i, f"word{i} and more", "en", "ab"[i % 2], 1) for i in range(256)] + [(None, f"x{i}", "en", None, 1) for i in range(32)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for first, other in ("ab", "ba"):
+        out = corpus_pipeline.pack_sequences(spark, df, "", {first: 4, other: 1, "": 1}, shard_rows=32).collect()
+        assert len(out) == len(rows)
+        half = sorted((r for r in out if r.doc_id is not None), key=lambda r: r.bin >> 20)[:100]
+        share = sum("ab"[r.doc_id % 2] == first for r in half) / len(half)
+        assert share > 0.7
+
+
 def test_packing_equals_brute_force(spark):
     rows = fixture()
     df = spark.createDataFrame(rows, SCHEMA)
