@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcorp.llm import chat, exact_dedup, langid, mixing, packing, pq_dedup, secrets, simhash, suffixes, warc
+from parcorp.llm import (
+    centroids, chat, exact_dedup, langid, licences, mixing, packing, pq_dedup, secrets, simhash, spelling, suffixes, warc,
+)
 from parcorp.llm.common import at_least, with_package, written
 from parcorp.session import shared_dir
 
@@ -271,3 +273,130 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_pack")
 def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+# ---- 11: centroid clustering -------------------------------------------------------------------------
+def _centroid_sql() -> str:
+    def nearest(i: int) -> str:
+        return f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, q, m.c, m.d FROM (
+    SELECT rid, vec_id, v.q, min({{'d': CAST(list_sum(list_transform(list_zip(v.q, k.q),
+        lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': k.c}}) AS m
+    FROM v, c{i} k GROUP BY ALL))"""
+
+    def move(i: int) -> str:
+        return f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT k.c, coalesce(m.q, k.q) AS q FROM c{i} k LEFT JOIN (
+    SELECT c, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY p) AS q
+    FROM (SELECT c, p, sum(x) AS s, count(*) AS n
+          FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a{i}) GROUP BY c, p) GROUP BY c) m USING (c))"""
+
+    steps = ",".join(s for i in range(centroids.ROUNDS) for s in (nearest(i), move(i)))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x:
+    CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = {centroids.DIM}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q
+  FROM v QUALIFY c < {centroids.CENTROIDS}),{steps},{nearest(centroids.ROUNDS)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance,
+       CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k.q, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} k USING (c)
+"""
+
+
+@query("op11_centroid_clusters", _centroid_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.grouped(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# ---- 12: spelling variants -----------------------------------------------------------------------------
+@query("op12_spelling_variants", """
+WITH RECURSIVE
+step AS (SELECT b AS v, b, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, b, k + 1 FROM step WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+o AS MATERIALIZED (SELECT id, w, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_transform(
+          regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+        lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT))) AS h FROM o, tab),
+cut AS (SELECT n, CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w FROM h),
+word AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+del AS MATERIALIZED (SELECT w, n, i, w[:i] || w[i + 2:] AS rest FROM (SELECT w, n, unnest(range(length(w))) AS i FROM word)),
+link AS (SELECT a.w, b.w AS o, b.n FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.w <> b.w
+  UNION SELECT d.w, x.w, x.n FROM del d JOIN word x ON x.w = d.rest
+  UNION SELECT x.w, d.w, d.n FROM del d JOIN word x ON x.w = d.rest),
+near AS MATERIALIZED (SELECT w, count(*) AS n_near, min({'n': -n, 'o': o}) AS best FROM link GROUP BY w),
+f AS MATERIALIZED (SELECT word.w, word.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.n >= 2 * word.n THEN best.o END AS form, CASE WHEN -best.n >= 2 * word.n THEN -best.n END AS form_n
+  FROM word LEFT JOIN near USING (w)),
+walk AS (SELECT w, w AS here, form AS next FROM f
+  UNION ALL SELECT walk.w, f.w, f.form FROM walk JOIN f ON f.w = walk.next)
+SELECT w AS word, form, here AS root, n, n_near, form_n FROM f JOIN walk USING (w) WHERE next IS NULL
+""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---- 13: licences ----------------------------------------------------------------------------------------
+def _licence_sql() -> str:
+    texts = [licences.words_of(t.text) for t in licences.TEMPLATES]
+    body = ", ".join(f"({t}, {q}, '{w}')" for t, ws in enumerate(texts) for q, w in enumerate(ws))
+    labels = ", ".join(f"({i}, '{t.label}', {len(ws)})" for i, (t, ws) in enumerate(zip(licences.TEMPLATES, texts)))
+    keys = []
+    for t, (template, ws) in enumerate(zip(licences.TEMPLATES, texts)):
+        for key in template.keys:
+            k = key.split()
+            keys.append(f"({t}, {next(q for q in range(len(ws)) if ws[q:q + len(k)] == k)}, {k})")
+    phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licences.PHRASES.items())
+    return f"""
+WITH body(t, q, w) AS (VALUES {body}), label(t, label, len) AS (VALUES {labels}),
+key(t, q, k) AS (VALUES {', '.join(keys)}), phrase(k, label) AS (VALUES {phrases}),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licences.WORD}') AS ws FROM documents),
+x AS MATERIALIZED (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+base AS (SELECT rid, i, label FROM phrase JOIN x ON x.w = k[1] JOIN d USING (rid) WHERE ws[i + 1:i + len(k)] = k),
+hit AS MATERIALIZED (SELECT * FROM x WHERE w IN (SELECT w FROM body)),
+df AS (SELECT w, count(DISTINCT rid) AS df FROM hit GROUP BY w),
+dead AS (SELECT DISTINCT t FROM (SELECT t, unnest(k) AS w FROM key) LEFT JOIN df USING (w) WHERE df IS NULL),
+rare AS (SELECT DISTINCT t, w, df FROM body JOIN df USING (w) WHERE t NOT IN (SELECT t FROM dead)),
+post AS (SELECT t, w, df FROM rare QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, w) <= {licences.TEMPLATE_WORDS}),
+mine AS (SELECT rid, w FROM (SELECT DISTINCT rid, w, df FROM hit JOIN (SELECT DISTINCT w, df FROM post) USING (w))
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY df, w) <= {licences.FILE_WORDS}),
+cand AS (SELECT rid, t, i - q AS s FROM hit JOIN mine USING (rid, w) JOIN post USING (w) JOIN body USING (t, w)
+  GROUP BY ALL HAVING count(DISTINCT w) >= {licences.ALIGNED}),
+good AS (SELECT rid, t, s FROM cand JOIN key USING (t) JOIN d USING (rid) GROUP BY ALL
+  HAVING bool_and(s + q >= 0 AND ws[s + q + 1:s + q + len(k)] = k)),
+note AS (SELECT rid, t, s, label, count(*) FILTER (x.w = body.w) / any_value(len) AS share
+  FROM good JOIN label USING (t) JOIN body USING (t) JOIN x USING (rid) WHERE i = s + q GROUP BY ALL),
+b AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY rid),
+n AS (SELECT rid, max(share) AS score FROM note GROUP BY rid),
+al AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS l
+  FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM note) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+       coalesce(b.l, '') AS base_labels, coalesce(al.l, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (rid) LEFT JOIN n USING (rid) LEFT JOIN al USING (rid)
+"""
+
+
+@query("op13_licence_scan", _licence_sql())
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(*labels) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(*labels))), ",")
+
+    starts = F.transform("base", lambda b: b["start"].cast("bigint"))
+    base, more = F.transform("base", lambda b: b["label"]), F.transform("notices", lambda b: b["label"])
+    return out.select(
+        "row.doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"), listed(base, more).alias("labels"),
+        F.coalesce(F.array_max(F.transform("notices", lambda b: b["share"])), F.lit(0.0)).alias("score"))
