@@ -7,6 +7,7 @@ own and the totals of the buckets before it are added.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -31,12 +32,12 @@ def ranked_over_tasks(df: DataFrame, order: Sequence, out: str) -> DataFrame:
     place = F.monotonically_increasing_id()  # task number, then 33 bits of position
     df = materialised(df.orderBy(*order).withColumn("_place", place))
     task, index = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
-    counts = df.groupBy(task.alias("t")).count().collect()
-    offset, before = F.lit(0).cast("bigint"), 0
-    for t, n in sorted((r[0], r[1]) for r in counts):
-        offset = F.when(task == t, F.lit(before).cast("bigint")).otherwise(offset)
-        before += n
-    return df.withColumn(out, index + offset + 1).drop("_place")
+    counts = sorted(map(tuple, df.groupBy(task.alias("t")).count().collect()))
+    before = itertools.accumulate((n for _, n in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame(
+        [(t, b) for (t, _), b in zip(counts, before)], "_task bigint, _before bigint")
+    df = df.join(F.broadcast(offsets), task == F.col("_task"))  # one row per task
+    return df.withColumn(out, index + F.col("_before") + 1).drop("_place", "_task", "_before")
 
 
 def running_total(
