@@ -69,6 +69,14 @@ UNION ALL SELECT 'glyph', unnest(list_prepend(n, aka)), glyph FROM e
 """)
 def q_sign_list(spark, sf_dir):
     """A nested sign list per document: aliases, forms, escaped names, absent keys."""
+    record = F.struct(F.array(sign_letter()).alias("j:letters"))
+    path = folder(spark, "signs")
+    sinks.lookup_json(table(spark, sf_dir, "documents").select(record.alias("sl:signlist")), path)
+    return sign_edges(readers.sign_list(spark, path, lines=True))
+
+
+def sign_letter():
+    """A letter of a sign list made of a document."""
     d = F.col("doc_id")
 
     def named(field: str, *values):
@@ -86,11 +94,11 @@ def q_sign_list(spark, sf_dir):
     sign = F.struct(
         n.alias("n"), glyph.alias("sl:ucun"), aka.alias("j:aka"), values.alias("j:values"),
         F.when(d % 2 == 0, F.array(F.struct(form.alias("sl:form")))).alias("j:forms"))
-    letter = F.struct(F.array(F.struct(sign.alias("sl:sign"))).alias("j:signs"))
-    record = F.struct(F.array(F.struct(letter.alias("sl:letter"))).alias("j:letters"))
-    path = folder(spark, "signs")
-    sinks.lookup_json(table(spark, sf_dir, "documents").select(record.alias("sl:signlist")), path)
-    entries = L.sign_entries(readers.sign_list(spark, path, lines=True))
+    return F.struct(F.struct(F.array(F.struct(sign.alias("sl:sign"))).alias("j:signs")).alias("sl:letter"))
+
+
+def sign_edges(sign_list):
+    entries = L.sign_entries(sign_list)
     readings = L.reading_edges(entries).select(F.lit("reading").alias("kind"), F.col("reading").alias("key"), F.col("name").alias("value"))
     glyphs = L.glyph_edges(entries).select(F.lit("glyph").alias("kind"), F.col("name").alias("key"), F.col("glyph").alias("value"))
     return readings.unionByName(glyphs)

@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    if named is None and folder is None and (set_before := spark.sparkContext.getCheckpointDir()):
+        named = set_before.rsplit("/", 1)[0]  # another session of this application chose it
     if named is None:
         if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
