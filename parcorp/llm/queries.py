@@ -161,9 +161,11 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.planned(pages), path)
-    records = warc.read(spark, path, payload=False).where("status = 'record'")
+    records = warc.read(spark, path, payload=False)
+    # these archives are sound: a gap in them would be a lost page
+    lost = F.raise_error(F.concat_ws(" ", F.lit("unreadable bytes in"), "path", "offset", "length", "reason"))
     return records.select(
-        warc.page_of("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"),
+        F.when(F.col("status") == "record", warc.page_of("record_id")).otherwise(lost.cast("bigint")).alias("page_id"), F.col("payload_length").alias("payload_bytes"),
         F.col("payload_digest"), F.col("type").alias("record_type"),
         warc.page_of("refers_to").alias("refers_to"),
     )

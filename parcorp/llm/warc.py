@@ -118,14 +118,25 @@ def _digest_ok(value: str, data: bytes) -> bool:
                             base64.b32encode(have.digest()).decode().lower())
 
 
+def _find_end(data, at: int) -> int:
+    """Where the next blank line stands, or -1: in growing pieces, wherever it is."""
+    size = 1 << 14
+    while at < len(data):
+        found = bytes(data[at:at + size + len(END) - 1]).find(END)
+        if found >= 0:
+            return at + found
+        at, size = at + size, size * 2
+    return -1
+
+
 def parse(data, at: int) -> tuple[dict, int] | str:
     """The record that starts at `at` and where it ends, or which check failed."""
     if bytes(data[at:at + 7]) != b"WARC/1.":
         return "no version line"
-    head_end = bytes(data[at:at + 65536]).find(END)
+    head_end = _find_end(data, at)
     if head_end < 0:
         return "header does not end"
-    lines = bytes(data[at:at + head_end]).decode("utf-8", "replace").split("\r\n")
+    lines = bytes(data[at:head_end]).decode("utf-8", "replace").split("\r\n")
     fields: dict[str, str] = {}
     for line in lines[1:]:
         key, colon, value = line.partition(":")
@@ -135,7 +146,7 @@ def parse(data, at: int) -> tuple[dict, int] | str:
     size = fields.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,15}", size) or "warc-type" not in fields:
         return "no length or type"
-    start = at + head_end + len(END)
+    start = head_end + len(END)
     stop = start + int(size)
     if int(size) > MAX_RECORD or stop + len(END) > len(data):
         return "record is cut off"
@@ -146,8 +157,10 @@ def parse(data, at: int) -> tuple[dict, int] | str:
         return "block digest differs"
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
-        cut = bytes(block[:65536]).find(END)
-        payload = block[cut + len(END):] if cut >= 0 else block[:0]
+        cut = _find_end(block, 0)
+        if cut < 0:
+            return "HTTP header does not end"
+        payload = block[cut + len(END):]
     kind = fields["warc-type"].lower()
     if kind != "revisit" and "warc-payload-digest" in fields and not _digest_ok(
             fields["warc-payload-digest"], payload):

@@ -1,17 +1,21 @@
 import glob
 import gzip
 import hashlib
+import os
 import random
 
 import pytest
 
 from parcorp.llm import warc
+from parcorp.llm.queries import QUERIES
+from tests.conftest import SF
 
 BIG = "x" * 1500
 PAGES = [
     (1, "http://a/", BIG), (2, "http://b/\r\nEvil: 1", BIG), (3, None, BIG), (4, "u", "x" * 999), (5, "u", "x" * 999),
     (6, "u", None), (7, "u", ""), (8, "u", "é" * 500), (9, "u", "é" * 500), (10, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 3),
     (11, "u", "\x1f\x8b\x08 not gzip"), (None, "u", "no id"), (12, "u", "once"), (12, "u", "once"), (13, "u", "z" * 3_000_000),
+    (14, "data:" + "u\t" * 100_000, "very long url"),
 ]
 
 
@@ -107,3 +111,30 @@ def test_gaps_are_logged(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path)).orderBy("path", "offset").collect()
     assert [r.status for r in rows] == ["record", "gap", "record", "record", "record", "gap"]
     assert rows[1].length == 6 and rows[1].reason and rows[5].reason == "record is cut off"
+
+
+def test_long_headers_of_other_writers():
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nX-Long: " + b"a" * 200_000 + b"\r\nContent-Type: application/http\r\n"
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"b" * 200_000 + b"\r\n\r\n" + b"payload"
+    sound = head + b"Content-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    (_, _, item), = warc.salvage(sound)
+    assert bytes(item["payload"]) == b"payload" and item["fields"]["x-long"] == "a" * 200_000
+    cut = http[:100_000]  # no blank line ends the HTTP header: a failed check, not an empty payload
+    broken = head + b"Content-Length: %d\r\n\r\n" % len(cut) + cut + b"\r\n\r\n"
+    items = [x for _, _, x in warc.salvage(broken + sound)]
+    assert items[0] == "HTTP header does not end" and bytes(items[1]["payload"]) == b"payload"
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, monkeypatch):
+    def damaged(records, path, *args):
+        write(records.coalesce(1), path, *args)
+        for f in glob.glob(f"{path}/part-*"):
+            data = open(f, "rb").read()
+            open(f, "wb").write(data[:len(data) // 2] + data[len(data) // 2 + 9:])
+        for f in glob.glob(f"{path}/.part-*.crc"):
+            os.unlink(f)
+
+    write = warc.write
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="unreadable bytes"):
+        QUERIES["op1_warc_salvage"](spark, SF).collect()
