@@ -11,9 +11,8 @@ from parcorp.llm.common import written
 from parcorp.operators.ranking import running_total
 
 BLOCK_ROWS = 16
-MAX_ROUND = 10_000  # slots of a round: bounds what one row schedules
-MAX_SOURCES = 10_000
 BUCKET_ROWS = 2_000
+CHUNK = 512  # slots that are gathered in one array
 
 
 def default_weights(counts: dict[str, int], flat: float = 0.7, top: int = 50) -> dict[str, int]:
@@ -29,58 +28,71 @@ def schedule(spark: SparkSession, blocks: dict[int, int], weights: dict[int, int
     of as many slots as the weights add up to. In each, a source has a quota of as many
     blocks as its weight, or in its last round what it has left; the others then share the
     round in proportion to their weights. With quota q in a round of Q slots, block i of a
-    source is released at floor(i Q / q) and due at ceil((i + 1) Q / q). Each slot goes to
-    the released block that is due first, ties to the smaller source number. So after any
-    number of slots every source has the floor or the ceiling of its share: it is off by
-    less than one block. Shares are whole at the end of a round, so rounds do not depend on
-    each other: each is one row, scheduled by a fold over its slots.
+    source is released at floor(i Q / q) and due at ceil((i + 1) Q / q). Each slot goes to the released block that is due first, ties to the
+    smaller source number. So after any number of slots every source has the floor or the
+    ceiling of its share: it is off by less than one block. Shares are whole at the end of a
+    round, so rounds do not depend on each other: each is one row, scheduled by a fold over
+    its slots.
+
+    Sources of equal quota have equal releases and due times, so they form a queue of which
+    only the head can be next: block i of the first, of the second, …, then block i + 1 of the
+    first. The fold compares the heads of the queues, as many as there are different quotas.
     """
     src = sorted(s for s in blocks if blocks[s] > 0)
     if any(weights[s] <= 0 for s in src):
         raise ValueError("weights must be positive")
-    if sum(weights[s] for s in src) > MAX_ROUND:
-        raise ValueError("the weights add up to too long a round")
     if not src:
         return spark.createDataFrame([], "slot bigint, src bigint, block bigint")
-
-    listing = ",".join(f"named_struct('s',{s}L,'n',{blocks[s]}L,'w',{weights[s]}L)" for s in src)
-    sources = F.expr(f"array({listing})")  # foldable: each round needs all of them
-    r = F.col("id")
-
-    def total(value) -> Column:
-        return F.aggregate(sources, F.lit(0).cast("bigint"), lambda acc, x: acc + value(x))
-
-    def quota(x: Column) -> Column:
-        return F.greatest(F.least(x["w"], x["n"] - x["w"] * r), F.lit(0))
-
-    rounds = spark.range(max(-(-blocks[s] // weights[s]) for s in src)).select(
-        total(lambda x: F.least(x["n"], x["w"] * r)).alias("start"), total(quota).alias("length"),
-        F.transform(sources, lambda x: F.struct(
-            x["s"].alias("s"), (x["w"] * r).alias("base"), quota(x).alias("q"))).alias("src"),
-    )
-    begin = F.struct(
-        F.transform("src", lambda _: F.lit(0).cast("bigint")).alias("taken"),
-        F.expr("cast(array() as array<struct<src:bigint,block:bigint>>)").alias("picks"),
-    )
+    sources = spark.createDataFrame([(s, blocks[s], weights[s]) for s in src], "s bigint, n bigint, w bigint")
+    zero = F.lit(0).cast("bigint")
+    active = sources.select("s", "n", "w", F.explode(
+        F.sequence(zero, F.ceil(F.col("n") / F.col("w")) - 1)).alias("r"))
+    base = F.col("w") * F.col("r")
+    active = active.select("r", "s", base.alias("base"), F.least("w", F.col("n") - base).alias("q"))
+    queues = active.groupBy("r", "q").agg(F.sort_array(F.collect_list(F.struct("s", "base"))).alias("members"))
+    rounds = queues.groupBy("r").agg(
+        F.sum(F.col("q") * F.size("members")).alias("length"),
+        F.sort_array(F.collect_list(F.struct("q", F.size("members").cast("bigint").alias("m"), "members"))).alias("queues"))
+    rounds = written(rounds, "mix-rounds")
+    width = len(f"{max(-(-blocks[s] // weights[s]) for s in src):x}")
+    rounds = rounds.withColumn("_hex", F.lpad(F.lower(F.hex("r")), width, "0"))
+    rounds = running_total(rounds, F.col("length"), "_hex", "_end", tie=["r"], digits=min(3, width))
 
     def step(acc: Column, slot: Column) -> Column:
         def offer(x: Column, j: Column) -> Column:
-            i = F.get(acc["taken"], j)
+            k = F.get(acc["taken"], j)
+            i = F.floor(k / x["m"])
             ready = (i < x["q"]) & (F.floor(i * F.col("length") / x["q"]) <= slot)
             return F.when(ready, F.struct(
-                F.ceil((i + 1) * F.col("length") / x["q"]).alias("due"), j.alias("j")))
+                F.ceil((i + 1) * F.col("length") / x["q"]).alias("due"),
+                F.get(x["members"], (k % x["m"]).cast("int"))["s"].alias("s"), j.alias("j")))
 
-        best = F.array_min(F.transform("src", offer))["j"]
-        pick = F.get(F.col("src"), best)
+        best = F.array_min(F.transform("queues", offer))["j"]
+        queue, k = F.get(F.col("queues"), best), F.get(acc["taken"], best)
+        member = F.get(queue["members"], (k % queue["m"]).cast("int"))
         return F.struct(
             F.transform(acc["taken"], lambda c, j: c + (j == best).cast("bigint")).alias("taken"),
             F.concat(acc["picks"], F.array(F.struct(
-                pick["s"].alias("src"), (pick["base"] + F.get(acc["taken"], best)).alias("block"),
+                member["s"].alias("src"), (member["base"] + F.floor(k / queue["m"])).alias("block"),
             ))).alias("picks"),
         )
 
-    picks = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1), begin, step)["picks"]
-    return rounds.select("start", F.posexplode(picks).alias("i", "p")).select(
+    none = F.expr("cast(array() as array<struct<src:bigint,block:bigint>>)")
+    begin = F.struct(F.transform("queues", lambda _: zero).alias("taken"),
+                     F.expr("cast(array() as array<array<struct<src:bigint,block:bigint>>>)").alias("parts"))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        first = c * CHUNK
+        done = F.aggregate(
+            F.sequence(first, F.least(first + CHUNK, F.col("length")) - 1),
+            F.struct(acc["taken"].alias("taken"), none.alias("picks")), step)
+        # bound once: the fold over the chunk must not run twice
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(
+            d["taken"].alias("taken"), F.concat(acc["parts"], F.array(d["picks"])).alias("parts"))), 1)
+
+    chunks = F.sequence(zero, F.floor((F.col("length") - 1) / CHUNK))
+    picks = F.flatten(F.aggregate(chunks, begin, chunk)["parts"])
+    return rounds.select((F.col("_end") - F.col("length")).alias("start"), F.posexplode(picks).alias("i", "p")).select(
         (F.col("start") + F.col("i")).alias("slot"), "p.src", "p.block")
 
 
@@ -94,14 +106,11 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     by default `default_weights`. A null source counts as the empty name. Rows with equal
     ids are all placed, in any order among each other. No rows, no places.
 
-    What reaches the driver is one row per source (at most MAX_SOURCES).
+    What reaches the driver is one row per source, however many there are.
     """
     name = F.coalesce(F.col(source), F.lit(""))
     slim = docs.select(F.col(row_id).alias("id"), name.alias("_s"))
-    found = slim.groupBy("_s").agg(F.count("*").alias("n")).orderBy("_s").limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError("too many sources")
-    counts = {r["_s"]: r.n for r in found}
+    counts = {r["_s"]: r.n for r in slim.groupBy("_s").agg(F.count("*").alias("n")).collect()}
     weights = weights if weights is not None else default_weights(counts)
     if missing := set(counts) - set(weights):
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
@@ -111,17 +120,16 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
         spark, {number[s]: -(-n // block_rows) for s, n in counts.items()},
         {number[s]: weights[s] for s in counts},
     )
-    names = spark.createDataFrame([(s, i, n) for s, i in number.items() for n in [counts[s]]],
-                                  "_s string, src bigint, n bigint")
+    names = spark.createDataFrame([(s, i, counts[s]) for s, i in number.items()], "_s string, src bigint, n bigint")
     plan = written(plan, "mix-schedule")
-    last = plan.join(names, "src").where(F.col("block") == F.floor((F.col("n") - 1) / block_rows))
-    short = [(r.slot, block_rows - (r.n - r.block * block_rows)) for r in last.collect()]
-    short = [(slot, gap) for slot, gap in short if gap]
-    missing_before = F.lit(0).cast("bigint")
-    if short:
-        gaps = F.expr("array(" + ",".join(f"named_struct('slot',{a}L,'gap',{b}L)" for a, b in short) + ")")
-        missing_before = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(
-            g["slot"] < F.col("slot"), g["gap"]).otherwise(0))
+    # blocks stand one after the other in the order of their slots; the last of a source may be short
+    blocks = sum(-(-n // block_rows) for n in counts.values())
+    width = len(f"{blocks:x}")
+    sized = plan.join(names.select("src", "n"), "src").withColumn(
+        "rows", F.least(F.lit(block_rows), F.col("n") - F.col("block") * block_rows))
+    sized = sized.withColumn("_hex", F.lpad(F.lower(F.hex("slot")), width, "0"))
+    ends = running_total(sized, F.col("rows"), "_hex", "_end", tie=["slot"], digits=min(3, width))
+    plan = written(ends.select("src", "block", "slot", (F.col("_end") - F.col("rows")).alias("first")), "mix-places")
 
     rows = sum(counts.values())
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
@@ -131,6 +139,5 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn(
         "block", F.floor(F.col("_rank") / block_rows))
     placed = ranked.join(plan, ["src", "block"])
-    place = F.col("slot") * block_rows - missing_before + F.col("_rank") % block_rows
     return placed.select(F.col("id").alias(row_id), F.col("_s").alias(source), "block", "slot",
-                         place.alias("position"))
+                         (F.col("first") + F.col("_rank") % block_rows).alias("position"))

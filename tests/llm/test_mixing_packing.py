@@ -1,3 +1,4 @@
+import heapq
 import random
 from fractions import Fraction
 
@@ -55,6 +56,40 @@ def test_schedule_is_edf(spark):
     assert sorted(tuple(r) for r in mixing.schedule(spark, n, w).collect()) == edf(n, w)
 
 
+def edf_by_heap(n, w):
+    """The same for many sources."""
+    used, out = {s: 0 for s in n}, []
+    for quota in rounds(n, w):
+        total, ready, at = sum(quota.values()), [], 0
+        jobs = sorted((i * total // q, -(-(i + 1) * total // q), s) for s, q in quota.items() for i in range(q))
+        for t in range(total):
+            while at < len(jobs) and jobs[at][0] <= t:
+                heapq.heappush(ready, jobs[at][1:])
+                at += 1
+            _, s = heapq.heappop(ready)
+            out.append((len(out), s, used[s]))
+            used[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("sources,most", [(5, 60), (300, 1), (20_000, 2)])
+def test_schedule_of_many_sources_is_edf(spark, sources, most):
+    rnd = random.Random(sources)
+    n = {s: rnd.randint(0, 4) * (1 if sources > 9 else 90) for s in range(sources)}
+    w = {s: 50 if sources == 300 else rnd.randint(1, most) for s in n}
+    want = edf_by_heap(n, w)
+    assert sources > 9 or want == edf(n, w)
+    assert sorted(tuple(r) for r in mixing.schedule(spark, n, w).collect()) == want
+
+
+def test_mix_of_many_sources_places_every_row_once(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('s', id % 2500) AS source")
+    out = mixing.mix(df, block_rows=1).collect()
+    assert sorted(r.position for r in out) == list(range(5000))
+    half = {r.source for r in out if r.position < 2500}
+    assert len(half) == 2500  # equal sources take turns
+
+
 def test_mix_places_every_row_once(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", "t") for i in range(500)] + [(None, None, None), (3, "hot", "t"), (3, "", "t")]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot string")
