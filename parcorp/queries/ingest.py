@@ -1,14 +1,17 @@
-"""Raw corpora: record trees, large CSV and JSON files, vocabularies with merges."""
+"""Raw corpora: record trees, large CSV and JSON files, sub-words."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from parcorp import constants as K
 from parcorp import schemas
-from parcorp.operators import cdl
+from parcorp.operators import cdl, subwords
+from parcorp.operators import sequences as Q
 from parcorp.queries.files import folder, sign_edges, sign_letter
-from parcorp.queries.registry import ORACLES, query, table
+from parcorp.queries.registry import ORACLES, q, query, table
+from parcorp.queries.sequences import PAIRS_SQL, TURNS_SQL, VOCAB_SQL, encode_sql, pairs, text_of, turns, vocab
 from parcorp.sources import readers, sinks
 
 
@@ -122,3 +125,61 @@ def q_sign_list_split(spark, sf_dir):
     array_file(docs.select(F.to_json(sign_letter(), {"pretty": "true"}).alias("value"), F.col("doc_id").alias("at")), path,
                '{ "sl:signlist" : {\n "j:letters" : [', '] } }')
     return sign_edges(readers.sign_list_letters(in_small_splits(spark), path))
+
+
+# ---- sub-words ------------------------------------------------------------------------------------
+END_ID = 50256  # the vocabulary's free id, before and behind every text
+WORD_RE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+
+
+def subwords_sql(name: str, source: str, column: str) -> str:
+    """CTE `name` (id, ids) for `source` (id, column), merging step by step."""
+    return f"""
+rank AS MATERIALIZED (SELECT hex(from_base64(string_split(line, ' ')[1])) AS token, CAST(string_split(line, ' ')[2] AS INTEGER) AS r
+  FROM read_csv('{subwords.RANKS}', columns = {{'line': 'VARCHAR'}}, delim = '\t', header = false, quote = '', escape = '')),
+{name}_w AS MATERIALIZED (SELECT id, unnest(regexp_extract_all(coalesce({column}, ''), {q(WORD_RE)})) AS word,
+  generate_subscripts(regexp_extract_all(coalesce({column}, ''), {q(WORD_RE)}), 1) AS pos FROM {source}),
+{name}_m AS (SELECT word, regexp_extract_all(hex(encode(word)), '..') AS p, 0 AS step, true AS more FROM (SELECT DISTINCT word FROM {name}_w)
+  UNION ALL SELECT word, CASE WHEN i IS NULL THEN p ELSE list_concat(list_concat(p[:i - 1], [p[i] || p[i + 1]]), p[i + 2:]) END,
+    step + 1, i IS NOT NULL
+  FROM (SELECT m.word, any_value(m.p) AS p, any_value(step) AS step, arg_min(x.i, {{'r': rank.r, 'i': x.i}}) FILTER (rank.r IS NOT NULL) AS i
+    FROM {name}_m m LEFT JOIN LATERAL (SELECT unnest(range(1, len(m.p))) AS i) x ON true
+    LEFT JOIN rank ON rank.token = m.p[x.i] || m.p[x.i + 1] WHERE m.more GROUP BY m.word)),
+{name}_i AS MATERIALIZED (SELECT word, list(r ORDER BY k) AS ids FROM (
+    SELECT word, unnest(p) AS token, generate_subscripts(p, 1) AS k FROM {name}_m WHERE NOT more) JOIN rank USING (token) GROUP BY word),
+{name} AS (SELECT s.id, coalesce(e.ids, []) AS ids FROM {source} s LEFT JOIN (
+    SELECT id, flatten(list(ids ORDER BY pos)) AS ids FROM {name}_w JOIN {name}_i USING (word) GROUP BY id) e ON s.id = e.id)
+"""
+
+
+@query("q_subword_encode", f"""
+WITH RECURSIVE {TURNS_SQL}, {subwords_sql('enc', 'turns', 'text')}
+SELECT id, array_to_string(ids, ' ') AS ids, len(ids) AS n FROM enc
+""")
+def q_subword_encode(spark, sf_dir):
+    df = subwords.encode_subwords(turns(spark, sf_dir).select("id", "text"), subwords.subword_ranks(spark), "text")
+    return df.select("id", text_of("input_ids").alias("ids"), F.size("input_ids").cast("bigint").alias("n"))
+
+
+@query("q_subword_decode", f"WITH {TURNS_SQL} SELECT id, coalesce(text, '') AS text FROM turns")
+def q_subword_decode(spark, sf_dir):
+    """There and back: the texts as they were."""
+    ranks = subwords.subword_ranks(spark)
+    df = subwords.encode_subwords(turns(spark, sf_dir).select("id", F.col("text").alias("said")), ranks, "said")
+    return subwords.decode_subwords(df.drop("said"), ranks, "input_ids").select("id", "text")
+
+
+@query("q_pair_encode_two", f"""
+WITH RECURSIVE {PAIRS_SQL}, {VOCAB_SQL}, {encode_sql('src', 'pairs', 'source')}, {subwords_sql('tgt', 'pairs', 'target')}
+SELECT src.id, array_to_string(src.ids, ' ') AS input_ids,
+  array_to_string(list_concat([{END_ID}], list_append(tgt.ids, {END_ID})), ' ') AS labels,
+  len(src.ids) AS n_source, len(tgt.ids) + 2 AS n_target, greatest(len(src.ids), len(tgt.ids) + 2) <= {K.MAX_PAIR_LEN} AS fits
+FROM src JOIN tgt USING (id)
+""")
+def q_pair_encode_two(spark, sf_dir):
+    """Characters on the source side, sub-words on the target side, and the length gate on both."""
+    df = Q.encode(pairs(spark, sf_dir), vocab(spark, sf_dir), "source")
+    df = subwords.encode_subwords(df, subwords.subword_ranks(spark), "target", "labels", begin=END_ID, end=END_ID)
+    sizes = [F.size(c).cast("bigint") for c in ("input_ids", "labels")]
+    return df.select("id", text_of("input_ids").alias("input_ids"), text_of("labels").alias("labels"),
+                     sizes[0].alias("n_source"), sizes[1].alias("n_target"), Q.fits(*sizes).alias("fits"))
