@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     dealt into blocks, and the blocks are interleaved by `schedule`. Every row is placed
     once; the last block of a source may be short. Weights are whole numbers per source,
     by default `default_weights`. A null source counts as the empty name. Rows with equal
-    ids are all placed, in any order among each other. No rows, no places.
+    ids, and rows without one, are all placed, in any order among each other. No rows, no places.
 
     What reaches the driver is one row per source, however many there are.
     """
@@ -133,7 +133,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
 
     rows = sum(counts.values())
     digits = max(1, math.ceil(math.log(max(rows / BUCKET_ROWS, 1), 16)))
-    keyed = slim.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))))
+    # rows without an id are told apart by where they lie, so that they do not share a bucket
+    own = F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string"))
+    keyed = slim.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), own))))
     ranked = running_total(keyed, F.lit(1).cast("bigint"), "_key", "_rank", ["_s"], ["id"],
                            names.select("_s", "src"), digits)
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn(

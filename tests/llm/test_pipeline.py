@@ -125,6 +125,26 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(got, key=repr) == sorted([(1, long), (7, other), (None, texts[5][1])], key=repr)
 
 
+def test_exact_dedup_of_rows_with_maps(spark):
+    rows = [(i, t, {"k": n}) for i, t, n in [(1, "a b", 1), (2, "A b", 2), (2, "a B", 1), (None, "c", 1), (None, "C", 0), (5, "d", 3)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>")
+    got = sorted((r.text, r.more["k"]) for r in corpus_pipeline.exact_dedup_(spark, docs, "").collect())
+    assert got in ([("A b", 2), ("C", 0), ("d", 3)], [("C", 0), ("a B", 1), ("d", 3)])
+    assert got == sorted((r.text, r.more["k"]) for r in corpus_pipeline.exact_dedup_(spark, docs.repartition(3), "").collect())
+
+
+def test_rows_without_an_id_are_spread_over_the_mixture(spark, tmp_path):
+    rows = [(i if i < 100 else None, f"text {i}", "en", "ab"[i % 2], 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    corpus_pipeline.mix_sources(spark, docs, "").coalesce(1).write.parquet(f"{tmp_path}/m")
+    got = spark.read.parquet(f"{tmp_path}/m").collect()
+    assert sorted(r.text for r in got) == sorted(r[1] for r in rows)
+    places = [i for i, r in enumerate(got) if r.doc_id is not None]
+    assert min(places) < 200 and max(places) > 1000
+    half = [r.doc_id is None for r in got[:600]]
+    assert 500 < sum(half) < 590
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_no_rows_and_only_nulls(spark, tmp_path, empty):
     docs = spark.createDataFrame([] if empty else [(None, None, None, None, None)] * 2, SCHEMA)
@@ -136,4 +156,4 @@ def test_no_rows_and_only_nulls(spark, tmp_path, empty):
 
 
 def test_query_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
