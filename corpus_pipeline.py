@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcorp.llm import exact_dedup, langid, mixing, packing, simhash
 from parcorp.llm.common import columns_of, written
+from parcorp.session import sized
 
 MIN_SCORE = 0.3  # share of a text's letters that its main language must explain
 
@@ -21,11 +22,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row: that with the largest id, of several such the smallest row."""
+    """Of equal texts one row: that with the largest id, of several such the smallest row (as JSON)."""
     kept = exact_dedup.exact_groups(docs).where("kept")
+    # rows that repeat an id and its text: groups of which more than one row is left. The table
+    # between join and count lets the join split a digest of very many rows.
+    left = written(kept.where("size > 1").select(F.col("digest").alias("d")), "exact-left")
+    again = written(left.groupBy("d").agg(F.count("*").alias("c")).where("c > 1").select("d"), "exact-again")
+    if again.isEmpty():
+        return kept.select("row.*")
+    same = F.col("digest") == F.col("d")
+    several = written(kept.join(again, same, "left_semi").select("row", "digest"), "exact-several")
     text = exact_dedup.normalised(F.col("row.text")).alias("t")
-    several = kept.where("size > 1").groupBy("digest", text).agg(F.min("row").alias("row"))
-    return kept.where("size = 1").select("row.*").unionByName(several.select("row.*"))
+    several = several.groupBy("digest", text).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(again, same, "left_anti").select("row.*").unionByName(several.select("row.*"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +56,13 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: rows and files follow its positions."""
-    places = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.min("position").alias("at"))
+    places = mixing.mix(docs).groupBy(F.col("doc_id").alias("id")).agg(
+        F.min("position").alias("low"), F.max("position").alias("high"))
     rows = docs.select(F.struct("*").alias("row"))
-    placed = rows.join(places, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
-    return placed.orderBy("at").select("row.*")
+    placed = rows.join(sized(places), F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    # rows that share an id, or have none, are spread over the places of all of them
+    at = F.col("low") + F.pmod(F.xxhash64("row.text", F.monotonically_increasing_id()), F.col("high") - F.col("low") + 1)
+    return placed.withColumn("at", at).orderBy("at").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, int] | None = None,
