@@ -248,8 +248,8 @@ def repeated_passages(docs: DataFrame, row_id: str = "doc_id", text: str = "text
     `words` words which occurs again, in the same or another text; `later` only counts
     occurrences behind the first one (by id, then position), which a de-duplication would
     cut. Words are runs of anything but space and \\t to \\r and compared as they are; null
-    and empty texts hold none. Rows that repeat an id share their spans; rows without an id
-    are not searched. An empty table gives no rows.
+    and empty texts hold none. Rows that repeat an id, or have none, are rows of their own, later
+    than those with smaller ids; rows without an id are the last. An empty table gives no rows.
 
     Suffixes at selected positions are sorted by their first words, and those that equal no
     neighbour are dropped. The others are extended to the left and right: first as a whole,
@@ -260,7 +260,16 @@ def repeated_passages(docs: DataFrame, row_id: str = "doc_id", text: str = "text
     with_package(docs.sparkSession)
     if words < window + gram - 1:
         raise ValueError("a passage must hold a whole window")
-    slim = docs.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    slim = docs.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    odd = slim.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 OR id IS NULL")
+    if not odd.isEmpty():  # rows get numbers of their own, in the order of their ids
+        rows = docs.select(F.col(row_id).alias("own"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
+        rows = rows.orderBy(F.col("own").cast("bigint").asc_nulls_last(), "at").drop("at")
+        rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "suffix-rows")
+        found = repeated_passages(rows, "key", "text", words, window, gram)
+        names = rows.select(F.col("key").alias("k"), "own")
+        return found.join(names, F.col("key") == F.col("k")).select(
+            F.col("own").alias(row_id), "spans", "n_words", "later", "n_later")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def settled(rows: DataFrame, hashes: int = 2, only: bool = False) -> DataFrame:

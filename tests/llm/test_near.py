@@ -191,13 +191,15 @@ def test_repeated_passages(spark, words, window, gram):
     texts += [texts[4], texts[4], None, "", "a " * 300, "a " * 130, texts[5][: len(texts[5]) // 2] + " tail"]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows + [(None, hot)]], "doc_id long, text string, id string, pos int")
-    every, later = passages(rows, words)
+    last = 10**6  # rows without an id come last
+    every, later = passages([*rows, (last, hot)], words)
     out = suffixes.repeated_passages(df, words=words, window=window, gram=gram).collect()
     assert len(out) == len(rows) + 1
     for r in out:
-        assert {x for s in r.spans for x in range(s.start, s.end)} == every.get(r.doc_id, set())
-        assert {x for s in r.later for x in range(s.start, s.end)} == later.get(r.doc_id, set())
-        assert r.n_words == len(every.get(r.doc_id, ())) and r.n_later == len(later.get(r.doc_id, ()))
+        key = last if r.doc_id is None else r.doc_id
+        assert {x for s in r.spans for x in range(s.start, s.end)} == every.get(key, set())
+        assert {x for s in r.later for x in range(s.start, s.end)} == later.get(key, set())
+        assert r.n_words == len(every.get(key, ())) and r.n_later == len(later.get(key, ()))
     assert every and later
 
 
@@ -224,5 +226,18 @@ def test_runs_over_several_tasks(spark, tasks, hashes, only):
     assert got == {(*r, k) for r, k in kinds.items() if only or k}
 
 
+def test_rows_without_or_with_equal_ids_are_rows_of_their_own(spark):
+    words = [f"w{i}" for i in range(60)]
+    passage, alone = " ".join(words), " ".join(f"x{i}" for i in range(70))
+    rows = [(None, passage), (5, "a b " + passage), (5, alone), (None, passage + " c"), (5, "d " + passage), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffixes.repeated_passages(df).collect()
+    assert len(out) == len(rows)
+    spans = sorted((str(r.doc_id), [(s.start, s.end) for s in r.spans]) for r in out)
+    assert spans == [("5", []), ("5", [(1, 61)]), ("5", [(2, 62)]), ("None", []), ("None", [(0, 60)]), ("None", [(0, 60)])]
+    first = [r for r in out if r.n_words and not r.n_later]
+    assert len(first) == 1 and first[0].doc_id == 5 and sum(r.n_later for r in out) == 3 * 60
+
+
 def test_repeated_passages_empty(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
