@@ -14,7 +14,7 @@ from parcorp.functions.text import replace_in_order
 from parcorp.functions.tokens import tokens, wordforms
 from parcorp.operators import lookups as L
 from parcorp.operators import resolve as R
-from parcorp.operators.dedup import chain_counts
+from parcorp.operators.observe import StageCounts
 from parcorp.plans import corpus
 from parcorp.queries.registry import q, query, sql_regex, sql_replace, table
 from parcorp.session import BROADCAST_BYTES, materialised
@@ -442,5 +442,8 @@ UNION ALL SELECT 'distinct_texts', count(*) FROM t1 WHERE r1 = 1
 UNION ALL SELECT 'distinct_glyphs', count(*) FROM t2 WHERE r2 = 1
 """)
 def q_pipeline_counts(spark, sf_dir):
-    built = materialised(built_texts(spark, sf_dir))
-    return chain_counts(built, corpus.KEYS, ["row_ord"], ["with_glyphs", "distinct_texts", "distinct_glyphs"])
+    """Counted while the rows pass through the chain, which runs once."""
+    seen = StageCounts()
+    chain = corpus.without_repeats(built_texts(spark, sf_dir), ["row_ord"], seen)
+    chain.write.format("noop").mode("overwrite").save()
+    return seen.table(spark)

@@ -157,7 +157,7 @@ def generated_json(spark: SparkSession, path: str, pretty: bool = False) -> Data
     """All *.json results of a folder: one record per line, as the writer makes them, or
     with `pretty` one record, or array of records, per file over several lines."""
     reader = spark.read.schema(schemas.GENERATED).option("pathGlobFilter", "*.json")
-    return reader.option("multiLine", pretty).json(path)
+    return reader.option("multiLine", pretty).json(path).drop("batch")
 
 
 def split_table(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,17 @@ def by_genre(df: DataFrame, path: str, full_path: str) -> None:
     _writer(named).partitionBy("genre_name").parquet(path)
 
 
+def rewrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
+    """Replace the partitions that `df` has rows of; the files of all others stay as they are.
+    Run again, it leaves the same table."""
+    _writer(df).option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+
+
+def rewrite_genres(df: DataFrame, path: str) -> None:
+    """Replace the folders of the genres in `df` in a table of `by_genre`."""
+    rewrite_partitions(df.withColumn("genre_name", partition_name(F.col("genre"))), path, "genre_name")
+
+
 def by_split(df: DataFrame, path: str, *more: str) -> None:
     """One folder per split (and per further column), which leave the payload."""
     _writer(df).partitionBy("split", *more).parquet(path)
@@ -59,6 +70,12 @@ def result_records(df: DataFrame, path: str) -> None:
     _writer(df, "append").json(path)
 
 
+def result_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Results of one batch, in a folder of its own: a batch that is run again replaces what
+    its first attempt left, so that no record is there twice."""
+    _writer(df).json(f"{path}/batch={batch}")
+
+
 def line_pairs(df: DataFrame, pred: str, label: str, path: str) -> None:
     """Two lines per row: the prediction, then the label."""
     _writer(df.select(F.concat_ws("\n", pred, label).alias("value"))).text(path)

@@ -15,7 +15,7 @@ from parcorp.functions.cleaning import clean
 
 
 def landing_stream(
-    spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet",
+    spark: SparkSession, path: str, schema: str | StructType, pattern: str = "*.parquet",
     files_per_batch: int = 1000,
 ) -> DataFrame:
     """Rows of the files that arrive in a folder, with the time they were read."""
