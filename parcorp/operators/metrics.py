@@ -29,6 +29,27 @@ def mean_length(df: DataFrame, ids: str, pad: int = K.PAD_ID) -> DataFrame:
     return df.agg(F.round(F.avg(n), 4).alias("gen_len"))
 
 
+# The rules of the 13a tokeniser, in their order
+MARKUP_13A = [("<skipped>", ""), ("-\n", ""), ("\n", " ")]
+ENTITIES_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+RULES_13A = [
+    (r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "),  # punctuation stands alone,
+    (r"([^0-9])([\.,])", r"\1 \2 "),  # periods and commas unless a digit stands before
+    (r"([\.,])([^0-9])", r" \1 \2"),  # or behind them,
+    (r"([0-9])(-)", r"\1 \2 "),  # and dashes behind digits
+]
+
+
+def spaced_13a(text: Column) -> Column:
+    """The text with white space between its 13a tokens, as published scores count them."""
+    for old, new in MARKUP_13A + ENTITIES_13A:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, new in RULES_13A:
+        text = F.regexp_replace(text, pattern, new.replace("\\", "$"))
+    return text
+
+
 def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> DataFrame:
     """(n, matches, total, ref_total): clipped n-gram matches over all rows.
 
@@ -51,12 +72,17 @@ def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> D
     )
 
 
-def corpus_bleu(df: DataFrame, pred: str, label: str, row_id: str = "id") -> DataFrame:
-    """Corpus BLEU on white-space tokens: clipped 1-4-grams, brevity penalty, x 100.
+def corpus_bleu(df: DataFrame, pred: str, label: str, row_id: str = "id", tokenise: str = "space") -> DataFrame:
+    """Corpus BLEU on white-space tokens, or those of `tokenise` "13a": clipped 1-4-grams,
+    brevity penalty, x 100.
 
     An order without matches is smoothed by halving its precision once more for every
     such order so far; an order without any n-gram, or no match at all, makes the score 0.
     """
+    if tokenise == "13a":
+        df = df.withColumns({c: spaced_13a(F.col(c)) for c in {pred, label}})
+    elif tokenise != "space":
+        raise ValueError(f"no tokeniser {tokenise}")
     per_n = ngram_matches(df, pred, label, row_id)
     sums = []
     for n in range(1, ORDER + 1):

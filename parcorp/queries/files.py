@@ -118,7 +118,7 @@ def q_index_json(spark, sf_dir):
 
 
 @query("q_atf_files", """
-WITH c AS (SELECT conv_id || '-' || turn AS id, role, text FROM conversations WHERE role <> 'system')
+WITH c AS (SELECT conv_id || '-' || turn AS id, role, text FROM conversations)
 SELECT id, 'Pn' AS name, array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), chr(10)) AS transliteration,
   role AS period, 'g, h' AS genre FROM c
 """)
@@ -130,12 +130,12 @@ def q_atf_files(spark, sf_dir):
     records = conv.select(
         "role", F.concat_ws("-", "conv_id", "turn").alias("id"), F.array(*genre).alias("genres"),
         F.struct(F.col("role").alias("period")).alias("period"), F.struct(atf.alias("atf")).alias("inscription"))
-    paths = []
-    for role in ("user", "assistant"):
-        paths.append(folder(spark, role))
-        sinks.lookup_json(records.where(F.col("role") == role).drop("role"), paths[-1])
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    paths = [folder(spark, "user"), folder(spark, "others")]
+    for part, path in zip((user, ~user), paths):
+        sinks.lookup_json(records.where(part).drop("role"), path)
     found = parsed(readers.atf_records(spark, paths, lines=True))
-    return found.select("id", F.concat(F.lit("P"), F.substring("name", 2, 9)).alias("name"), "transliteration", "period", "genre")
+    return found.select("id", "name", "transliteration", "period", "genre")
 
 
 @query("q_record_json", """

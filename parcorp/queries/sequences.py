@@ -345,3 +345,20 @@ def q_bleu_disjoint(spark, sf_dir):
     target = F.replace(F.replace("target", F.lit(" "), F.lit(" ~")), F.lit("\n"), F.lit(" ~"))
     apart = pairs(spark, sf_dir).select("id", "source", F.concat(F.lit("~"), target).alias("target"))
     return metrics.corpus_bleu(apart, "source", "target")
+
+
+def spaced_13a_sql(expr: str) -> str:
+    expr = f"' ' || {sql_replace(expr, metrics.MARKUP_13A + metrics.ENTITIES_13A)} || ' '"
+    for pattern, new in metrics.RULES_13A:
+        expr = f"regexp_replace({expr}, {q(pattern)}, {q(new)}, 'g')"
+    return expr
+
+
+SPACED_SQL = PAIRS_SQL + f""",
+spaced AS (SELECT id, {spaced_13a_sql('source')} AS source, {spaced_13a_sql('target')} AS target FROM pairs)
+"""
+
+
+@query("q_bleu_13a", bleu_sql(SPACED_SQL, "spaced"))
+def q_bleu_13a(spark, sf_dir):
+    return metrics.corpus_bleu(pairs(spark, sf_dir), "source", "target", tokenise="13a")

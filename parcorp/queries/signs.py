@@ -46,8 +46,8 @@ def sign_name():
 
 def name_glyph_pairs(spark, sf_dir):
     """(name, glyph): src2 names have no glyph, src4 names none at all, src6 an X sign."""
-    no = F.substring("source", 4, 2).cast("int")
-    glyph = F.concat(F.expr(f"substring('{SIGNS}', int(substring(source, 4, 2)) + 1, 1)"),
+    no = F.expr("int(substring(source, 4))")
+    glyph = F.concat(F.expr(f"substring('{SIGNS}', int(substring(source, 4)) + 1, 1)"),
                      _lang_sign(F.col("lang")))
     pairs = table(spark, sf_dir, "documents").select("lang", "source").distinct()
     return pairs.where(no != 4).select(

@@ -198,3 +198,23 @@ def test_masks_draw_from_the_vocabulary(spark):
     assert 0.13 < len(chosen) / len(pairs) < 0.17 and all(0 <= new < 16 for _, new in chosen)
     assert 0.76 < sum(new == 4 for _, new in chosen) / len(chosen) < 0.86
     assert all(i == new for i, new, label in pairs if label == -100)
+
+
+def test_13a_tokens(spark):
+    said = {
+        "Hello, world!": "Hello , world !",
+        "It costs $3.50, or 1,000.": "It costs $ 3.50 , or 1,000 .",
+        "a.b,c 3-4 x-y 5.": "a . b , c 3 - 4 x-y 5 .",
+        "&quot;A&amp;B&quot; &lt;tag&gt;": '" A & B " < tag >',
+        "end-\nof line\nnext": "endof line next",
+        "don't (stop) [now] {x} a/b @c #d": "don't ( stop ) [ now ] { x } a / b @ c # d",
+        "<skipped>été, naïve.": "été , naïve .",
+        "1.": "1 .", ".5 ,": ". 5 ,", "": "",
+    }
+    df = spark.createDataFrame(list(said.items()), "t string, want string")
+    for r in df.select("want", metrics.spaced_13a(F.col("t")).alias("got")).collect():
+        assert " ".join(r.got.split()) == r.want
+    pairs = spark.createDataFrame([(1, "The cat, sat.", "The cat , sat ."), (2, None, "x")], "id int, p string, l string")
+    spaced = metrics.corpus_bleu(pairs, "p", "l", tokenise="13a").first()
+    assert spaced.sys_len == 5 and spaced.ref_len == 6
+    assert metrics.corpus_bleu(pairs, "p", "l").first().sys_len == 3
