@@ -16,9 +16,9 @@ SLOTS = 1 << 18  # trigrams are counted by a hash of this many values
 SMOOTH = 0.5
 SWITCH = 15.0  # nats that a change of language costs
 FIT_DOCS = 3000  # about as many labelled rows per language fit the model
-MAX_LANGS = 1000
 PIECE = 1 << 20  # characters that are scored at once
-GROUP = 1 << 22  # characters whose words are labelled together
+GROUP = 1 << 22  # characters whose words are labelled together, of 8 languages
+HELD = 16  # languages whose counts a task holds before it hands them on
 FAR = -1e4  # score of a language that does not use a word's script
 SCRIPT_SHARE = 0.01  # a language uses a script that makes up this share of its letters
 
@@ -88,12 +88,23 @@ def _words(piece: str):
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray, letters: np.ndarray) -> None:
-        """counts: trigrams per slot and language; letters: per script and language."""
+    """Scores of trigram slots per language: a row for every slot that occurs in training, and
+    row 0 for all others."""
+
+    def __init__(self, langs: list[str], slot: np.ndarray, column: np.ndarray, n: np.ndarray, letters: np.ndarray) -> None:
+        """n: trigrams by slot and language (column); letters: per script and language."""
         self.langs = langs
-        seen = max(1, int((counts.sum(axis=1) > 0).sum()))
-        total = counts.sum(axis=0, keepdims=True)
-        self.scores = np.log((counts + SMOOTH) / (total + SMOOTH * seen)).astype(np.float32)
+        used, row = np.unique(slot, return_inverse=True)
+        self.row = np.zeros(SLOTS, np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        seen, total = max(1, len(used)), np.bincount(column, n, len(langs))
+        self.scores = np.empty((len(used) + 1, len(langs)), np.float32)
+        order = np.argsort(column, kind="stable")
+        ends = np.searchsorted(column[order], np.arange(len(langs) + 1))
+        for k in range(len(langs)):
+            mine, counts = order[ends[k]:ends[k + 1]], np.zeros(len(used) + 1)
+            counts[row[mine] + 1] = n[mine]
+            self.scores[:, k] = np.log((counts + SMOOTH) / (total[k] + SMOOTH * seen))
         share = letters / np.maximum(letters.sum(axis=0, keepdims=True), 1)
         self.uses = share >= SCRIPT_SHARE
         # a trigram of no language in particular: all learned ones are equally likely
@@ -112,7 +123,7 @@ class Model:
             starts, ends, scripts, first, slots = _words(piece)
             if not len(starts):
                 continue
-            got = np.add.reduceat(self.scores[slots], first, axis=0)
+            got = self._sums(slots, first)
             known = self.uses[scripts]
             got = np.where(known, got, np.where(known.any(axis=1, keepdims=True), np.float32(FAR), np.float32(0)))
             size = np.diff(np.append(first, len(slots)))
@@ -123,6 +134,17 @@ class Model:
             return none, none, np.empty((0, len(self.langs)), np.float32), np.empty((0, len(self.langs)), bool)
         return tuple(np.concatenate(x) for x in zip(*out))
 
+    def _sums(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of the words whose trigrams start at `first`, of a bounded number at once."""
+        size = max(1, GROUP * 8 // max(8, len(self.langs)))
+        cuts = np.unique(np.searchsorted(first, np.arange(0, len(slots), size)))
+        out = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(first)]):
+            end = first[hi] if hi < len(first) else len(slots)
+            if hi > lo:
+                out.append(np.add.reduceat(self.scores[self.row[slots[first[lo]:end]]], first[lo:hi] - first[lo], axis=0))
+        return np.concatenate(out)
+
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of every word; the words of text d are bounds[d]:bounds[d + 1].
@@ -166,43 +188,47 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", row_id: s
     """Fit on about `fit_docs` rows per language, chosen by a digest of the id.
 
     Rows without text or language are not used. Counting is distributed; the driver gets
-    sums per language and trigram slot, at most SLOTS + 32 numbers a language.
+    sums per language and trigram slot that occurs, however many languages there are.
     """
     with_package(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError("too many languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).alias("l")).count().collect()}
     langs = sorted(sizes)
     digest = F.concat(F.lit("0"), F.substring(F.md5(F.col(row_id).cast("string")), 1, 6))
-    bound = F.lit("")
-    for name in langs:
-        limit = f"{min(fit_docs * 16**6 // sizes[name], 16**6):07x}"
-        bound = F.when(F.col(lang) == name, F.lit(limit)).otherwise(bound)
-    chosen = rows.where(digest < bound).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    bounds = labelled.sparkSession.createDataFrame(
+        [(name, f"{min(fit_docs * 16**6 // sizes[name], 16**6):07x}") for name in langs], "l string, bound string")
+    slim = rows.select(F.col(lang).alias("l"), digest.alias("d"), F.col(text).alias("t"))
+    chosen = slim.join(F.broadcast(bounds), "l").where("d < bound").select("l", "t")  # a row per language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for name, into in sums.items():
+                at = np.flatnonzero(into)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(into[at])], ["l", "slot", "n"])
+            sums.clear()
+
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name not in sums and len(sums) == HELD:
+                    yield from handed_on()
                 into = sums.setdefault(name, np.zeros(SLOTS + len(SCRIPTS), np.int64))
                 for _, piece in _pieces(body.as_py()):
                     starts, ends, scripts, _, slots = _words(piece)
                     np.add.at(into, slots, 1)
                     np.add.at(into, SLOTS + scripts.astype(np.int64), ends - starts)
-        for name, into in sums.items():
-            at = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(into[at])], ["l", "slot", "n"])
+        yield from handed_on()
 
     got = chosen.mapInArrow(count, "l string, slot bigint, n bigint").groupBy("l", "slot").agg(F.sum("n").alias("n"))
     table = got.toArrow()
-    counts = np.zeros((SLOTS + len(SCRIPTS), len(langs)))
     number = {name: i for i, name in enumerate(langs)}
-    if table.num_rows:
-        column = np.array([number[x] for x in table.column("l").to_pylist()])
-        counts[table.column("slot").to_numpy(), column] = table.column("n").to_numpy()
-    return Model(langs, counts[:SLOTS], counts[SLOTS:])
+    column = np.array([number[x] for x in table.column("l").to_pylist()], np.int64)
+    slot, n = table.column("slot").to_numpy(), table.column("n").to_numpy()
+    letters, trigram = np.zeros((len(SCRIPTS), len(langs))), slot < SLOTS
+    letters[slot[~trigram] - SLOTS, column[~trigram]] = n[~trigram]
+    return Model(langs, slot[trigram], column[trigram], n[trigram], letters)
 
 
 def _grouped(model: Model, switch: float):
@@ -237,13 +263,13 @@ def _grouped(model: Model, switch: float):
     return group
 
 
-def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _parts(batch: pa.RecordBatch, column: int, langs: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with their texts, of bounded size unless one text is longer."""
-    texts, size, lo = [], 0, 0
+    texts, size, lo, most = [], 0, 0, GROUP * 8 // max(8, langs)
     for i, t in enumerate(batch.column(column)):
         texts.append(t.as_py() or "")
         size += len(texts[-1])
-        if size >= GROUP:
+        if size >= most:
             yield batch.slice(lo, i + 1 - lo), texts
             texts, size, lo = [], 0, i + 1
     if texts:
@@ -261,11 +287,12 @@ def label(docs: DataFrame, model: Model, row_id: str = "doc_id", text: str = "te
     """
     with_package(docs.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    group = _grouped(model, switch)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # once per executor, not per task
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, langs = _grouped(shared.value, switch), len(shared.value.langs)
         for batch in batches:
-            for part, texts in _parts(batch, 1):
+            for part, texts in _parts(batch, 1, langs):
                 pred, share, spans, _ = group(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(spans, span)],
@@ -284,11 +311,12 @@ def accepted(docs: DataFrame, model: Model, min_score: float, text: str = "text"
     words of a script that it does not use count for none, nor do words that it makes less
     likely than the background. Rows without letters go. One pass, nothing is shuffled."""
     with_package(docs.sparkSession)
-    group, column = _grouped(model, switch), docs.columns.index(text)
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, langs = _grouped(shared.value, switch), len(shared.value.langs)
         for batch in batches:
-            for part, texts in _parts(batch, column):
+            for part, texts in _parts(batch, column, langs):
                 pred, share, _, known = group(texts)
                 good = ((known if explained else share) >= min_score) & np.array([p != "und" for p in pred])
                 yield part.filter(pa.array(good))

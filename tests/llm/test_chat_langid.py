@@ -142,3 +142,24 @@ def test_long_texts_are_cut_at_words():
     assert "".join(p for _, p in pieces) == text and len(pieces) > 1
     assert all(not p[-1].isalpha() for _, p in pieces[:-1])
     assert re.fullmatch("x+", "".join(p for _, p in langid._pieces("x" * 3_000_000)))
+
+
+def test_many_languages(spark):
+    rnd = random.Random(8)
+    rows, every = [], [a + b + c for a in "bcdfghklmnprst" for b in "aeiou" for c in "bdgklmnrst"]
+    for k in range(2000):
+        own = rnd.sample(every, 6)
+        rows += [(4 * k + i, " ".join("".join(rnd.choices(own, k=2)) for _ in range(25)), f"l{k:04d}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df)
+    assert len(model.langs) == 2000 and model.scores.shape[0] < 20_000
+    sample = df.where("doc_id % 400 < 2")
+    got = langid.label(sample, model).join(sample.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang_pred = lang").count() >= 0.95 * sample.count()
+    whole, parts = model.explained(rows[0][1] * 40), []
+    big, langid.GROUP = langid.GROUP, 2000
+    try:
+        parts = model.explained(rows[0][1] * 40)
+    finally:
+        langid.GROUP = big
+    assert all(np.allclose(a, b) for a, b in zip(whole, parts))
