@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parcorp.llm.common import with_package, written
+from parcorp.session import sized
 
 CAPACITY = 2048  # words of a bin
 SHARD_ROWS = 4096  # pieces that are packed together
@@ -56,6 +58,8 @@ def best_fit(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capac
         else:
             residual, number = capacity, opened
             opened += 1
+            if opened > 1 << _BIN_BITS:
+                raise ValueError("a shard needs more bins than its numbers can name")
         out[i], offset[i] = number, capacity - residual
         for word, bit in own:
             held[number, word] |= bit
@@ -69,8 +73,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, row_id: str = "doc_id", te
            source: str = "source") -> DataFrame:
     """(id, source, cluster, piece, first_word, n_words): texts cut at the capacity.
 
-    The duplicate cluster is a digest of the text with A-Z lower-cased; texts without words
-    are one piece of no words.
+    The duplicate cluster is a digest of the lower-cased text; texts without words are one
+    piece of no words.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     n = F.regexp_count(body, F.lit(_WORD)).cast("bigint")
@@ -100,9 +104,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     With `places` (`row_id`, `source`, position), as `mixing.mix` gives them, shards are windows
     of consecutive positions instead, so that bins follow the mixture. Rows that share id
     and source are spread over the positions of all of them.
+
+    A shard that turns out to hold more than twice `shard_rows` pieces (very long texts next
+    to each other in the mixture, an id that very many rows share) is dealt into several.
     """
     with_package(docs.sparkSession)
-    cut = written(pieces(docs, capacity, row_id, text, source), "pieces")
+    cut = pieces(docs, capacity, row_id, text, source).withColumn("own", F.monotonically_increasing_id())
+    cut = written(cut, "pieces")
     shards = max(1, -(-cut.count() // shard_rows))
     rows = cut.where("n_words > 0")
     if places is None:
@@ -118,10 +126,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         shard = F.pmod(F.expr(f"at * {shards} div {total} + piece div {shard_rows}"), F.lit(shards))
         rows = rows.withColumn("at", at)
     rows = rows.withColumn("shard", shard.cast("bigint"))
-    rows = rows.select("id", "source", "cluster", "piece", "first_word", "n_words", "shard")
+    parts = F.ceil(F.col("c") / (2 * shard_rows)).cast("bigint")
+    crowds = rows.groupBy("shard").agg(F.count("*").alias("c")).withColumn("parts", parts)
+    # one row per shard; numbers go on along the shards
+    before = F.sum("parts").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    crowds = crowds.select(F.col("shard").alias("s_"), "parts", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = rows.join(sized(crowds), F.col("shard") == F.col("s_"))
+    rows = rows.withColumn("shard", F.col("before") + F.pmod(F.xxhash64("own"), F.col("parts")))
+    rows = rows.select("id", "source", "cluster", "piece", "first_word", "n_words", "shard", "own")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_words", "id", "piece", "cluster"], ascending=[False, True, True, True], kind="stable")
+        part = part.sort_values(["n_words", "id", "piece", "cluster", "own"], ascending=[False, True, True, True, True])
         number, offset = best_fit(
             part["n_words"].to_numpy(np.int64), pd.factorize(part["source"])[0],
             pd.factorize(part["cluster"])[0], capacity)

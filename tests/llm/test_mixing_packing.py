@@ -157,3 +157,23 @@ def test_pack(spark):
         named = [source[m.doc_id] for m in members if source[m.doc_id] is not None]
         assert len(named) == len(set(named))
     assert packing.pack(spark.createDataFrame([], df.schema)).count() == 0
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_crowded_shards_are_dealt_out(spark, mixed):
+    rows = [(7 if i % 3 else None, " ".join(f"w{i}x{j % 90}" for j in range(700)), f"s{i % 50}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    places = mixing.mix(df) if mixed else None
+    out = packing.pack(df, capacity=10, shard_rows=100, places=places).collect()
+    assert sum(r.n_words for r in out) == 60 * 700
+    per_shard, held = {}, {}
+    for r in out:
+        per_shard[r.bin >> 20] = per_shard.get(r.bin >> 20, 0) + 1
+        held[r.bin] = held.get(r.bin, 0) + r.n_words
+    assert max(per_shard.values()) < 400 and len(per_shard) > 15 and max(held.values()) <= 10
+
+
+def test_bin_numbers_are_checked(monkeypatch):
+    monkeypatch.setattr(packing, "_BIN_BITS", 3)
+    with pytest.raises(ValueError, match="more bins"):
+        packing.best_fit(np.full(9, 10), np.full(9, -1), np.full(9, -1), 10)
