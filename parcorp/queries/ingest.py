@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from parcorp import constants as K
 from parcorp import schemas
-from parcorp.operators import cdl, subwords
+from parcorp.operators import cdl, shapes, subwords
 from parcorp.operators import sequences as Q
 from parcorp.queries.files import folder, sign_edges, sign_letter
 from parcorp.queries.registry import ORACLES, q, query, table
@@ -183,3 +183,50 @@ def q_pair_encode_two(spark, sf_dir):
     sizes = [F.size(c).cast("bigint") for c in ("input_ids", "labels")]
     return df.select("id", text_of("input_ids").alias("input_ids"), text_of("labels").alias("labels"),
                      sizes[0].alias("n_source"), sizes[1].alias("n_target"), Q.fits(*sizes).alias("fits"))
+
+
+# ---- records of varying shape -----------------------------------------------------------------
+SHAPES_SQL = """shaped AS (
+  SELECT coalesce(event_type, 'none') AS corpus, event_id AS row_no, json_object('id', event_id, 'user', user_id, 'k', json_extract(props, '$.k')) AS r FROM events
+  UNION ALL
+  SELECT 'docs-' || coalesce(lang, 'none'), doc_id, CASE WHEN source IS NULL THEN json_object('id', 'D' || doc_id, 'k', [n_chars, doc_id])
+    WHEN doc_id % 3 = 0 THEN json_object('id', 'D' || doc_id, 'k', n_chars, 'source', source)
+    ELSE json_object('id', 'D' || doc_id, 'k', [n_chars, doc_id], 'source', source, 'text', text) END FROM documents)"""
+
+
+def shaped(spark, sf_dir):
+    """Records of events and documents as variants: (corpus, row_no, record)."""
+    e, d = F.col("event_id"), F.col("doc_id")
+    props = F.parse_json("props")
+    events = table(spark, sf_dir, "events").select(
+        F.coalesce("event_type", F.lit("none")).alias("corpus"), e.alias("row_no"),
+        F.to_json(F.struct(e.alias("id"), F.col("user_id").alias("user"), F.variant_get(props, "$.k", "bigint").alias("k"))).alias("value"))
+    both = F.array("n_chars", "doc_id").alias("k")
+    name = F.concat(F.lit("D"), d.cast("string")).alias("id")
+    options = {"ignoreNullFields": "false"}
+    record = F.when(F.col("source").isNull(), F.to_json(F.struct(name, both), options)).when(
+        d % 3 == 0, F.to_json(F.struct(name, F.col("n_chars").alias("k"), "source"), options)).otherwise(
+        F.to_json(F.struct(name, both, "source", "text"), options))
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("docs-"), F.coalesce("lang", F.lit("none"))).alias("corpus"), d.alias("row_no"), record.alias("value"))
+    return events.unionByName(docs).select("corpus", "row_no", F.parse_json("value").alias("record"))
+
+
+@query("q_variant_fields", f"""
+WITH {SHAPES_SQL}, f AS (SELECT corpus, unnest(json_keys(r)) AS field, r FROM shaped),
+t AS (SELECT corpus, field, CASE json_type(r, '$.' || field) WHEN 'VARCHAR' THEN 'STRING' WHEN 'ARRAY' THEN 'ARRAY<BIGINT>'
+    WHEN 'NULL' THEN NULL ELSE 'BIGINT' END AS kind FROM f)
+SELECT corpus, field, count(*) AS n, CASE count(DISTINCT kind) WHEN 0 THEN 'VOID' WHEN 1 THEN max(kind) ELSE 'VARIANT' END AS kind
+FROM t GROUP BY ALL
+""")
+def q_variant_fields(spark, sf_dir):
+    return shapes.record_fields(shaped(spark, sf_dir))
+
+
+@query("q_variant_collate", f"""
+WITH {SHAPES_SQL}
+SELECT corpus, row_no, json_extract_string(r, '$.id') AS id, coalesce(json_extract_string(r, '$.k'), '') AS k FROM shaped
+""")
+def q_variant_collate(spark, sf_dir):
+    """All records on the two fields that every corpus has."""
+    return shapes.collate_records(shaped(spark, sf_dir), keep=["row_no"])
