@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from parcorp.llm.common import Forest, components, with_package, written
 
@@ -18,7 +19,8 @@ LIST_ROWS = 500  # vectors per list that the number of lists aims at
 MAX_LISTS = 4096
 SUBSPACES = 8
 CODES = 256
-BLOCK = 2048  # queries, and list members, that one block compares
+BLOCK = 8192  # queries, and list members, that one block compares
+BATCH_BYTES = 1 << 26  # of vectors that one batch hands back to Spark
 ROUNDS = 8  # of k-means
 SLACK = 1e-4  # for single-precision rounding in the candidate tests
 MISS = 0.0  # probe as far as the linking radius: no neighbour can be missed
@@ -118,8 +120,12 @@ class Index:
 
 def usable(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     """(id, c, label, v, dim): c, a digest of label and vector, is null where the row links
-    with nothing. Vectors are divided by their largest component, so that no square
-    overflows; copies and their exact multiples by powers of two become equal."""
+    with nothing. The digest is that of the vector divided by its largest component, so that
+    copies and their exact multiples by powers of two are one class. Vectors of doubles are
+    kept so divided, since their squares could overflow; those of floats as they are, which
+    halves them."""
+    kind = rows.select(vector).schema[0].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     largest = F.array_max(F.transform(v, lambda x: F.abs(x)))
@@ -128,17 +134,35 @@ def usable(rows: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
     scaled = F.transform(v, lambda x: x / largest + F.lit(0.0))  # -0.0 becomes 0.0
     out = rows.select(
         F.col(row_id).cast("bigint").alias("id"), F.when(good, F.col(label).cast("string")).alias("label"),
-        F.when(good, scaled).alias("v"))
+        F.when(good, scaled).alias("s"), F.when(good, F.col(vector) if single else scaled).alias("v"))
     text = F.concat(F.length("label").cast("string"), F.lit(":"), F.col("label"), F.lit("|"),
-                    F.array_join(F.col("v").cast("array<string>"), ","))
-    return out.withColumn("c", F.md5(text)).withColumn("dim", F.when(F.col("v").isNotNull(), F.size("v")))
+                    F.array_join(F.col("s").cast("array<string>"), ","))
+    return out.withColumn("c", F.md5(text)).drop("s").withColumn("dim", F.when(F.col("v").isNotNull(), F.size("v")))
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows at length one, in double precision."""
+    x = x.astype(np.float64)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
+def _as_bytes(x: np.ndarray) -> pa.Array:
+    """One binary value per row: bytes pass between Spark and Python as a block, arrays by element."""
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _from_bytes(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of `_as_bytes`: width values each, of the type that their size tells."""
+    data = b"".join(column.to_pylist())
+    kind = {1: np.uint8, 4: np.float32, 8: np.float64}[len(data) // (len(column) * width)]
+    return np.frombuffer(data, kind).reshape(-1, width)
+
+
 def _assigned(classes: DataFrame, index: Index, dim: int, margin: float) -> DataFrame:
     """Each vector as a member of its list and as a visitor of later lists to be probed."""
 
@@ -146,21 +170,25 @@ def _assigned(classes: DataFrame, index: Index, dim: int, margin: float) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(3), dim)
+            given = _matrix(batch.column(3), dim)
+            x = _unit(given)
             own, codes, error = index.encode(x)
             probes = [p[p >= o] for p, o in zip(index.probes(x, margin), own)]
             probes = [p if o in p else np.append(p, o) for p, o in zip(probes, own)]
             at = np.repeat(np.arange(len(x)), [len(p) for p in probes])
             lists = np.concatenate(probes).astype(np.int32)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
-                 batch.column(3).take(take), pa.array(lists), pa.array(lists == own[at]),
-                 pa.array(list(map(bytes, codes[at])), pa.binary()), pa.array(error[at])],
-                ["c", "label", "n", "v", "list", "member", "codes", "error"])
+            step = max(1, BATCH_BYTES // (dim * given.itemsize))
+            for lo in range(0, len(at), step):
+                one, part = at[lo:lo + step], lists[lo:lo + step]
+                take = pa.array(one)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
+                     _as_bytes(given[one]), pa.array(part), pa.array(part == own[one]),
+                     _as_bytes(codes[one]), pa.array(error[one])],
+                    ["c", "label", "n", "v", "list", "member", "codes", "error"])
 
     return classes.select("c", "label", "n", "v").mapInArrow(
-        place, "c string, label string, n bigint, v array<double>, list int, member boolean, codes binary, error double")
+        place, "c string, label string, n bigint, v binary, list int, member boolean, codes binary, error double")
 
 
 def _compare(index: Index, x, member, codes, error, part, n, centre: int, threshold: float):
@@ -202,7 +230,7 @@ def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: in
     if not sample.num_rows:
         sample = classes.select("v").limit(1).toArrow()
     per_label = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    known = _unit(sample.column(0).combine_chunks(), dim)
+    known = _unit(_matrix(sample.column(0).combine_chunks(), dim))
     index = Index(known, lists or min(MAX_LISTS, math.ceil(per_label / LIST_ROWS)))
     margin = index.margin(known, math.sqrt(max(0.0, 2 - 2 * threshold)), miss)
     placed = written(_assigned(classes, index, dim, margin), "pq-lists")
@@ -226,9 +254,8 @@ def _linked(classes: DataFrame, dim: int, rows: int, threshold: float, lists: in
         def block_rows(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             col = {name: t.column(name).combine_chunks() for name in t.column_names}
-            x = _unit(col["v"], dim)
-            books = len(index.books)
-            codes = np.frombuffer(b"".join(col["codes"].to_pylist()), np.uint8).reshape(-1, books)
+            x = _unit(_from_bytes(col["v"], dim))
+            codes = _from_bytes(col["codes"], len(index.books))
             count, root = _compare(
                 index, x, col["member"].to_numpy(zero_copy_only=False), codes, col["error"].to_numpy(),
                 col["part"].to_numpy(), col["n"].to_numpy(), col["list"][0].as_py(), threshold)

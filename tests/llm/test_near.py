@@ -156,6 +156,17 @@ def test_default_probes_miss_no_neighbour_on_low_rank_vectors(spark):
     assert got == want and want > 10_000
 
 
+def test_vectors_of_floats_keep_double_precision(spark):
+    rows = [(i, v, lab) for i, v, lab in vectors() if not v or v[0] != 1e300]
+    rows += [(1000, [1e38, 1e38], 1), (1001, [3e-45, 3e-45], 1)]
+    rows = [(i, v and [x if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = pq_dedup.near_vectors(df, lists=3, block=50).collect()
+    want = brute(rows, 0.93)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+    assert want[1000][0] >= 3 and want[1001][0] >= 3
+
+
 def test_near_vectors_without_usable_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert pq_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
