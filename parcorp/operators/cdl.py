@@ -11,6 +11,8 @@ MARKS = {
     "obverse": "<SURFACE>", "reverse": "<SURFACE>", "surface": "<SURFACE>", "column": "<COLUMN>",
     "ruling": "<RULING>", "blank": "<BLANK_SPACE>", "broken": "...", "traces": "...", "nonx": "...",
 }
+FIELDS = ("node", "type", "subtype", "state", "frag")
+LEVELS = 15  # read below the first by one cast
 
 
 def depth(tree: Column) -> Column:
@@ -25,20 +27,43 @@ def depth(tree: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
 
 
-def leaves(tree: Column) -> Column:
-    """All nodes without children of a variant array of nodes, in reading order.
+def node_type(levels: int) -> str:
+    """The fields of a node that a text is made from, its children to the given depth; what
+    lies deeper stays a variant."""
+    children = "variant" if levels == 0 else f"array<{node_type(levels - 1)}>"
+    return f"struct<{', '.join(f'{name} string' for name in FIELDS)}, f struct<form string>, cdl {children}>"
 
-    Every step puts the children of inner nodes in their places, whatever they hold
-    besides; there are as many steps as the tree is deep, so no depth is assumed. Nodes
+
+def leaves(tree: Column, levels: int = LEVELS) -> Column:
+    """All nodes without children of a variant array of nodes, in reading order, as structs
+    of the fields that a text is made from.
+
+    One cast reads `levels` levels of the tree at once; every level then puts the children of
+    inner nodes in their places, whatever they hold besides. Only a record that goes deeper
+    is measured, and takes further steps of as many levels each, so no depth is assumed. Nodes
     never leave their record: nothing is shuffled.
     """
-    def opened(node: Column) -> Column:
-        children = F.try_variant_get(node, "$.cdl", "array<variant>")
-        return F.coalesce(children, F.array(node))
+    def opened(nodes: Column, left: int) -> Column:
+        def one(node: Column) -> Column:
+            plain = F.array(F.struct(*[node[name].alias(name) for name in FIELDS], node["f"]["form"].alias("form"),
+                                     (node["cdl"] if left == 0 else F.lit(None).cast("variant")).alias("deeper")))
+            return plain if left == 0 else F.coalesce(opened(node["cdl"], left - 1), plain)
+
+        return F.flatten(F.transform(nodes, one))
+
+    def read(value: Column) -> Column:
+        return opened(F.try_variant_get(value, "$", f"array<{node_type(levels)}>"), levels)
 
-    nodes = F.try_variant_get(tree, "$", "array<variant>")
-    steps = F.sequence(F.lit(1), F.greatest(depth(F.to_json(tree)), F.lit(1)))
-    return F.aggregate(steps, nodes, lambda acc, _: F.flatten(F.transform(acc, opened)))
+    def goes_on(acc: Column, _: Column) -> Column:
+        return F.flatten(F.transform(acc, lambda leaf: F.coalesce(read(leaf["deeper"]), F.array(leaf))))
+
+    def deep(nodes: Column) -> Column:
+        return F.exists(nodes, lambda leaf: leaf["deeper"].isNotNull())
+
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(depth(F.to_json(tree)) / (levels + 1)).cast("int"), F.lit(1)))
+    # (the array is bound to a name, so that the tree is read once)
+    return F.get(F.transform(F.array(read(tree)), lambda nodes: F.when(
+        deep(nodes), F.aggregate(steps, nodes, goes_on)).otherwise(nodes)), F.lit(0))
 
 
 def text_of_tree(tree: Column, marks: dict[str, str] = MARKS) -> Column:
@@ -49,23 +74,17 @@ def text_of_tree(tree: Column, marks: dict[str, str] = MARKS) -> Column:
     leave no trace. Nodes of other kinds and words without a text are left out; so are
     lines without words. A tree without nodes is an empty text, a missing one is null.
     """
-    def field(node: Column, path: str) -> Column:
-        return F.try_variant_get(node, path, "string")
-
-    def token(node: Column) -> Column:
-        kind, kinds = field(node, "$.node"), [field(node, f"$.{k}") for k in ("state", "subtype", "type")]
-        table = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
-        mark = F.coalesce(*[F.try_element_at(table, k) for k in kinds])
-        word = F.coalesce(field(node, "$.frag"), field(node, "$.f.form"))
-        return (F.when(kind == WORD, F.struct(F.lit(False).alias("breaks"), word.alias("t"), F.lit(False).alias("alone")))
-                .when((kind == DIVISION) & (field(node, "$.type") == LINE),
-                      F.struct(F.lit(True).alias("breaks"), F.lit("").alias("t"), F.lit(False).alias("alone")))
-                .when(kind == DIVISION, F.struct(F.lit(True).alias("breaks"), mark.alias("t"), F.lit(True).alias("alone"))))
-
-    tokens = F.filter(F.transform(leaves(tree), token), lambda t: t["t"].isNotNull())
-    # breaks before and after marks, spaces between words; runs of breaks are one
-    strung = F.array_join(F.transform(tokens, lambda t: F.concat(
-        F.when(t["breaks"], "\n").otherwise(" "), t["t"], F.when(t["alone"], "\n").otherwise(""))), "")
+    table = F.create_map(*[F.lit(x) for pair in marks.items() for x in pair])
+
+    def piece(node: Column) -> Column:
+        # breaks before and after marks, spaces between words; null: no trace
+        mark = F.coalesce(*[F.try_element_at(table, node[k]) for k in ("state", "subtype", "type")])
+        return (F.when(node["node"] == WORD, F.concat(F.lit(" "), F.coalesce(node["frag"], node["form"])))
+                .when((node["node"] == DIVISION) & (node["type"] == LINE), F.lit("\n"))
+                .when(node["node"] == DIVISION, F.concat(F.lit("\n"), mark, F.lit("\n"))))
+
+    strung = F.array_join(F.transform(leaves(tree), piece), "")  # (leaves out the nulls)
+    # runs of breaks are one
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(
         strung, r"\n ++", "\n"), r"\n{2,}+", "\n"), r"^[\n ]++|\n++$", "")
 

@@ -157,3 +157,11 @@ def test_failed_records_and_no_python(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [("1", "a")] and bad.count() == 1
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_trees_of_any_depth_are_read_by_few_casts(spark):
+    around = [cdl.LEVELS + k for k in (-1, 0, 1, 2)] + [3 * cdl.LEVELS + 5]
+    mixed = [LINE, *nested(words("a"), 40), *words("b"), *nested([LINE, *words("c")], cdl.LEVELS + 1), {"node": "l", "frag": "d", "cdl": 1}, 7, None]
+    assert texts(spark, [*[nested([LINE, *words("a", "b")], k) for k in around], mixed]) == ["a b"] * len(around) + ["a b\nc d"]
+    tree = spark.range(1).select(F.try_parse_json(F.col("id").cast("string")).alias("t")).select(cdl.text_of_tree(F.col("t")).alias("x"))
+    assert tree._jdf.queryExecution().logical().toString().count("variant_get") <= 2  # not one per field and node
