@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from parcorp import constants as K
 from parcorp.functions.sequences import ngrams
 from parcorp.functions.text import exploded, strip
+from parcorp.session import materialised, size_in_bytes
 
 ORDER = 4
+PLACE_BYTES = 4 << 20
 
 
 def masked_accuracy(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
@@ -55,13 +57,18 @@ def ngram_matches(df: DataFrame, pred: str, label: str, row_id: str = "id") -> D
 
     Rows are placed by id first, while their texts are compact. Both sides' n-grams then
     come from one row and go through one aggregate by (row, n-gram) that shuffles nothing.
+    A task's n-grams take many times the room of its texts, so the texts decide how many
+    tasks there are: each gets about PLACE_BYTES of them.
     """
+    df = materialised(df.select(row_id, F.col(pred).alias("_pred"), F.col(label).alias("_label")))
+    # (never fewer than the session would make)
+    places = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size_in_bytes(df) // PLACE_BYTES))
 
     def side(number: int, column: str) -> Column:
         tokens = F.array_remove(F.split(strip(F.col(column)), r"(?U)\s+"), "")
         return F.struct(F.lit(number).alias("_side"), tokens.alias("_t"))
 
-    sides = df.repartition(row_id).select(row_id, F.inline(F.array(side(0, pred), side(1, label))))
+    sides = df.repartition(places, row_id).select(row_id, F.inline(F.array(side(0, "_pred"), side(1, "_label"))))
     both = exploded(sides, [row_id, "_side"], ngrams(F.col("_t"), ORDER), "_g").select(row_id, "_side", "_g.*")
     per_row = both.groupBy(row_id, "n", "gram").agg(
         F.count_if(F.col("_side") == 0).alias("p"), F.count_if(F.col("_side") == 1).alias("l")

@@ -1,3 +1,4 @@
+import re
 import math
 from collections import Counter
 
@@ -218,3 +219,13 @@ def test_13a_tokens(spark):
     spaced = metrics.corpus_bleu(pairs, "p", "l", tokenise="13a").first()
     assert spaced.sys_len == 5 and spaced.ref_len == 6
     assert metrics.corpus_bleu(pairs, "p", "l").first().sys_len == 3
+
+
+def test_bleu_tasks_grow_with_the_texts(spark, monkeypatch):
+    rows = [(i % 40, f"a b {i % 7} c d", f"a b {i % 5} c d e") for i in range(90)] + [(None, "x y", "x y z")]  # ids repeat
+    df = spark.createDataFrame(rows, "id int, p string, l string")
+    few = metrics.ngram_matches(df, "p", "l").orderBy("n").collect()
+    monkeypatch.setattr(metrics, "PLACE_BYTES", 200, raising=False)
+    many = metrics.ngram_matches(df, "p", "l")
+    places = re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", many._jdf.queryExecution().executedPlan().toString())
+    assert many.orderBy("n").collect() == few and max(map(int, places)) > 20
