@@ -204,3 +204,15 @@ def test_large_lookups_give_the_same(spark):
         assert lookups.small == (limit > 0)
         out.append(sorted(map(repr, R.resolve(df, lookups).select("morpheme", *R.RESULT).collect())))
     assert out[0] == out[1]
+
+
+def test_only_distinct_wordforms_are_split(spark):
+    from parcorp.functions.tokens import distinct_morphemes, tokens
+
+    texts = ["a-b {d}-c 7-bi a-b\na-b ... <RULING>", "a-b - x-", None, "", "| a"]
+    df = spark.createDataFrame([(t, g) for t in texts * 3 for g in ("p", None)], "t string, g string")
+    plain = tokens(df, "t", ["g"]).where("morpheme IS NOT NULL AND NOT special").groupBy("g", "morpheme").count()
+    got = distinct_morphemes(df, "t", ["g"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+    counts = R.morpheme_counts(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count("Aggregate") == 2  # wordforms, then morphemes
