@@ -8,6 +8,7 @@ change a text, so clean texts skip the regular expressions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcorp import constants as K
-from parcorp.functions.text import remove_all, replace_in_order, rewrite_matches
+from parcorp.functions.text import (
+    remove_all, replace_in_order, replace_pairs, rewrite_matches,
+)
 
 M = K.MISSING
 
@@ -45,24 +48,43 @@ def pairs_stage(name: str, pairs: list[tuple[str, str]], *needs: str) -> Stage:
     return Stage(name, lambda t: replace_in_order(t, pairs), needs)
 
 
+def short_runs_first(name: str, pattern: str, repl: str, *needs: str, rounds: int = 1) -> Stage:
+    """Collapse runs to `repl`. All but long runs are gone once each of `needs` has been
+    replaced by `repl` in turn; only texts that still hold one then run the pattern."""
+    rest = regex_stage(name, pattern, repl, *needs)
+    pairs = [(n, repl) for n in needs] * rounds
+    return Stage(name, lambda t: replace_in_order(t, pairs, finish=rest), needs)
+
+
 # ---- easy wins -----------------------------------------------------------------------
 DOUBLE_ANGLE_BRACKETS = pairs_stage("double_angle_brackets", [("<<", ""), (">>", "")])
-UPPER_BRACKETS = Stage("upper_brackets", lambda t: F.translate(t, "⸢⸣", ""), ("⸢", "⸣"))
-GLOSSES_IN_LINE = Stage(
-    "glosses_in_line",
-    lambda t: rewrite_matches(t, r"\{\{[^\n]*?\}\}", lambda m: F.lit("")), ("{{",),
-)
+UPPER_BRACKETS = pairs_stage("upper_brackets", [("⸢", ""), ("⸣", "")])
+
+
+def _glosses_in_line(t: Column) -> Column:
+    """One pass takes out the glosses without braces in them. If that leaves no "{{", and no
+    text "{{{" was there, these were all glosses; other texts go match by match."""
+    nested = rewrite_matches(t, r"\{\{[^\n]*?\}\}", lambda m: F.lit(""))
+    plain = F.array(F.regexp_replace(t, r"\{\{[^\n{}]*+\}\}", ""))
+    return F.when(F.contains(t, F.lit("{{{")), nested).otherwise(
+        F.transform(plain, lambda p: F.when(F.contains(p, F.lit("{{")), nested).otherwise(p))[0]
+    )
+
+
+GLOSSES_IN_LINE = Stage("glosses_in_line", _glosses_in_line, ("{{",))
 GLOSSES_FROM_LINE_START = Stage(
     "glosses_from_line_start",
     lambda t: rewrite_matches(t, r"\n[^\n]*?\}\}", lambda m: F.lit("\n")), ("}}",),
 )
 # One newline, blank, hyphen or missing-marker where there was a run of them.
 COLLAPSE = [
-    regex_stage("newlines", r"(?<![ -])[ -]*+\n[ \n-]*+", "\n",
-                " \n", "-\n", "\n ", "\n-", "\n\n"),
-    regex_stage("blanks", r"(?<![ -])(?:-++ [ -]*+| [ -]++)", " ", "  ", "- ", " -"),
-    regex_stage("hyphens", r"-{2,}+", "-", "--"),
-    regex_stage("missing_runs", rf"(?<![ -])[ -]*+{M}(?:[ -]|{M})*+", M, M),
+    short_runs_first("newlines", r"(?<![ -])[ -]*+\n[ \n-]*+", "\n",
+                     " \n", "-\n", "\n ", "\n-", "\n\n"),
+    short_runs_first("blanks", r" [ -]++|-(?<!--)-*+ [ -]*+", " ", "- ", " -", "  ", rounds=2),
+    short_runs_first("hyphens", r"-{2,}+", "-", "--", rounds=2),
+    # not by literals: two markers may share a "#"
+    regex_stage("missing_runs", rf"(?:{M}|[ -](?=[ #-])(?<![ -][ -])[ -]*+{M})(?:[ -]|{M})*+", M,
+                M + " ", M + "-", M + M, " " + M, "-" + M),
     regex_stage("missing_lines", rf"(?:\n{M}(?=\n))++", "\n" + M, f"\n{M}\n{M}\n"),
 ]
 
@@ -77,11 +99,26 @@ ENCLOSURE_REPAIRS = [
 ]
 
 
+# The same in one pass, and the text that a second repair might need: in all other texts,
+# every place that reads like a match is one, or ends with one, and no repair makes another.
+ENCLOSURE_PASSES = {
+    "([": (r"\(\[([- x]*+\)[- x]*+\])", "[($1", None),
+    "])": (r"(\[[^\n(\]]*+\([^\n)\]]*+)\]\)", "$1)]", None),
+    "]}": (r"(\[[^\n{\]]*+\{[^\n\]]*+)\]\}", "$1}]", "]}}"),
+    ">}": (r"(<[^\n{>]*+\{[^\n}>]*+)>\}", "$1}>", None),
+}
+
+
 def enclosure_repair(pattern: str, wrong: str, right: str) -> Stage:
-    def rewrite(t: Column) -> Column:
+    def each_match(t: Column) -> Column:
         return rewrite_matches(t, pattern, lambda m: F.replace(m, F.lit(wrong), F.lit(right)))
 
-    return Stage(f"enclosure {wrong}", rewrite, (wrong,))
+    def one_pass(t: Column) -> Column:
+        once, repl, twice = ENCLOSURE_PASSES[wrong]
+        out = F.regexp_replace(t, once, repl)
+        return out if twice is None else F.when(F.contains(t, F.lit(twice)), each_match(t)).otherwise(out)
+
+    return Stage(f"enclosure {wrong}", one_pass if wrong in ENCLOSURE_PASSES else each_match, (wrong,))
 
 
 ENCLOSURES = [enclosure_repair(*repair) for repair in ENCLOSURE_REPAIRS]
@@ -112,7 +149,7 @@ def _bars(t: Column) -> Column:
 
 VERTICAL_BARS = Stage("vertical_bars", _bars, ("|",))
 PARENTHESES = [
-    regex_stage("hyphen_in_paren", r"(?<!-)-++\)", ")-", "-)"),
+    regex_stage("hyphen_in_paren", r"-(?<!--)-*+\)", ")-", "-)"),
     regex_stage("letter_after_paren", r"\)([a-zA-Z])", ")-$1", ")"),
     pairs_stage("hyphen_after_paren", [("(-", "(")]),
 ]
@@ -125,7 +162,7 @@ SQUARE_BRACKETS = [
     regex_stage("square_close", r"\n[^\[\]\n]*+\]", "\n" + M, "]"),
 ]
 ILLEGIBLE_ALONE = regex_stage(
-    "illegible_alone", r"(?d)([ \n-])[xXnNo](?=[ \n-]|$)", "$1" + M
+    "illegible_alone", r"(?d)[xXnNo](?=[ \n-]|$)(?<=[ \n-][xXnNo])", M
 )
 
 
@@ -147,12 +184,29 @@ def illegible_pairs() -> list[tuple[str, str]]:
 
 
 def _illegible_in_context(t: Column) -> Column:
-    """The literal list runs only on texts that hold one of its contexts at all."""
-    any_context = (
-        r"\([xonXON]\)|\[[xonXON]\]|[ -][xonXON](?:[ $-]|#MISSING#)"
-        r"|\n[xonXON] | [xonXON]\n|#MISSING#[xonXON][ -]"
+    """The literal list runs only for the signs that the text holds near a context at all.
+
+    Near: in brackets of its own (found with the closing one), or between two characters that
+    other contexts or their replacements end and begin with. Only such neighbours of a sign
+    ever change, and none into a bracket, so no replacement brings in another sign.
+    """
+    near = (
+        r"[xonXON](?:(?=[ \n$#(\[-])(?<=[ \n$#)\]-][xonXON])"
+        r"|\)(?<=\([xonXON]\))|\](?<=\[[xonXON]\]))"
+    )
+    by_sign: dict[str, list[dict[str, str]]] = {}
+    for i, (find, repl) in enumerate(illegible_pairs()):
+        sign = K.ILLEGIBLE[i // len(ILLEGIBLE_CONTEXTS)]
+        key = find[1:] if find in (f"({sign})", f"[{sign}]") else sign
+        by_sign.setdefault(key, []).append({"find": find, "repl": repl})
+    pairs = F.from_json(
+        F.lit(json.dumps(by_sign)), "map<string,array<struct<find:string,repl:string>>>"
     )
-    return F.when(t.rlike(any_context), replace_in_order(t, illegible_pairs())).otherwise(t)
+    found = F.array_intersect(
+        F.array(*[F.lit(key) for key in by_sign]),
+        F.regexp_extract_all(t, F.lit(near), F.lit(0)),
+    )
+    return replace_pairs(t, F.flatten(F.transform(found, lambda key: pairs[key])))
 
 
 ILLEGIBLE_IN_CONTEXT = Stage("illegible_in_context", _illegible_in_context)
@@ -161,7 +215,7 @@ ELLIPSES = pairs_stage("ellipses", [("...", M)])
 STANDALONE_PARENS = Stage(
     "standalone_parens",
     lambda t: rewrite_matches(
-        t, r"(?d)(?:^|\n| |-)(\([^\n)]++\))(?:$|\n| |-)", lambda m: F.lit(""), group=1
+        t, r"(?d)(?:[\n -]|\A)(\([^\n)]++\))(?:[\n -]|$)", lambda m: F.lit(""), group=1
     ),
     ("(",),
 )
@@ -190,14 +244,22 @@ class Fix:
     step: str
 
 
+@dataclass(frozen=True)
+class Rounds:
+    """Steps to be run so many times. A text that a round left as it was needs no other."""
+
+    steps: tuple[Stage | Fix, ...]
+    times: int
+
+
 EASY = [DOUBLE_ANGLE_BRACKETS, UPPER_BRACKETS, GLOSSES_IN_LINE, GLOSSES_FROM_LINE_START]
-ILLEGIBLE = [ILLEGIBLE_ALONE, ILLEGIBLE_IN_CONTEXT, Fix("illegible")]
-CHAIN: list[Stage | Check | Fix] = [
+ILLEGIBLE = Rounds((ILLEGIBLE_ALONE, ILLEGIBLE_IN_CONTEXT, Fix("illegible")), 3)
+CHAIN: list[Stage | Check | Fix | Rounds] = [
     *EASY, *COLLAPSE, Check("easy"),
     Fix("unmatched"), *ENCLOSURES, Fix("enclosure"),
     *ANGLE_BRACKETS, SEMICOLONS, CURLY_BRACES, VERTICAL_BARS, *PARENTHESES,
     *COLLAPSE, Check("enclosure"),
-    *SQUARE_BRACKETS, *ILLEGIBLE, *ILLEGIBLE, *ILLEGIBLE, DAMAGE_NOTES, ELLIPSES,
+    *SQUARE_BRACKETS, ILLEGIBLE, DAMAGE_NOTES, ELLIPSES,
     STANDALONE_PARENS, *COLLAPSE, Check("missing"),
     *MISSING_IN_ENCLOSURE, EMPTY_ENCLOSURES, *COLLAPSE, Check("final"),
     SPECIAL_TOKENS,
@@ -248,16 +310,26 @@ def clean(
     The result leaves through a one-element `explode`. Without it the optimizer would
     push a later filter on `out` below all stages, copying their expressions into it.
     """
+    def rewritten(step: Stage | Fix) -> Column:
+        if isinstance(step, Stage):
+            return step(F.col(out))
+        return fixed_text(F.col(out), F.col(row_id).cast("string"), step.step)
+
     columns = df.columns
     df = df.withColumn(out, F.col(text))
     reports: list[str] = []
     for step in CHAIN:
-        if isinstance(step, Stage):
-            df = run_stages(df, out, [step])
-        elif isinstance(step, Fix):
-            df = df.withColumn(
-                out, fixed_text(F.col(out), F.col(row_id).cast("string"), step.step)
-            )
+        if isinstance(step, Stage | Fix):
+            df = df.withColumn(out, rewritten(step))
+        elif isinstance(step, Rounds):
+            df = df.withColumn("_settled", F.lit(False))
+            for _ in range(step.times):
+                df = df.withColumn("_before", F.col(out))
+                for part in step.steps:
+                    df = df.withColumn(
+                        out, F.when(F.col("_settled"), F.col(out)).otherwise(rewritten(part))
+                    )
+                df = df.withColumn("_settled", F.col(out).eqNullSafe(F.col("_before")))
         elif report is not None:
             reports.append(f"_{step.name}")
             df = df.withColumn(reports[-1], _checked(F.col(out), step.name))

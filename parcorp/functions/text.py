@@ -15,22 +15,33 @@ def pairs_literal(pairs: Iterable[tuple[str, str]]) -> Column:
     return F.from_json(F.lit(rows), "array<struct<find:string,repl:string>>")
 
 
-def replace_in_order(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    """Literal replacements, each one seeing the output of those before it.
+def replace_in_order(
+    text: Column, pairs: Iterable[tuple[str, str]],
+    finish: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Literal replacements, each one seeing the output of those before it, `finish` the last.
 
     Folding over a constant array keeps the plan one level deep however long the list
     is; nesting `replace` hundreds of times would hit the generated-method size limit.
     Most texts lack most literals, and `contains` rules them out several times faster
     than `replace` does.
     """
+    return replace_pairs(text, pairs_literal(pairs), finish)
+
+
+def replace_pairs(
+    text: Column, pairs: Column, finish: Callable[[Column], Column] | None = None
+) -> Column:
+    """The same for an array column of (find, repl)."""
     return F.aggregate(
-        pairs_literal(pairs), text,
-        lambda acc, p: F.when(
-            F.contains(acc, p["find"]), F.replace(acc, p["find"], p["repl"])
-        ).otherwise(acc),
+        pairs, text, lambda acc, p: _replace_held(acc, p["find"], p["repl"]), finish
     )
 
 
+def _replace_held(text: Column, find: Column, repl: Column) -> Column:
+    return F.when(F.contains(text, find), F.replace(text, find, repl)).otherwise(text)
+
+
 def remove_all(text: Column, tokens: Iterable[str]) -> Column:
     return replace_in_order(text, [(t, "") for t in tokens])
 
@@ -43,7 +54,7 @@ def rewrite_matches(
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     if distinct:
         found = F.array_distinct(found)
-    return F.aggregate(found, text, lambda acc, m: F.replace(acc, find(m), rewrite(m)))
+    return F.aggregate(found, text, lambda acc, m: _replace_held(acc, find(m), rewrite(m)))
 
 
 # The characters that count as white space at the ends of a text

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,38 @@ def test_stage(spark, steps, before, after):
     assert stages(spark, steps, [before]) == [after]
 
 
+def test_repeated_markup_takes_one_replacement(spark):
+    # each of these matches was once replaced over the whole text: minutes for this one
+    n = 40_000
+    text = " ".join(["([x x) x] a", "[a(b]) {{is}}", "[a{b]} <a{b>}"] * n)
+    start = time.perf_counter()
+    got = stages(spark, [C.GLOSSES_IN_LINE, *(C.ENCLOSURES[i] for i in (0, 1, 3, 4))], [text])
+    assert time.perf_counter() - start < 20
+    assert got == [" ".join(["[(x x) x] a", "[a(b)] ", "[a{b}] <a{b}>"] * n)]
+
+
+@pytest.mark.parametrize("steps, before, after", [
+    # a removal or repair inside another match, or one that makes a new match
+    ([C.GLOSSES_IN_LINE], "{{a}} {{{b}} {{b{{a}}", "  {{b"),
+    (C.ENCLOSURES, "[a{b]}} [a{b}]}", "[a{b}}] [a{b}}]"),
+    # markers that share a "#" are one marker and a word
+    (C.COLLAPSE, f"{M}MISSING# a", f"{M}MISSING# a"),
+    # a sign that only comes into a context through another one
+    ([C.ILLEGIBLE_IN_CONTEXT], "(x)o a", f"{M}a"),
+    ([C.ILLEGIBLE_IN_CONTEXT], "-x$o- a", f"{M} a"),
+])
+def test_corner_cases_of_one_pass_stages(spark, steps, before, after):
+    assert stages(spark, steps, [before]) == [after]
+
+
+def test_rounds_stop_at_texts_left_alone(spark):
+    # a second round still finds what the first one brought about
+    rows = [("P467714", "a x) b"), ("p", "a"), ("q", "b -x-o- x-n"), ("r", None)]
+    df = spark.createDataFrame(rows, "id string, transliteration string")
+    out = {r.id: r.transliteration_clean for r in C.clean(df).collect()}
+    assert out == {"P467714": "a...) b", "p": "a", "q": "b...", "r": None}
+
+
 def test_long_runs_need_no_stack(spark):
     runs = ["a" + " -" * 40_000 + "\n" * 40_000 + "b", "a" + f"{M} " * 20_000 + "b",
             "a" + f"\n{M}" * 20_000 + "\nb"]
