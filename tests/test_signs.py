@@ -216,3 +216,56 @@ def test_only_distinct_wordforms_are_split(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
     counts = R.morpheme_counts(df, "t")._jdf.queryExecution().optimizedPlan().toString()
     assert counts.count("Aggregate") == 2  # wordforms, then morphemes
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_of_morphemes_stay_in_their_place(spark, lookups, monkeypatch, small):
+    """Texts decide how many places there are; only texts, keys and answers are shuffled."""
+    monkeypatch.setattr(R, "PLACE_BYTES", 2000)
+    monkeypatch.setattr(R, "FREQUENT", 3)
+    sides = L.SignLookups(lookups.readings, lookups.glyphs, lookups.only, small)
+    docs = spark.createDataFrame([(i, f"lugal-ki r{i}-x an " * 20 + f"zz{i % 7}(GAL) nn") for i in range(200)], "id int, text string")
+    toks = R.resolved_tokens(docs, sides, "text", ["id"])
+    size = sum(len(r.text) for r in docs.collect())
+    assert toks.rdd.getNumPartitions() >= size / 2000  # 4 by the session's setting
+    built = R.rebuilt(toks, ["id"])
+    plan = built._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Join" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = {r.id: r for r in built.collect()}
+    for i in range(200):
+        u = "<unk>"
+        assert got[i].transliteration == " ".join([f"lugal-ki {u}-... {u}"] * 20) + " gal"
+        assert got[i].glyphs == " ".join([f"𒈗𒆠 {u}... {u}"] * 20) + " 𒃲"
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 10**6])
+def test_frequency_join_by_placed_keys(spark, monkeypatch, frequent):
+    """Any border between frequent and other keys gives the same rows, nulls and repeats included."""
+    monkeypatch.setattr(R, "FREQUENT", frequent)
+    rows = [(i % 40, None if i % 11 == 0 else f"k{min(i % 97, i % 13)}") for i in range(2000)]
+    left = spark.createDataFrame(rows, "id int, k string")
+    right = left.where("k IS NOT NULL AND k <> 'k3'").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.upper("k"))
+    out = R.join_by_frequency(left, right, "k", ["id"])
+    assert out.columns == ["id", "k", "v"]
+    want = sorted((i, k or "", "" if k in (None, "k3") else k.upper()) for i, k in rows)
+    assert sorted((r.id, r.k or "", r.v or "") for r in out.collect()) == want
+    often, seldom = R.split_by_frequency(right)
+    assert often.count() <= frequent and often.count() + seldom.count() == right.count()
+    if frequent == 2:
+        assert often.agg(F.min("n")).first()[0] > seldom.agg(F.max("n")).first()[0]
+
+
+def test_large_lookups_are_not_repeated(spark):
+    """Lookups pass through the join once: what is repeated for salts is only what shared keys hit."""
+    readings = spark.createDataFrame([(f"r{i}", ["A"]) for i in range(2000)], "reading string, names array<string>")
+    glyphs = spark.createDataFrame([("A", "𒀀")], "name string, glyph string")
+    lookups = L.SignLookups.of(readings, glyphs, limit=0)
+    df = spark.createDataFrame([("r7",), ("r8(A)",), ("r8(B)",), ("q",)], "morpheme string")
+    hits = R._looked_up_large(df.selectExpr(
+        "morpheme", "morpheme AS _m", "morpheme AS _plain", "lower(morpheme) AS _lower", "split(morpheme, '[(]')[0] AS _base",
+        "'A' AS _name", "contains(morpheme, '(') AS _paren"), lookups)
+    got = {r.morpheme: (r._plain_names, r._base_names) for r in hits.collect()}
+    assert got == {"r7": (["A"], None), "r8(A)": (None, ["A"]), "r8(B)": (None, ["A"]), "q": (None, None)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    salted = [i for i, line in enumerate(plan) if "Generate explode" in line and "[salt" in line]
+    assert salted and all("Join Inner" in "".join(plan[i + 1:i + 4]) for i in salted)  # behind the join with the lookups
