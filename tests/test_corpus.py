@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parcorp.operators import collate, joins, ranking, sample, stats
 from parcorp.operators.dedup import keep_first, keep_first_chain
+from parcorp.operators.observe import StageCounts
 from parcorp.operators.overrides import apply_overrides
 
 CORPUS = "id string, transliteration string, language string, langs string, period string, genre string"
@@ -61,6 +62,23 @@ def test_null_keys_are_one_group(spark):
     assert {r.id for r in keep_first(df, ["t"], ["id"]).collect()} == {1, 3}
 
 
+def test_wide_rows_are_not_moved_to_find_repeats(spark):
+    from parcorp.plans import corpus
+
+    rng = random.Random(3)
+    rows = [(i if i % 9 else None, rng.choice([None, "", "hot", *[f"t{k}" for k in range(300)]]),
+             rng.choice([None, "", *[f"g{k}" for k in range(200)]]), f"n{i}", rng.randrange(10**6)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, transliteration string, glyphs string, glyph_names string, o int").repartition(5)
+    want = keep_first_chain(df, corpus.KEYS, ["o"]).drop("o")
+    seen = StageCounts()
+    got = corpus.without_repeats(df, ["o"], seen)
+    assert got.columns == want.columns
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    counts = [900, keep_first(df, ["transliteration"], ["o"]).count(), want.count()]
+    assert [r.n for r in seen.table(spark).collect()] == counts
+
+
 def test_running_total_matches_brute_force(spark):
     df = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("k"), (F.col("id") % 7).alias("v"))
     got = {r.id: r.total for r in ranking.running_total(df, F.col("v"), "k", "total").collect()}
